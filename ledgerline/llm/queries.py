@@ -6,32 +6,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_counts, chunk_recipes, simhash_vptree
+from . import bfd_packing, bpe_counts, chat_parts, chunk_recipes, flow_mixing, harmonic_packing, simhash_vptree
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_bfd_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_packing.pack_matrices(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow_mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
+        F.lit(control).alias("text"),
+    )
+    parts = chat_parts.text_part(F.coalesce("text", F.lit("")))
+    turns = turns.unionByName(extra).select("conv_id", "turn", "role", parts.alias("parts"))
+    return chat_parts.digest(chat_parts.format_turns(turns))
+
+
 def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_simhash_vptree, op8_chunk_recipe_dedup, op10_bpe_token_counts]
+    found = [
+        op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op8_chunk_recipe_dedup,
+        op9_chat_parts, op10_bpe_token_counts,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chunk_recipe_dedup": OP8}
+    return {"op8_chunk_recipe_dedup": OP8, "op9_chat_parts": OP9}
 
 
 OP8 = r"""
@@ -43,3 +73,26 @@ SELECT doc_id,
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 WINDOW w AS (PARTITION BY t)
 """
+
+# Turns survive formatting and reading back, so the digests are those of the rows.
+# The formatted length adds the frame of each turn and one backslash for each
+# control string in its role or text.
+OP9 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, length('<|turn|><|text|><|end|>') + length(role) + length(text)
+    + len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))
+    + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) AS size
+  FROM turns
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
