@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bfd_packing, bpe_counts, chat_parts, chunk_recipes, flow_mixing, harmonic_packing, simhash_vptree
+from . import (
+    bfd_packing,
+    bpe_counts,
+    chat_parts,
+    chunk_recipes,
+    flow_mixing,
+    harmonic_packing,
+    kneser_ney,
+    order_minhash,
+    simhash_vptree,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +40,14 @@ def op5_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_recipes.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -54,8 +72,8 @@ def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op8_chunk_recipe_dedup,
-        op9_chat_parts, op10_bpe_token_counts,
+        op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op6_kneser_ney,
+        op7_order_minhash, op8_chunk_recipe_dedup, op9_chat_parts, op10_bpe_token_counts,
     ]
     return {f.__name__: f for f in found}
 
