@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import keep_judged, materialise, text_or_empty
 
 WINDOW_STEPS = (1, 2, 4, 8, 16)  # doubling: a window of 32 bytes
 MASK = np.uint32(0xFFE00000)  # 11 bits: about one cut in 2048 bytes
@@ -129,7 +129,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents without exact copies: one row of each group of equal
-    texts, the one with the smallest doc_id."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """The documents without exact copies, columns as in `docs`: of equal texts
+    the row with the smallest doc_id stays. Rows that share a doc_id are one
+    document, kept as one row if any of them is kept."""
+    return keep_judged(docs, exact_groups(docs).select("doc_id", "kept"))

@@ -51,3 +51,27 @@ def discard(df: DataFrame) -> None:
 
 def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows whose doc_id is in `gone` (one column). The ids
+    are written first, so Spark knows their size and broadcasts them only if
+    they are few; else one shuffle moves the texts."""
+    gone = materialise(gone.toDF("ledgerline_gone").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["ledgerline_gone"], "left_anti")
+
+
+def keep_judged(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The documents of which `judged` (doc_id, kept) keeps a row. Rows that
+    share a doc_id are one document, of which one row stays."""
+    verdict = materialise(
+        judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "verdicts"
+    )
+    left = without(docs, verdict.where("not kept").select("doc_id"))
+    repeated = verdict.where("kept and n > 1").select(F.col("doc_id").alias("ledgerline_repeated"))
+    if repeated.isEmpty():
+        return left
+    ids = materialise(repeated, "repeated")
+    same = left["doc_id"] == ids["ledgerline_repeated"]
+    once = left.join(ids, same, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(ids, same, "left_anti").unionByName(once)

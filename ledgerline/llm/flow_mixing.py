@@ -223,14 +223,13 @@ def _fill_rest(dealt: DataFrame, max_copies: int, rounds: int = 4) -> list[tuple
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: every row as often as the mix takes it, with
-    the columns of `docs`. Rows are matched by doc_id, of which repeated rows
-    share the copies that they were given in all."""
-    given = mix(docs, **options).groupBy("doc_id").agg(
-        F.sum("copies").alias("_given"), F.count("*").alias("_rows")
-    ).where("_given > 0").withColumnRenamed("doc_id", "_doc_id")
-    times = F.floor(F.col("_given") / F.col("_rows")).cast("int")
-    return (
-        docs.join(given, docs["doc_id"] == given["_doc_id"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))))
-        .select(*[docs[c] for c in docs.columns])
+    the columns of `docs`. Rows that share a doc_id share their copies evenly,
+    one each at least if they have any."""
+    total = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("given"), F.count("*").alias("rows"))
+    times = F.greatest(F.floor(F.col("given") / F.col("rows")).cast("int"), F.lit(1))
+    given = materialise(
+        total.where("given > 0").select(F.col("doc_id").alias("ledgerline_id"), times.alias("ledgerline_times")), "copies"
     )
+    joined = docs.join(given, docs["doc_id"] == given["ledgerline_id"])
+    copies = F.explode(F.sequence(F.lit(1), given["ledgerline_times"])).alias("ledgerline_copy")
+    return joined.select(*[docs[c] for c in docs.columns], copies).drop("ledgerline_copy")

@@ -17,6 +17,7 @@ from . import (
     harmonic_packing,
     kneser_ney,
     order_minhash,
+    quality_cotraining,
     simhash_vptree,
 )
 from .common import table
@@ -24,6 +25,10 @@ from .common import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bfd_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_packing.pack_matrices(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
-        op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op6_kneser_ney,
+        op1_cotraining_quality, op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op6_kneser_ney,
         op7_order_minhash, op8_chunk_recipe_dedup, op9_chat_parts, op10_bpe_token_counts,
     ]
     return {f.__name__: f for f in found}

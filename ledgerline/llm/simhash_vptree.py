@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_or_empty
+from .common import discard, keep_judged, materialise, text_or_empty
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -310,10 +310,8 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, leaf_target: int = LE
 
 
 def keep_representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """The documents without near copies: of each component the row with the
-    smallest doc_id stays (one row, should that doc_id repeat). Columns as in
-    `docs`. Rows that stay are known by id, so texts move once, and only if a
-    doc_id repeats must they be told apart."""
-    kept = near_duplicates(docs, bits).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    """The documents without near copies, columns as in `docs`: of each
+    component the row with the smallest doc_id stays. Rows that share a doc_id
+    are one document, kept as one row if any of them is kept."""
+    judged = near_duplicates(docs, bits)
+    return keep_judged(docs, judged.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
