@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,12 @@ def text_or_empty(df: DataFrame) -> Column:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `gone` (one column). The ids
-    are written first, so Spark knows their size and broadcasts them only if
-    they are few; else one shuffle moves the texts."""
+    """`docs` without the rows whose doc_id is in `gone` (one column). Up to
+    BROADCAST_IDS ids, counted first, are broadcast; more are joined, and one
+    shuffle moves the texts."""
     gone = materialise(gone.toDF("ledgerline_gone").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["ledgerline_gone"], "left_anti")
 
 

@@ -7,7 +7,8 @@ repetition costs, so repeats are spread before any pattern is repeated again.
 The network has one node per pattern and source, not per document. A
 pattern's flow then picks documents: whole copies of all of them, and of the
 next copy those whose seeded hash lies lowest, the boundary found from a
-histogram of hash ranges.
+histogram of hash ranges. What comes out is one rule per pattern, so rows are
+dealt where they are read: no text is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ MAX_COPIES = 3
 SEED = 1234
 BUCKETS = 4096
 MAX_PATTERNS = 20_000
+SPOTS = 2**40
 
 
 def word_count(text: Column) -> Column:
@@ -108,128 +110,154 @@ def route_flow(capacity: dict, wanted: dict, max_copies: int = MAX_COPIES) -> di
     return {key: edges[e ^ 1][1] for key, e in routes.items() if edges[e ^ 1][1] > 0}
 
 
-def mix(
-    docs: DataFrame,
-    memberships: Column | None = None,
-    weights: tuple = WEIGHTS,
-    max_copies: int = MAX_COPIES,
-    seed: int = SEED,
-    buckets: int = BUCKETS,
-    max_patterns: int = MAX_PATTERNS,
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row.
+def _placed(docs: DataFrame, memberships: Column | None, seed: int) -> list[Column]:
+    """What a rule looks at: size, pattern key and seeded hash of a row."""
+    member = (memberships if memberships is not None else F.array(F.col("source"))).cast("array<string>")
+    size = word_count(text_or_empty(docs))
+    spot = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(SPOTS))
+    # the key keeps null sources, which a join on the array's elements wouldn't
+    return [size.alias("size"), member.alias("pattern"), F.to_json(member).alias("key"), spot.alias("spot")]
 
-    memberships: array of the sources of a row, by default its `source` alone;
-    source_size and target are of the row's first source. Null text has size
-    0; a null source is a source of its own, last in order; repeated rows
-    count each; an empty table gives an empty result. More than
-    `max_patterns` membership patterns raise an error: the flow network is
-    solved on the driver, from aggregated rows only."""
-    member = memberships if memberships is not None else F.array(F.col("source"))
-    rows = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), word_count(text_or_empty(docs)).alias("size"),
-            member.cast("array<string>").alias("pattern"),
-        ).withColumn("spot", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(2**40))),
-        "mix-rows",
-    )
-    found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
+
+def _rules(rows: DataFrame, weights: tuple, max_copies: int, buckets: int, max_patterns: int) -> DataFrame:
+    """One row per pattern: key, source_size, target, whole (copies of every
+    row), cut (rows up to this (spot, doc_id) are taken once more) and picks
+    (single rows beyond it that are, too)."""
+    spark = rows.sparkSession
+    found = rows.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size"))
+    found = found.limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    capacity = {tuple(r.pattern): r.size for r in found}
+    members = {r.key: tuple(dict.fromkeys(r.pattern)) for r in found}
+    capacity: dict = {}
     sizes: dict = {}
-    for pattern, size in capacity.items():
-        for s in dict.fromkeys(pattern):
-            sizes[s] = sizes.get(s, 0) + size
-    # each token counts once in the total that is shared out
+    for r in found:
+        capacity[members[r.key]] = capacity.get(members[r.key], 0) + r.size
+        for s in members[r.key]:
+            sizes[s] = sizes.get(s, 0) + r.size
     total, target = sum(capacity.values()), quotas(sizes, weights, max_copies)
-    if sum(sizes.values()) > total:
+    if sum(sizes.values()) > total:  # each token counts once in what is shared out
         target = {s: t * total / sum(sizes.values()) for s, t in target.items()}
-    flow = route_flow({tuple(dict.fromkeys(p)): c for p, c in capacity.items() if c}, target, max_copies)
     taken: dict = {}
-    for (pattern, _), tokens in flow.items():
+    for (pattern, _), tokens in route_flow({p: c for p, c in capacity.items() if c}, target, max_copies).items():
         taken[pattern] = taken.get(pattern, 0) + tokens
+    plan = {}
+    for r in found:
+        p = members[r.key]
+        # keys that name one set of sources in different ways share its flow by size
+        whole, part = divmod(taken.get(p, 0) * r.size // capacity[p], r.size) if r.size else (1, 0)
+        plan[r.key] = {"source_size": sizes[p[0]], "target": float(target[p[0]]), "whole": whole, "part": part}
 
-    # of each pattern: whole copies, and the tokens of one more, part copy
-    spark = docs.sparkSession
-    plan = [
-        (list(p), c, sizes[p[0]], float(target[p[0]]), *(divmod(taken.get(tuple(dict.fromkeys(p)), 0), c) if c else (1, 0)))
-        for p, c in capacity.items()
-    ]
-    schema = "pattern array<string>, pattern_size long, source_size long, target double, whole long, part long"
-    plan_df = spark.createDataFrame(plan, schema)  # one row per pattern: at most max_patterns
-    width = 2**40 // buckets
-    key = F.to_json("pattern")  # a join key that keeps null sources
-    rows = rows.withColumns({"key": key, "bucket": F.floor(F.col("spot") / width).cast("int")})
-    plan_df = F.broadcast(plan_df.withColumn("key", key).drop("pattern"))
-    filled = rows.groupBy("key", "bucket").agg(F.sum("size").alias("filled"))
+    parts = F.broadcast(spark.createDataFrame([(k, v["part"]) for k, v in plan.items()], "key string, part long"))
+    width = SPOTS // buckets
+    filled = rows.groupBy("key", F.floor(F.col("spot") / width).alias("bucket")).agg(F.sum("size").alias("filled"))
     upto = F.sum("filled").over(Window.partitionBy("key").orderBy("bucket"))  # `buckets` rows per pattern at most
-    edge = (
-        filled.withColumn("upto", upto).join(plan_df.select("key", "part"), "key")
-        .where((F.col("upto") > F.col("part")) & (F.col("upto") - F.col("filled") <= F.col("part")))
-        .groupBy("key").agg(F.min("bucket").alias("edge"), F.min_by(F.col("upto") - F.col("filled"), "bucket").alias("below"))
+    below = F.col("upto") - F.col("filled")
+    edges = (
+        filled.withColumn("upto", upto).join(parts, "key").where((F.col("upto") > F.col("part")) & (below <= F.col("part")))
+        .groupBy("key").agg(F.min("bucket").alias("edge"), F.min_by(below, "bucket").alias("below"), F.first("part").alias("part"))
     )
-    edge = F.broadcast(edge)  # one row per pattern
-    dealt = rows.join(plan_df, "key").join(edge, "key", "left")
-    # in the boundary range alone rows are taken one by one, in hash order
-    running = F.sum("size").over(
-        Window.partitionBy("key").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    at_edge = dealt.where("bucket = edge").withColumn("running", running)
-    at_edge = at_edge.withColumn("extra", F.col("running") + F.col("below") <= F.col("part")).drop("running")
-    others = dealt.where("edge is null or bucket <> edge").withColumn(
-        "extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False))
-    )
-    dealt = materialise(others.unionByName(at_edge).drop("edge", "below", "bucket", "pattern_size"), "mix-dealt")
-    picks = _fill_rest(dealt, max_copies)
-    copies = F.col("whole") + F.col("extra").cast("long")
-    if picks:
-        chosen = spark.createDataFrame(picks, "key string, spot long, doc_id long, picked boolean")
-        dealt = dealt.join(F.broadcast(chosen), ["key", "spot", "doc_id"], "left")  # a few rows per pattern
-        copies = copies + F.coalesce("picked", F.lit(False)).cast("long")
-    copies = F.least(copies, F.lit(max_copies))
-    return dealt.select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
+    edges = edges.collect()  # one row per pattern
+    by_key = "key string, edge long, below long, part long"
+    at_edge = rows.join(F.broadcast(spark.createDataFrame([tuple(r) for r in edges], by_key)), "key")
+    at_edge = at_edge.where(F.floor(F.col("spot") / width) == F.col("edge"))
+    # in the boundary range alone, a 4096th of a pattern, rows are taken one by one
+    running = F.sum("size").over(Window.partitionBy("key").orderBy("spot", "doc_id")) + F.col("below")
+    last = at_edge.withColumn("running", running).where("running <= part").groupBy("key")
+    last = {r.key: tuple(r.c) for r in last.agg(F.max(F.struct("spot", "doc_id")).alias("c")).collect()}
+    for r in edges:
+        plan[r.key]["cut"] = last.get(r.key, (r.edge * width - 1, 2**63 - 1))
+    for v in plan.values():
+        v.setdefault("cut", (-1, 0))
+    _fill_rest(rows, plan, max_copies)
+    table = [
+        (k, v["source_size"], v["target"], v["whole"], v["cut"], v["picks"]) for k, v in plan.items()
+    ]
+    spot = "struct<spot: long, doc_id: long>"
+    return spark.createDataFrame(
+        table, f"key string, source_size long, target double, whole long, cut {spot}, picks array<{spot}>"
     )
 
 
-def _fill_rest(dealt: DataFrame, max_copies: int, rounds: int = 4) -> list[tuple]:
+def _fill_rest(rows: DataFrame, plan: dict, max_copies: int, rounds: int = 4) -> None:
     """The row at a boundary may be long and stay out; of each pattern the
-    largest row that still fits is then taken, a few times over. Sums and
+    largest row that still fits is then picked, a few times over. Sums and
     maxima per pattern only."""
-    got = dealt.groupBy("key").agg(
-        F.first("part").alias("part"), F.coalesce(F.sum(F.when(F.col("extra"), F.col("size"))), F.lit(0)).alias("sum")
-    )
-    room = {r.key: r.part - r.sum for r in got.collect()}
-    free = dealt.where(~F.col("extra") & (F.col("whole") < max_copies) & (F.col("size") > 0))
-    picks: list[tuple] = []
+    spark = rows.sparkSession
+    for v in plan.values():
+        v["picks"] = []
+    cuts = spark.createDataFrame([(k, v["cut"]) for k, v in plan.items()], "key string, cut struct<spot: long, doc_id: long>")
+    at = F.struct("spot", "doc_id")
+    sums = rows.join(F.broadcast(cuts), "key").where(at <= F.col("cut")).groupBy("key").agg(F.sum("size").alias("n"))
+    room = {k: v["part"] for k, v in plan.items()}
+    for r in sums.collect():
+        room[r.key] -= r.n
     for _ in range(rounds):
-        open_ = [(k, n) for k, n in room.items() if n > 0]
+        open_ = [
+            (k, n, plan[k]["cut"], plan[k]["picks"]) for k, n in room.items() if n > 0 and plan[k]["whole"] < max_copies
+        ]
         if not open_:
-            break
-        spark = dealt.sparkSession
-        fits = free.join(F.broadcast(spark.createDataFrame(open_, "key string, room long")), "key")
-        if picks:
-            taken = spark.createDataFrame([p[:3] for p in picks], "key string, spot long, doc_id long")
-            fits = fits.join(F.broadcast(taken), ["key", "spot", "doc_id"], "left_anti")
-        best = fits.where("size <= room").groupBy("key").agg(F.max(F.struct("size", "spot", "doc_id")).alias("b")).collect()
-        if not best:
-            break
+            return
+        spot = "struct<spot: long, doc_id: long>"
+        limits = spark.createDataFrame(open_, f"key string, room long, cut {spot}, picks array<{spot}>")
+        fits = rows.join(F.broadcast(limits), "key").where((at > F.col("cut")) & ~F.array_contains("picks", at))
+        best = fits.where("size > 0 and size <= room").groupBy("key").agg(F.max(F.struct("size", "spot", "doc_id")).alias("b"))
+        best = best.collect()
         for r in best:
-            picks.append((r.key, r.b.spot, r.b.doc_id, True))
+            plan[r.key]["picks"].append((r.b.spot, r.b.doc_id))
             room[r.key] -= r.b.size
-    return picks
+        if not best:
+            return
+
 
+def _copies(max_copies: int) -> Column:
+    at = F.struct("spot", "doc_id")
+    extra = (at <= F.col("cut")) | F.array_contains("picks", at)
+    return F.least(F.col("whole") + extra.cast("long"), F.lit(max_copies))
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: every row as often as the mix takes it, with
-    the columns of `docs`. Rows that share a doc_id share their copies evenly,
-    one each at least if they have any."""
-    total = mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("given"), F.count("*").alias("rows"))
-    times = F.greatest(F.floor(F.col("given") / F.col("rows")).cast("int"), F.lit(1))
-    given = materialise(
-        total.where("given > 0").select(F.col("doc_id").alias("ledgerline_id"), times.alias("ledgerline_times")), "copies"
+
+def mix(
+    docs: DataFrame,
+    memberships: Column | None = None,
+    weights: tuple = WEIGHTS,
+    max_copies: int = MAX_COPIES,
+    seed: int = SEED,
+    buckets: int = BUCKETS,
+    max_patterns: int = MAX_PATTERNS,
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every row.
+
+    memberships: array of the sources of a row, by default its `source` alone;
+    source_size and target are of the row's first source. Null text has size
+    0; a null source is a source of its own, last in order; rows repeating a
+    doc_id are dealt alike; an empty table gives an empty result. More than
+    `max_patterns` membership patterns raise an error: the flow network is
+    solved on the driver, from aggregated rows only."""
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_placed(docs, memberships, seed))
+    rows = materialise(placed, "mix-rows")
+    rules = _rules(rows, weights, max_copies, buckets, max_patterns)
+    dealt = rows.join(F.broadcast(rules), "key").withColumn("copies", _copies(max_copies))  # max_patterns rows at most
+    return dealt.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
-    joined = docs.join(given, docs["doc_id"] == given["ledgerline_id"])
-    copies = F.explode(F.sequence(F.lit(1), given["ledgerline_times"])).alias("ledgerline_copy")
-    return joined.select(*[docs[c] for c in docs.columns], copies).drop("ledgerline_copy")
+
+
+def repeat_rows(
+    docs: DataFrame,
+    memberships: Column | None = None,
+    weights: tuple = WEIGHTS,
+    max_copies: int = MAX_COPIES,
+    seed: int = SEED,
+    buckets: int = BUCKETS,
+    max_patterns: int = MAX_PATTERNS,
+) -> DataFrame:
+    """The mixed corpus itself: every row as often as `mix` takes it, with the
+    columns of `docs`."""
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_placed(docs, memberships, seed))
+    rows = materialise(placed, "mix-rows")
+    rules = _rules(rows, weights, max_copies, buckets, max_patterns).select("key", "whole", "cut", "picks")
+    _, _, key, spot = _placed(docs, memberships, seed)
+    whole = F.struct(*[docs[c] for c in docs.columns])  # kept apart, whatever its columns are called
+    dealt = docs.select(whole.alias("row"), key, spot, F.col("doc_id").cast("long").alias("doc_id"))
+    dealt = dealt.join(F.broadcast(rules), "key").withColumn("copies", _copies(max_copies)).where("copies > 0")
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
