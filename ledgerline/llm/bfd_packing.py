@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_texts, text_or_empty
 from .wordbpe import id_encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -151,7 +151,9 @@ def pack_matrices(
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return map_texts(
+        rows,
         run, SCHEMA
     )
 

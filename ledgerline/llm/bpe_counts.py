@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_texts, text_or_empty
 from .wordbpe import PRETOKEN, WordPieces, merge_ranks, vocabulary_path
 
 # Fixed values of the public vocabulary: special strings and the word-end mark.
@@ -112,9 +112,10 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
                 [batch.column(0), batch.column(2), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
             )
 
-    counted = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         text_or_empty(docs).alias("text"),
         F.octet_length(text_or_empty(docs)).cast("long").alias("n_bytes"),
-    ).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    )
+    counted = map_texts(rows, run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

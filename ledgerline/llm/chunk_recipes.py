@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_judged, materialise, text_or_empty
+from .common import keep_judged, map_texts, materialise, text_or_empty
 
 WINDOW_STEPS = (1, 2, 4, 8, 16)  # doubling: a window of 32 bytes
 MASK = np.uint32(0xFFE00000)  # 11 bits: about one cut in 2048 bytes
@@ -91,7 +91,9 @@ def recipes(docs: DataFrame) -> DataFrame:
                 ["doc_id", "text_sha256", "n_bytes", "chunks"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return map_texts(
+        rows,
         run,
         "doc_id long, text_sha256 string, n_bytes long, chunks array<struct<hash: long, length: int, sha: binary>>",
     )

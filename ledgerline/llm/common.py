@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000  # whole texts in an Arrow batch
 BROADCAST_IDS = 2_000_000  # 16 MB of ids
 
 
@@ -39,6 +40,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow over rows that carry whole texts. Arrow batches are counted
+    in rows, so their number of rows is lowered for the session: a batch of
+    10,000 documents takes tens of MB on both sides of the Python worker."""
+    conf = rows.sparkSession.conf
+    rows_now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < rows_now <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialised table that nothing reads any more."""
     spark = df.sparkSession

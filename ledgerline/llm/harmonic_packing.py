@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import map_texts, materialise, text_or_empty
 from .wordbpe import id_encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -73,7 +73,9 @@ def pieces(docs: DataFrame, path: str, capacity: int, classes: int, end_id: int)
             columns = [pa.array(c, pa.int64()) for c in (doc, start, length, crc, total)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return map_texts(
+        rows,
         run, _PIECE
     )
 

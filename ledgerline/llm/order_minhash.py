@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import map_texts, materialise, text_or_empty
 
 K = 12
 FUNCTIONS = 64
@@ -169,7 +169,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             out.append({"doc_id": held[0], "last_text": held[1]})  # an edge row
             yield pa.RecordBatch.from_pylist(out, inner)
 
-    found = materialise(ordered.mapInArrow(walk, _RESULT + ", first_text string, last_text string"), "order-minhash")
+    found = materialise(map_texts(ordered, walk, _RESULT + ", first_text string, last_text string"), "order-minhash")
     # two rows per task: each task's last row meets the next task's first
     edges = found.where("n_chars is null").select("doc_id", "first_text", "last_text")
     upcoming = Window.orderBy("doc_id", F.coalesce("first_text", "last_text"), F.col("first_text").isNull())

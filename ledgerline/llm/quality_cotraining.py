@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import map_texts, materialise, text_or_empty
 
 LABELLED_ROWS = 20_000
 POOL_ROWS = 20_000
@@ -77,10 +77,11 @@ def features(docs: DataFrame) -> DataFrame:
         return F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(BUCKETS)).cast("int")
 
     text = text_or_empty(docs)
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), bucket("source").alias("source_at"),
         bucket("lang").alias("lang_at"), (F.log1p(F.length(text)) / 10).alias("size"),
-    ).mapInArrow(run, "doc_id long, content array<double>, source_at int, lang_at int, size double")
+    )
+    return map_texts(rows, run, "doc_id long, content array<double>, source_at int, lang_at int, size double")
 
 
 @dataclass

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_judged, materialise, text_or_empty
+from .common import discard, keep_judged, map_texts, materialise, text_or_empty
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -71,7 +71,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((simhash(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text")).mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
+    return map_texts(
+        rows,
         run, "doc_id long, fp long"
     )
 
