@@ -145,20 +145,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty, whose signature is that of no symbols. Repeated
     ids order by text. The last row's next is the first; a single row is its
-    own. An empty table gives an empty result; other columns are not read."""
+    own. A null doc_id comes first. An empty table gives an empty result; other
+    columns are not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    inner = pa.schema([*_ARROW, ("first_text", pa.string()), ("last_text", pa.string())])
+    inner = pa.schema([*_ARROW, ("task_first", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = None, []
+        held, first, out = None, None, []
         for batch in batches:
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = t.as_py()
                 own = sketch(text)
                 if held is None:
-                    first = {"doc_id": doc_id, "first_text": text}
-                    out.append(first)  # an edge row
+                    first = doc_id
+                    out.append({"task_first": first, "first_text": text})  # an edge row
                 else:
                     out.append(_compared(*held, text, own))
                 held = doc_id, text, own
@@ -166,16 +167,27 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, inner)
                     out = []
         if held is not None:
-            out.append({"doc_id": held[0], "last_text": held[1]})  # an edge row
+            out.append({"doc_id": held[0], "task_first": first, "last_text": held[1]})  # an edge row
             yield pa.RecordBatch.from_pylist(out, inner)
 
-    found = materialise(map_texts(ordered, walk, _RESULT + ", first_text string, last_text string"), "order-minhash")
-    # two rows per task: each task's last row meets the next task's first
-    edges = found.where("n_chars is null").select("doc_id", "first_text", "last_text")
-    upcoming = Window.orderBy("doc_id", F.coalesce("first_text", "last_text"), F.col("first_text").isNull())
-    following = F.first("first_text", ignorenulls=True).over(upcoming.rowsBetween(1, Window.unboundedFollowing))
-    start = F.first("first_text", ignorenulls=True).over(upcoming.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lasts = edges.withColumn("next_text", F.coalesce(following, start)).where("last_text is not null")
+    columns = _RESULT + ", task_first long, first_text string, last_text string"
+    found = materialise(map_texts(ordered, walk, columns), "order-minhash")
+    # A doc_id lies in one task, so tasks are named by their first one. Only
+    # these names, one number a task, meet in a window; texts meet by joins.
+    edges = found.where("n_chars is null")
+    starts = edges.where("first_text is not null").select("task_first", "first_text")
+    named = Window.orderBy("task_first")
+    following = F.coalesce(
+        F.lead("task_first").over(named),
+        F.first("task_first").over(named.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    )
+    after = starts.select("task_first").withColumn("next_first", following)
+    after = after.withColumnRenamed("task_first", "named")
+    texts = starts.select(F.col("task_first").alias("upcoming"), F.col("first_text").alias("next_text"))
+    lasts = (
+        edges.where("last_text is not null").join(after, F.col("task_first").eqNullSafe(F.col("named")))
+        .join(texts, F.col("next_first").eqNullSafe(F.col("upcoming"))).select("doc_id", "last_text", "next_text")
+    )
 
     def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,5 +198,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_pylist(found, _ARROW)
 
-    closed = lasts.select("doc_id", "last_text", "next_text").mapInArrow(join_edges, _RESULT)
-    return found.where("n_chars is not null").drop("first_text", "last_text").unionByName(closed)
+    closed = lasts.mapInArrow(join_edges, _RESULT)
+    return found.where("n_chars is not null").drop("task_first", "first_text", "last_text").unionByName(closed)

@@ -244,6 +244,8 @@ def test_order_minhash(spark, docs):
         assert r["fingerprint"] == order_minhash.written(order_minhash.sketch(own))
         assert r["near_next"] == order_minhash.likeness(order_minhash.sketch(own), order_minhash.sketch(after))
     assert order_minhash.fingerprints(docs.where("doc_id = 6")).first().near_next == 1.0
+    unnamed = spark.createDataFrame([(None, "a"), (3, "b"), (4, "c")], "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in order_minhash.fingerprints(unnamed).collect()) == [0, 3, 4]
 
 
 def test_exact_groups(docs):
