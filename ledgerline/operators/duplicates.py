@@ -10,29 +10,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_KEYS = ["file_hash", "doc_no", "stamp_no", "village", "survey"]
+
+
+def _first_two(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """The first two rows of each group; cut to two before the shuffle as well."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("nth", F.row_number().over(w)).where("nth <= 2").drop("nth")
+
+
 def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
     """incoming and approved: id, created, file_hash, doc_no, stamp_no, village,
     survey (normalised, null where absent). Returns id, match_id, reason.
     A pair whose document numbers are equal but whose place differs doesn't go
-    on to the stamp rule. Null keys never join, so sentinels form no hot key."""
-    a = incoming.select(*[F.col(c).alias(f"a_{c}") for c in incoming.columns])
-    b = approved.select(*[F.col(c).alias(f"b_{c}") for c in approved.columns])
-    other = F.col("a_id") != F.col("b_id")
+    on to the stamp rule. Null keys never join, so sentinels form no hot key.
+
+    Rows alike in all five keys are one class. Classes are joined, not rows,
+    and carry their two earliest approved records, of which a row is one at
+    most itself; so a large group of copies makes no pairs of its members."""
+    named = F.to_json(F.struct(*_KEYS)).alias("class")  # null keys are left out, so names are exact
+    a = incoming.select(named, *_KEYS).distinct().select("class", *[F.col(c).alias(f"a_{c}") for c in _KEYS])
+    b = _first_two(approved.select("id", "created", *_KEYS), _KEYS, "created", "id")
+    b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     place = F.coalesce(F.col("a_village") == F.col("b_village"), F.lit(False)) | F.coalesce(F.col("a_survey") == F.col("b_survey"), F.lit(False))
     same_hash = F.coalesce(F.col("a_file_hash") == F.col("b_file_hash"), F.lit(False))
     same_doc = F.coalesce(F.col("a_doc_no") == F.col("b_doc_no"), F.lit(False))
 
-    def branch(key: str, test, rank: int, reason: str) -> DataFrame:
-        pairs = a.join(b, F.col(f"a_{key}") == F.col(f"b_{key}")).where(other & test)
-        return pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit(rank).alias("rank"), F.lit(reason).alias("reason"))
+    def branch(key: str, test, reason: str) -> DataFrame:
+        pairs = a.join(b, F.col(f"a_{key}") == F.col(f"b_{key}")).where(test)
+        return pairs.select("class", F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit(reason).alias("reason"))
 
     found = (
-        branch("file_hash", F.lit(True), 1, "file")
-        .unionByName(branch("doc_no", ~same_hash & (place | (F.length("a_doc_no") >= 4)), 2, "document"))
-        .unionByName(branch("stamp_no", ~same_hash & ~same_doc & (place | (F.length("a_stamp_no") >= 6)), 3, "stamp"))
+        branch("file_hash", F.lit(True), "file")
+        .unionByName(branch("doc_no", ~same_hash & (place | (F.length("a_doc_no") >= 4)), "document"))
+        .unionByName(branch("stamp_no", ~same_hash & ~same_doc & (place | (F.length("a_stamp_no") >= 6)), "stamp"))
     )
-    best = F.min(F.struct("created", "match_id", "rank", "reason")).alias("m")  # combined before the shuffle
-    return found.groupBy("id").agg(best).select("id", "m.match_id", "m.reason")
+    best = _first_two(found, ["class"], "created", "match_id")
+    matched = incoming.select("id", named).join(best, "class").where(F.col("id") != F.col("match_id"))
+    top = F.min(F.struct("created", "match_id", "reason")).alias("m")
+    return matched.groupBy("id").agg(top).select("id", "m.match_id", "m.reason")
 
 
 def ranked_best(candidates: DataFrame) -> DataFrame:
