@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, text_or_empty
+from .common import lowest, map_texts, materialise, text_or_empty
 
 LABELLED_ROWS = 20_000
 POOL_ROWS = 20_000
@@ -186,7 +186,7 @@ def score(
         F.max("quality").alias("quality")
     )
     mark = F.xxhash64(F.lit("co-training"), "doc_id")
-    rows = table.join(known, "doc_id").orderBy(mark, "doc_id").limit(labelled_rows).collect()
+    rows = lowest(table.join(known, "doc_id"), mark, "doc_id", labelled_rows).collect()
     y = np.array([r.quality for r in rows], float)
     base = float(y.mean()) if len(y) else 0.5
     if len(y) < 8 or y.min() == y.max() or len(set(y[np.arange(len(y)) % 4 == 3])) < 2:
@@ -195,7 +195,7 @@ def score(
             "doc_id", same.alias("content_score"), same.alias("metadata_score"), same.alias("quality_score"),
             (same >= 0.5).alias("keep"),
         )
-    pool = table.join(known, "doc_id", "left_anti").orderBy(mark, "doc_id").limit(pool_rows).collect()
+    pool = lowest(table.join(known, "doc_id", "left_anti"), mark, "doc_id", pool_rows).collect()
     content, meta, prior = co_train(_matrices(rows), y, _matrices(pool), rounds)
     a = _linear(content, F.col("content"))
     w, constant = _folded(meta)
