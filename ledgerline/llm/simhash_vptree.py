@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_judged, map_texts, materialise, text_or_empty
+from .common import discard, keep_judged, lowest, map_texts, materialise, text_or_empty
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -211,7 +211,7 @@ def linked_edges(distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = L
     spark = distinct.sparkSession
     n = distinct.count()
     depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / leaf_target)))))
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(32 * 2**depth).collect()] if depth else []
+    sample = [r.fp for r in lowest(distinct.select("fp"), F.xxhash64("fp"), "fp", 32 * 2**depth).collect()] if depth else []
     pivots, radii = fit_tree(np.array(sample, np.int64).view(np.uint64), depth, bits) if depth else (None, None)
     tree = spark.sparkContext.broadcast((pivots, radii))
 
