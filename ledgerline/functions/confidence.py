@@ -13,3 +13,14 @@ def rule_confidence(evidence: Column) -> Column:
 
 def final_confidence(ocr: Column, rule: Column) -> Column:
     return F.least(F.lit(0.95), F.greatest(ocr, rule))
+
+
+def provenance_confidence(ocr: Column, semantic: Column, corrected: Column, review: Column, conflict: Column, found: Column) -> Column:
+    """Confidence of a shown field: both figures weighed, then a reduction and a
+    cap for a correction, a pending review, a conflict and a missing line."""
+    c = 0.6 * ocr + 0.4 * semantic
+    c = F.when(corrected, c * 0.82).otherwise(c)
+    c = F.when(corrected | review, F.least(c, F.lit(0.78))).otherwise(c)
+    c = F.when(conflict, F.least(c * 0.75, F.lit(0.65))).otherwise(c)
+    c = F.when(found, c).otherwise(F.least(c * 0.80, F.lit(0.70)))
+    return F.least(F.lit(0.98), F.greatest(F.lit(0.20), c))

@@ -43,3 +43,26 @@ def agrees(a: Column, b: Column) -> Column:
 def masked(c: Column) -> Column:
     """Twelve-digit identity numbers masked; never emitted."""
     return F.regexp_replace(c, r"\d{4}[ -]?\d{4}[ -]?\d{4}", "[MASKED]")
+
+
+def clean_field(c: Column) -> Column:
+    """Without blanks and separators at the ends, null if nothing is left."""
+    return F.nullif(F.btrim(c, F.lit(" ,.;:-")), F.lit(""))
+
+
+def number_noise(c: Column) -> Column:
+    """Upper case, with the characters that scans confuse in numbers repaired."""
+    return F.translate(F.upper(c), "OI|\\", "01//")
+
+
+def file_slug(c: Column) -> Column:
+    """Letters and digits kept, anything else a hyphen, none at the ends."""
+    return F.btrim(F.regexp_replace(c, r"[^\p{L}\p{N}]", "-"), F.lit("-"))
+
+
+def embedded_json(c: Column) -> Column:
+    """The object in a model's answer: in a fence, else from the first brace to
+    the last, else an empty one."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    return F.when(fenced != "", fenced).when(braces != "", braces).otherwise("{}")

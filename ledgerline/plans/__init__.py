@@ -1 +1 @@
-
+from . import deeds, registry  # noqa: F401

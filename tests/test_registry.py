@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import script, text
+from ledgerline.functions import dates, geometry, script, text
 from ledgerline.operators import duplicates, store
 from ledgerline.plans import registry
 
@@ -53,3 +53,18 @@ def test_immutable_violation(spark):
     a = spark.createDataFrame([(1, "APPROVED", "p"), (2, "DRAFT", "p")], "id int, status string, payload string")
     b = spark.createDataFrame([(1, "APPROVED", "q"), (2, "DRAFT", "q")], "id int, status string, payload string")
     assert [r.id for r in store.immutable_violations(a, b, "id", "status", "payload").collect()] == [1]
+
+
+def test_dates_of_odd_texts(spark):
+    df = spark.createDataFrame([("9-1-2003",), ("31/02/2001",), ("on the 45th day of May 2001",), ("5 day of March, 1999",), (None,), ("",)], "s string")
+    c = F.col("s")
+    got = [tuple(map(str, r)) for r in df.select(dates.numeric_date(c), dates.written_date(c), dates.full_year(c)).collect()]
+    none = ("None",) * 3
+    assert got == [("2003-01-09", "None", "9-1-2003"), ("None", "None", "31-02-2001"), none, ("None", "05-03-1999", "None"), none, none]
+
+
+def test_dimensions_and_bands(spark):
+    df = spark.createDataFrame([("60 ft x 40 m", 0, 112), ("E-W 10, N/S 20", 0, 160), ("none", 5, 5), (None, 0, 1)], "s string, a long, b long")
+    got = df.select(geometry.dimensions(F.col("s")).alias("m"), geometry.line_bands(F.col("a"), F.col("b")).alias("l")).collect()
+    assert [r.m and (round(r.m.ew, 3), round(r.m.ns, 3)) for r in got] == [(18.288, 40.0), (3.048, 6.096), None, None]
+    assert [[tuple(b) for b in r.l] for r in got] == [[(0, 112)], [(0, 75), (75, 150), (150, 160)], [(5, 5)], [(0, 1)]]
