@@ -2,7 +2,7 @@
 
 White space never joins two pre-tokens of this vocabulary, so a text's ids are
 the ids of its white-space tokens, one after the other. `WordPieces` keeps
-bounded memos of white-space tokens and of pre-tokens; only pre-tokens not met
+one bounded memo of white-space tokens and pre-tokens; only pre-tokens not met
 before reach the encoder behind it. Texts with characters outside a plain
 Latin set, or with a special-token marker, take `fallback` whole: Unicode
 normal forms and special strings are then the library's business.
@@ -21,7 +21,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # and the vocabulary agree on which of these characters are white space.
 _NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r -~À-įı-ɏ]")
 _SPECIAL = "<|"
-MEMO_ENTRIES = 600_000  # about 100 bytes each, in either memo
+MEMO_ENTRIES = 800_000  # about 170 bytes each
 
 
 def is_plain(text: str) -> bool:
@@ -47,14 +47,16 @@ class WordPieces:
     """`encode(pre-token) -> value` lifted to texts; `join` merges values."""
 
     def __init__(self, encode, join, fallback):
-        self._join, self._fallback = join, fallback
-        self._words = _Memo(encode)
+        self._encode, self._join, self._fallback = encode, join, fallback
         self._split = regex.compile(PRETOKEN).findall
         self._tokens = _Memo(self._of_token)
 
     def _of_token(self, token: str):
-        words = self._words
-        return self._join([words[w] for w in self._split(token)])
+        # a pre-token splits into itself, so both kinds share one memo
+        parts = self._split(token)
+        if len(parts) == 1:
+            return self._encode(token)
+        return self._join([self._tokens[p] for p in parts])
 
     def __call__(self, text: str):
         if not is_plain(text):
