@@ -207,6 +207,17 @@ def test_language_id_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-9
 
 
+def test_language_id_keeps_the_most_frequent_types(spark):
+    counts = spark.createDataFrame([("a", i, 1 + i // 40) for i in range(400)] + [("b", i, 7) for i in range(100)], "lang string, gram long, n long")
+    share = {(r.lang, r.gram): r.n / {"a": 2200, "b": 700}[r.lang] for r in counts.collect()}
+    for limit in (0, 1, 37, 250, 499, 500, 900):
+        got = [(r.lang, r.gram) for r in kneser_ney.most_frequent(counts, limit).collect()]
+        assert len(got) == len(set(got)) == min(limit, 500)
+        left = share.keys() - set(got)
+        if got and left:
+            assert max(share[g] for g in left) <= min(share[g] for g in got) * 2 ** (1 / 64)
+
+
 def test_language_id_rejects(spark, docs):
     model = kneser_ney.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     odd = spark.createDataFrame([(1, "你好世界" * 20), (2, "12 !!"), (3, None), (4, "the and of thing")], "doc_id long, text string")
