@@ -14,6 +14,7 @@ from ledgerline.plans import registry
 HEADLINE = [
     "jurisdiction_progress", "registry_kpis", "field_confidence", "velocity_7day", "duplicate_documents", "snapshot_reconcile",
     "upsert_preserve", "learn_rules", "apply_rules", "script_profile", "normalise_text", "cross_audit", "check_status",
+    "survey_number_sets", "evidence_line", "payload_changes", "audit_timeline",
 ]
 
 

@@ -1 +1 @@
-from . import deeds, registry  # noqa: F401
+from . import deeds, registry, reviews  # noqa: F401

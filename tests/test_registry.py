@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, geometry, script, text
-from ledgerline.operators import duplicates, store
+from ledgerline.operators import duplicates, fields, store
 from ledgerline.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,28 @@ def test_dimensions_and_bands(spark):
     got = df.select(geometry.dimensions(F.col("s")).alias("m"), geometry.line_bands(F.col("a"), F.col("b")).alias("l")).collect()
     assert [r.m and (round(r.m.ew, 3), round(r.m.ns, 3)) for r in got] == [(18.288, 40.0), (3.048, 6.096), None, None]
     assert [[tuple(b) for b in r.l] for r in got] == [[(0, 112)], [(0, 75), (75, 150), (150, 160)], [(5, 5)], [(0, 1)]]
+
+
+def test_spelling_variants(spark):
+    pairs = [("Ghatkesar", "Ghatkesar"), ("Ghatkesar", "Ghatkesr"), ("Ramapuram", "East Ramapuram"), ("abc", "xabc y"), ("Plot 12", "Plot 13"), (None, "a"), (None, None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in df.select(fields.spelling_variant("a", "b")).collect()] == [True, True, True, False, False, False, False]
+
+
+def test_word_lines_follow_slanted_text(spark):
+    words = [(1, 1, w, 0.5, x, y, 10) for w, x, y in (("b", 50, 103), ("a", 0, 100), ("c", 99, 110), ("e", 60, 130), ("d", 0, 131))]
+    df = spark.createDataFrame([*words, (2, 1, "x", 1.0, 0, 0, 10)], "doc long, page long, text string, score double, x_min int, y_center int, height int")
+    assert sorted(tuple(r) for r in fields.word_lines(df).collect()) == [(1, 1, 1, "a b c", 0.5), (1, 1, 2, "d e", 0.5), (2, 1, 1, "x", 1.0)]
+
+
+def test_number_sets_prefer_the_plan(spark):
+    rows = [(1, [278, 281], True, 1.05, 1, 1), (1, [5, 6, 7], False, 0.9, 2, 2), (2, [1, 2], False, 0.9, 1, 1), (2, [2, 3], False, 0.85, 1, 2), (2, [1], False, 0.9, 1, 3)]
+    df = spark.createDataFrame(rows, "doc long, numbers array<int>, preferred boolean, score double, page int, ordinal int")
+    assert sorted(tuple(r) for r in fields.number_sets(df).collect()) == [(1, [278, 281], False), (2, [1, 2], True)]
+
+
+def test_decisions(spark):
+    rows = [("reject", False, False, None), ("approve", True, True, None), ("approve", False, True, None), ("approve", False, False, ""), (None, False, False, "x")]
+    df = spark.createDataFrame(rows, "a string, d boolean, f boolean, r string")
+    got = [tuple(r[0]) for r in df.select(fields.decide(*map(F.col, "adfr"))).collect()]
+    assert got == [(None, "a reason is needed"), (None, "duplicate"), (None, "critical check failed"), ("APPROVED", "sealed"), (None, "unknown action")]
