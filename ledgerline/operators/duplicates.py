@@ -19,6 +19,15 @@ def _first_two(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).where("nth <= 2").drop("nth")
 
 
+def _two_texts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group the two earliest rows of each of the two file hashes met
+    first: enough to find, for any hash, the earliest row of another."""
+    first = F.min(F.struct("b_created", "b_id")).over(Window.partitionBy(*by, "b_file_hash"))
+    few = _first_two(rows, [*by, "b_file_hash"], "b_created", "b_id").withColumn("first", first)
+    nth = F.dense_rank().over(Window.partitionBy(*by).orderBy("first", "b_file_hash"))
+    return few.withColumn("nth", nth).where("nth <= 2").drop("nth", "first")
+
+
 def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
     """incoming and approved: id, created, file_hash, doc_no, stamp_no, village,
     survey (normalised, null where absent). Returns id, match_id, reason.
@@ -27,7 +36,9 @@ def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
 
     Rows alike in all five keys are one class. Classes are joined, not rows,
     and carry their two earliest approved records, of which a row is one at
-    most itself; so a large group of copies makes no pairs of its members."""
+    most itself; so a large group of copies makes no pairs of its members. Nor
+    do many texts of one document number: each needs the earliest of another
+    text only."""
     named = F.to_json(F.struct(*_KEYS)).alias("class")  # null keys are left out, so names are exact
     a = incoming.select(named, *_KEYS).distinct().select("class", *[F.col(c).alias(f"a_{c}") for c in _KEYS])
     b = _first_two(approved.select("id", "created", *_KEYS), _KEYS, "created", "id")
@@ -40,12 +51,18 @@ def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
         pairs = a.join(b, F.col(f"a_{key}") == F.col(f"b_{key}")).where(test)
         return pairs.select("class", F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit(reason).alias("reason"))
 
+    def document(by: list[str], size) -> DataFrame:
+        others = _two_texts(b.where(size(F.length("b_doc_no"))), [f"b_{c}" for c in by])
+        pairs = a.where(size(F.length("a_doc_no"))).join(others, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]).where(~same_hash)
+        return pairs.select("class", F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit("document").alias("reason"))
+
     found = (
         branch("file_hash", F.lit(True), "file")
-        .unionByName(branch("doc_no", ~same_hash & (place | (F.length("a_doc_no") >= 4)), "document"))
+        .unionByName(document(["doc_no"], lambda n: n >= 4))
+        .unionByName(document(["doc_no", "village"], lambda n: n < 4)).unionByName(document(["doc_no", "survey"], lambda n: n < 4))
         .unionByName(branch("stamp_no", ~same_hash & ~same_doc & (place | (F.length("a_stamp_no") >= 6)), "stamp"))
     )
-    best = _first_two(found, ["class"], "created", "match_id")
+    best = _first_two(found.distinct(), ["class"], "created", "match_id")
     matched = incoming.select("id", named).join(best, "class").where(F.col("id") != F.col("match_id"))
     top = F.min(F.struct("created", "match_id", "reason")).alias("m")
     return matched.groupBy("id").agg(top).select("id", "m.match_id", "m.reason")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +146,36 @@ def duplicate_documents(spark, d):
     return duplicates.duplicate_of(docs, docs.where("id % 10 = 0"))
 
 
+_REGISTER = """
+  SELECT doc_id AS id, sha256(text) AS file_hash,
+    CASE WHEN length(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g') || n_chars) >= 3 THEN lower(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g')) || n_chars END AS doc_no,
+    CASE WHEN length(bare) >= 4 AND bare NOT IN ('none', 'null', 'unknown', 'notfound', 'unnumbered', 'applied') THEN sha256(bare) END AS stamp_no,
+    lang AS village, source AS survey
+  FROM (SELECT *, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS bare FROM documents)"""
+
+
+@query(f"""
+WITH d AS ({_REGISTER}),
+p AS (
+  SELECT a.id, b.id AS match_id, 'file' AS reason FROM d a JOIN d b ON a.id <> b.id AND a.file_hash = b.file_hash
+  UNION ALL SELECT a.id, b.id, 'document' FROM d a JOIN d b ON a.id <> b.id AND a.doc_no = b.doc_no
+    WHERE a.file_hash IS DISTINCT FROM b.file_hash AND (a.village = b.village OR a.survey = b.survey OR length(a.doc_no) >= 4)
+  UNION ALL SELECT a.id, b.id, 'stamp' FROM d a JOIN d b ON a.id <> b.id AND a.stamp_no = b.stamp_no
+    WHERE a.file_hash IS DISTINCT FROM b.file_hash AND a.doc_no IS DISTINCT FROM b.doc_no)
+SELECT id, min(match_id) AS match_id, arg_min(reason, match_id) AS reason FROM p GROUP BY id""")
+def duplicate_register(spark, d):
+    """Every document against all others; the stamp key is a hash of all letters and digits of the text."""
+    bare = F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))
+    docs = t(spark, d, "documents").withColumn("bare", bare).select(
+        F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), F.sha2("text", 256).alias("file_hash"),
+        text.identifier(F.concat("source", F.col("n_chars").cast("string")), 3).alias("doc_no"),
+        F.when(~F.col("bare").isin(*text.ID_SENTINELS) & (F.length("bare") >= 4), F.sha2("bare", 256)).alias("stamp_no"),
+        F.col("lang").alias("village"), F.col("source").alias("survey"),
+    )
+    docs = docs.persist(StorageLevel.DISK_ONLY)  # the joins read the keys several times, the texts once
+    return duplicates.duplicate_of(docs, docs)
+
+
 @query("SELECT event_id, sha256(concat_ws('|', event_id::VARCHAR, coalesce(user_id::VARCHAR, '<null>'), coalesce(event_type, '<null>'))) AS fingerprint FROM events")
 def record_fingerprint(spark, d):
     events = t(spark, d, "events")

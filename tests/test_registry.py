@@ -49,6 +49,29 @@ def test_doc_equal_pair_skips_stamp_rule(spark):
     assert [tuple(r) for r in duplicates.duplicate_of(a, b).collect()] == [(1, 3, "stamp")]
 
 
+def test_every_document_is_in_the_register(spark, tmp_path):
+    long = "x" * 50
+    docs = [(11, "a copy", "en", "s1"), (12, "a copy", "fr", "s2"), (13, long + " one", "en", "s3"), (14, long + " two!", "en", "s4"), (15, long + "-one!?", "fr", "s5"), (17, None, None, None)]
+    docs += [(21 + i, f"text {i % 7}{'.' * (i % 3)}", "en", f"s{i % 4}") for i in range(40)]
+    made = spark.createDataFrame([(*r, len(r[1] or "")) for r in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def keys(r):
+        bare = "".join(c for c in r[1] or "" if c.isascii() and c.isalnum()).lower()
+        return r[1], None if r[3] is None else f"{r[3]}{len(r[1])}", bare if len(bare) >= 4 else None
+
+    want = {}
+    for a in docs:
+        for b in docs:
+            (fa, da, sa), (fb, db, sb) = keys(a), keys(b)
+            named = da and da == db
+            reason = "file" if fa and fa == fb else "document" if named and (len(da) >= 4 or a[2] == b[2] or a[3] == b[3]) else "stamp" if sa and sa == sb and not named else None
+            if a[0] != b[0] and reason:
+                want[a[0]] = min(want.get(a[0], (10**9, "")), (b[0], reason))
+    got = {r.id: (r.match_id, r.reason) for r in registry.QUERIES["duplicate_register"](spark, str(tmp_path)).collect()}
+    assert got == want and got[11] == (12, "file") and got[12] == (11, "file") and got[13] == (15, "stamp") and 14 not in got
+
+
 def test_immutable_violation(spark):
     a = spark.createDataFrame([(1, "APPROVED", "p"), (2, "DRAFT", "p")], "id int, status string, payload string")
     b = spark.createDataFrame([(1, "APPROVED", "q"), (2, "DRAFT", "q")], "id int, status string, payload string")
