@@ -7,7 +7,7 @@ repetition costs, so repeats are spread before any pattern is repeated again.
 The network has one node per pattern and source, not per document. A
 pattern's flow then picks documents: whole copies of all of them, and of the
 next copy those whose seeded hash lies lowest, the boundary found from a
-histogram of hash ranges. What comes out is one rule per pattern, so rows are
+histogram of hash ranges, and beyond it those that fit the room left. What comes out is one rule per pattern, so rows are
 dealt where they are read: no text is joined or shuffled.
 """
 
@@ -121,8 +121,8 @@ def _placed(docs: DataFrame, memberships: Column | None, seed: int) -> list[Colu
 
 def _rules(rows: DataFrame, weights: tuple, max_copies: int, buckets: int, max_patterns: int) -> DataFrame:
     """One row per pattern: key, source_size, target, whole (copies of every
-    row), cut (rows up to this (spot, doc_id) are taken once more) and picks
-    (single rows beyond it that are, too)."""
+    row), cut (rows up to this (spot, doc_id) are taken once more) and runs
+    (ranges beyond it whose rows up to a size are, too)."""
     spark = rows.sparkSession
     found = rows.groupBy("key").agg(F.first("pattern").alias("pattern"), F.sum("size").alias("size"))
     found = found.limit(max_patterns + 1).collect()
@@ -169,50 +169,75 @@ def _rules(rows: DataFrame, weights: tuple, max_copies: int, buckets: int, max_p
         plan[r.key]["cut"] = last.get(r.key, (r.edge * width - 1, 2**63 - 1))
     for v in plan.values():
         v.setdefault("cut", (-1, 0))
-    _fill_rest(rows, plan, max_copies)
+    _fill_rest(rows, plan, max_copies, width)
     table = [
-        (k, v["source_size"], v["target"], v["whole"], v["cut"], v["picks"]) for k, v in plan.items()
+        (k, v["source_size"], v["target"], v["whole"], v["cut"], v["runs"]) for k, v in plan.items()
     ]
     spot = "struct<spot: long, doc_id: long>"
     return spark.createDataFrame(
-        table, f"key string, source_size long, target double, whole long, cut {spot}, picks array<{spot}>"
+        table, f"key string, source_size long, target double, whole long, cut {spot}, "
+        f"runs array<struct<after: {spot}, before: {spot}, room: long>>"
     )
 
 
-def _fill_rest(rows: DataFrame, plan: dict, max_copies: int, rounds: int = 4) -> None:
-    """The row at a boundary may be long and stay out; of each pattern the
-    largest row that still fits is then picked, a few times over. Sums and
-    maxima per pattern only."""
-    spark = rows.sparkSession
+def _fill_rest(rows: DataFrame, plan: dict, max_copies: int, width: int) -> None:
+    """The row at a boundary may be long and stay out. From there on rows above
+    the room left are passed over and the next run of those that fit is taken,
+    up to a new boundary, until no row fits: each boundary row is above the room
+    it leaves, so the room shrinks with the size of the rows in question. A run
+    is kept as a rule (its ends and the largest size taken), never as a list."""
+    spark, spot = rows.sparkSession, "struct<spot: long, doc_id: long>"
     for v in plan.values():
-        v["picks"] = []
-    cuts = spark.createDataFrame([(k, v["cut"]) for k, v in plan.items()], "key string, cut struct<spot: long, doc_id: long>")
+        v["runs"] = []
+    cuts = spark.createDataFrame([(k, v["cut"]) for k, v in plan.items()], f"key string, cut {spot}")
     at = F.struct("spot", "doc_id")
     sums = rows.join(F.broadcast(cuts), "key").where(at <= F.col("cut")).groupBy("key").agg(F.sum("size").alias("n"))
     room = {k: v["part"] for k, v in plan.items()}
     for r in sums.collect():
         room[r.key] -= r.n
-    for _ in range(rounds):
-        open_ = [
-            (k, n, plan[k]["cut"], plan[k]["picks"]) for k, n in room.items() if n > 0 and plan[k]["whole"] < max_copies
-        ]
-        if not open_:
-            return
-        spot = "struct<spot: long, doc_id: long>"
-        limits = spark.createDataFrame(open_, f"key string, room long, cut {spot}, picks array<{spot}>")
-        fits = rows.join(F.broadcast(limits), "key").where((at > F.col("cut")) & ~F.array_contains("picks", at))
-        best = fits.where("size > 0 and size <= room").groupBy("key").agg(F.max(F.struct("size", "spot", "doc_id")).alias("b"))
-        best = best.collect()
-        for r in best:
-            plan[r.key]["picks"].append((r.b.spot, r.b.doc_id))
-            room[r.key] -= r.b.size
-        if not best:
+    start = {k: v["cut"] for k, v in plan.items()}
+    open_ = {k for k, n in room.items() if n > 0 and plan[k]["whole"] < max_copies}
+    while open_:
+        limits = spark.createDataFrame([(k, room[k], start[k]) for k in open_], f"key string, room long, start {spot}")
+        fits = rows.join(F.broadcast(limits), "key").where((at > F.col("start")) & (F.col("size") > 0) & (F.col("size") <= F.col("room")))
+        bucket = F.floor(F.col("spot") / width)
+        filled = fits.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("filled"), F.max("room").alias("room"))
+        upto = F.sum("filled").over(Window.partitionBy("key").orderBy("bucket"))  # `buckets` rows per pattern at most
+        filled = filled.withColumn("upto", upto)
+        over = F.col("upto") > F.col("room")
+        found = filled.groupBy("key").agg(
+            F.min(F.when(over, F.col("bucket"))).alias("edge"), F.min_by(F.col("upto") - F.col("filled"), F.when(over, F.col("bucket"))).alias("below"),
+        ).collect()
+        done = open_ - {r.key for r in found}
+        edges = [(r.key, r.edge, r.below) for r in found if r.edge is not None]
+        for r in found:
+            if r.edge is None:  # all that fit are taken
+                plan[r.key]["runs"].append((start[r.key], (SPOTS, 0), room[r.key]))
+                done.add(r.key)
+        open_ -= done
+        if not edges:
             return
+        edges = F.broadcast(spark.createDataFrame(edges, "key string, edge long, below long"))
+        near = fits.join(edges, "key").where(bucket == F.col("edge"))
+        running = F.sum("size").over(Window.partitionBy("key").orderBy("spot", "doc_id")) + F.col("below")
+        near = near.withColumn("running", running).groupBy("key").agg(
+            F.min(F.when(F.col("running") > F.col("room"), at)).alias("over"),
+            F.max(F.when(F.col("running") <= F.col("room"), F.col("running"))).alias("sum"), F.max("below").alias("below"),
+        )
+        for r in near.collect():
+            end, taken = tuple(r.over), r.below if r.sum is None else r.sum
+            plan[r.key]["runs"].append((start[r.key], end, room[r.key]))
+            start[r.key] = end
+            room[r.key] -= taken
+            if room[r.key] <= 0:
+                open_.discard(r.key)
 
 
 def _copies(max_copies: int) -> Column:
     at = F.struct("spot", "doc_id")
-    extra = (at <= F.col("cut")) | F.array_contains("picks", at)
+    size = F.col("size")
+    in_run = F.exists("runs", lambda r: (at > r["after"]) & (at < r["before"]) & (size > 0) & (size <= r["room"]))
+    extra = (at <= F.col("cut")) | in_run
     return F.least(F.col("whole") + extra.cast("long"), F.lit(max_copies))
 
 
@@ -255,9 +280,9 @@ def repeat_rows(
     columns of `docs`."""
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_placed(docs, memberships, seed))
     rows = materialise(placed, "mix-rows")
-    rules = _rules(rows, weights, max_copies, buckets, max_patterns).select("key", "whole", "cut", "picks")
-    _, _, key, spot = _placed(docs, memberships, seed)
+    rules = _rules(rows, weights, max_copies, buckets, max_patterns).select("key", "whole", "cut", "runs")
+    size, _, key, spot = _placed(docs, memberships, seed)
     whole = F.struct(*[docs[c] for c in docs.columns])  # kept apart, whatever its columns are called
-    dealt = docs.select(whole.alias("row"), key, spot, F.col("doc_id").cast("long").alias("doc_id"))
+    dealt = docs.select(whole.alias("row"), size, key, spot, F.col("doc_id").cast("long").alias("doc_id"))
     dealt = dealt.join(F.broadcast(rules), "key").withColumn("copies", _copies(max_copies)).where("copies > 0")
     return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -191,6 +191,33 @@ def test_mixing(spark, docs):
     assert flow_mixing.repeat_rows(docs).columns == docs.columns and flow_mixing.mix(docs).count() == len(ODD)
 
 
+def test_mixing_passes_over_long_documents(spark):
+    # one document of a sixth of its source at the boundary, many that fit beyond it
+    sizes = [20] * 3000
+    rows = [(i, "w " * n, "ab"[i % 2]) for i, n in enumerate(sizes)]
+    for long in range(40):
+        mixed = [(i, t, s) if i != long else (i, "w " * 6000, s) for i, t, s in rows]
+        found = {s: [(xxhash_spot(i), i) for i, _, x in mixed if x == s] for s in "ab"}
+        s = "ab"[long % 2]
+        order = sorted(found[s])
+        if 0.45 < order.index((xxhash_spot(long), long)) / len(order) < 0.6:
+            break
+    else:
+        raise AssertionError("no document near the boundary")
+    docs = spark.createDataFrame(mixed, "doc_id long, text string, source string")
+    weights = (2, 5) if s == "a" else (5, 2)
+    got = flow_mixing.mix(docs, weights=weights).toPandas().set_index("doc_id").sort_index()
+    got["source"] = [r[2] for r in mixed]
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (by.target - by.taken).between(-1, 21).all()
+    assert flow_mixing.repeat_rows(docs, weights=weights).count() == got.copies.sum()
+
+
+def xxhash_spot(i):
+    seeded = xxhash.xxh64_intdigest(flow_mixing.SEED.to_bytes(4, "little"), 42)
+    return xxhash.xxh64_intdigest(i.to_bytes(8, "little"), seeded) % 2**40
+
+
 def test_language_id_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = kneser_ney.identify(d).toPandas().merge(d.select("doc_id", "lang").toPandas(), on="doc_id")
