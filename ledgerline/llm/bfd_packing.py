@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_or_empty
-from .wordbpe import id_encoder, vocabulary_path
+from .common import text_or_empty
+from .wordbpe import id_encoder, largest_id, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 2
@@ -58,7 +58,8 @@ class CapacityTree:
 
 
 def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of indexes into `lengths`; ties by index, oldest bin first out."""
+    """Bins of indexes into `lengths`; equal lengths in order of index, and of
+    bins with equal room the one that came to it last."""
     tree, bins = CapacityTree(capacity), []
     by_room: dict[int, list[int]] = {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -109,9 +110,12 @@ def pack_matrices(
     on from its doc_start).
 
     Null text counts as empty: the end id alone. Repeated rows are packed
-    each; an empty table gives an empty result; other columns are not read."""
+    each, null ids among them; an empty table gives an empty result; other
+    columns are not read. Ids that `id_bytes` bytes can't hold are an error."""
     path = path or vocabulary_path()
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
+    if max(largest_id(path), end_id, pad_id) >= 256**id_bytes:
+        raise ValueError(f"ids of {path} need more than {id_bytes} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -152,12 +156,4 @@ def pack_matrices(
         yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return map_texts(
-        rows,
-        run, SCHEMA
-    )
-
-
-def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write the packed sequences as Parquet; a row's `ids` is one matrix row."""
-    packed.write.mode("overwrite").parquet(path)
+    return rows.mapInArrow(run, SCHEMA)

@@ -11,7 +11,6 @@ strings (one token each); normal form and lower case follow the vocabulary.
 from __future__ import annotations
 
 import heapq
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_or_empty
-from .wordbpe import PRETOKEN, WordPieces, merge_ranks, vocabulary_path
+from .common import text_or_empty
+from .wordbpe import WordPieces, merge_ranks, vocabulary_path
 
 # Fixed values of the public vocabulary: special strings and the word-end mark.
 SPECIAL_STRINGS = ("<|startoftext|>", "<|endoftext|>")
@@ -41,9 +40,8 @@ def byte_symbols() -> list[str]:
 _BYTE_SYMBOLS = byte_symbols()
 
 
-def merged_count(word: str, ranks: dict[tuple[str, str], int]) -> int:
-    """Number of tokens of one pre-token."""
-    symbols = [_BYTE_SYMBOLS[b] for b in word.encode("utf-8")]
+def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+    """Number of tokens of one pre-token, given as the symbols of its bytes."""
     n = len(symbols)
     if n == 0:
         return 0
@@ -75,21 +73,21 @@ def merged_count(word: str, ranks: dict[tuple[str, str], int]) -> int:
 def token_counter(path: str) -> WordPieces:
     """Text -> number of tokens; one counter, with its memo, per worker."""
     if path not in _counters:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        normal, split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         ranks = merge_ranks(path)
-        words = regex.compile(PRETOKEN).findall
         special = regex.compile("|".join(map(regex.escape, SPECIAL_STRINGS)))
 
         def count(word: str) -> int:
-            return merged_count(word, ranks)
+            return merged_count([_BYTE_SYMBOLS[b] for b in word.encode("utf-8")], ranks)
 
         def whole(text: str) -> int:
-            total, parts = 0, special.split(text)
-            for part in parts:
-                normal = unicodedata.normalize("NFC", part)
-                # lower case by single characters: no final-sigma rule
-                lower = "".join(map(str.lower, normal)) if "Σ" in normal else normal.lower()
-                total += sum(map(count, words(lower)))
-            return total + len(parts) - 1
+            parts = special.split(text)
+            # the vocabulary's pre-tokens come as the symbols of their bytes
+            words = (list(word) for part in parts for word, _ in split(normal(part)))
+            return sum(merged_count(word, ranks) for word in words) + len(parts) - 1
 
         _counters[path] = WordPieces(count, sum, whole)
     return _counters[path]
@@ -99,8 +97,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) per row.
 
     Null text counts as empty (0 bytes, 0 tokens); repeated rows are counted
-    each; an empty table gives an empty result; other columns are not read.
-    Runs in the scan's own partitions: no shuffle at any size."""
+    each, null ids among them; an empty table gives an empty result; other
+    columns are not read. Runs in the scan's own partitions: no shuffle at any size."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,5 +115,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
         text_or_empty(docs).alias("text"),
         F.octet_length(text_or_empty(docs)).cast("long").alias("n_bytes"),
     )
-    counted = map_texts(rows, run, "doc_id long, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -9,7 +9,9 @@ the placeholders will expand to. Turns are framed by control strings:
 
 Control strings inside texts get one backslash after their first character
 (after any there already), which `unescape` takes out again, so formatting is
-reversible whatever the texts say.
+reversible whatever the texts say. A placeholder names its part's type only by
+letters, digits and `_`, so no type can forge a control string; the recorded
+attachment keeps the type as it is.
 """
 
 from __future__ import annotations
@@ -48,28 +50,35 @@ def _tokens(part: Column) -> Column:
 
 def flatten_parts(parts: Column) -> Column:
     """struct(text, attachments array<struct<index, type, ref, tokens>>,
-    expanded_tokens) of a content array. Null parts or texts are empty; an
-    attachment of unknown type is a placeholder of its own type name."""
+    expanded_tokens) of a content array. Null parts or texts are empty; a part
+    without a type is text; an attachment of unknown type is a placeholder of
+    its own type name, other characters than letters, digits and `_` made `_`.
+
+    Each step walks the parts once: an attachment's ordinal is read from an
+    array that repeats it up to the place of the next one."""
     parts = F.coalesce(parts.cast(PART_TYPE), F.array().cast(PART_TYPE))
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    attached = F.filter(parts, lambda p: ~is_text(p))
+    n = F.size(parts)
+    attached = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p.alias("p"))), lambda x: ~is_text(x["p"]))
     attachments = F.transform(
         attached,
-        lambda p, i: F.struct((i + 1).alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
+        lambda x, i: F.struct(
+            (i + 1).alias("index"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), _tokens(x["p"]).alias("tokens")
+        ),
     )
 
-    def visit(p: Column, i: Column) -> Column:
-        # ordinal among the attachments: those at or before this place
-        ordinal = F.size(F.filter(F.slice(parts, F.lit(1), i + 1), lambda q: ~is_text(q)))
-        placeholder = F.concat(F.lit("<|"), p["type"], F.lit(":"), ordinal.cast("string"), F.lit("|>"))
+    def written(p: Column, ordinal: Column) -> Column:
+        kind = F.regexp_replace(p["type"], "[^A-Za-z0-9_]", "_")
+        placeholder = F.concat(F.lit("<|"), kind, F.lit(":"), ordinal.cast("string"), F.lit("|>"))
         return F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder)
 
-    # plain one-part contents, the common case, skip the ordinal search
-    single = F.transform(parts, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), p["type"], F.lit(":1|>"))))
-    text = F.array_join(F.when(F.size(parts) <= 1, single).otherwise(F.transform(parts, visit)), "")
-    total = F.aggregate(attachments, F.lit(0), lambda n, a: n + a["tokens"])
-    return F.struct(text.alias("text"), attachments.alias("attachments"), total.alias("expanded_tokens"))
+    places = F.transform(attached, lambda x: x["at"])
+    runs = F.transform(places, lambda at, i: F.array_repeat(i + 1, F.coalesce(F.get(places, i + 1), n) - at))
+    ordinals = F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(places, F.lit(0)), n)), F.flatten(runs))
+    # a single part, the common case, needs no ordinals
+    pieces = F.when(n <= 1, F.transform(parts, lambda p: written(p, F.lit(1)))).otherwise(F.zip_with(parts, ordinals, written))
+    total = F.aggregate(attachments, F.lit(0).cast("long"), lambda m, a: m + a["tokens"])
+    return F.struct(F.array_join(pieces, "").alias("text"), attachments.alias("attachments"), total.alias("expanded_tokens"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -77,7 +86,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
     loss_spans array<struct<start, length>> (code points of the formatted
     string that assistants said), attachments, expanded_tokens.
 
-    Turns order by turn, ties by role, then content. Null roles are empty."""
+    Turns order by turn, a null one first, ties by role, then content. Null
+    roles are empty; turns without a conv_id are one conversation; an empty
+    table gives an empty result; other columns are not read. A conversation
+    is one output value, so it has to fit a task."""
     flat = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten_parts(F.col("parts")).alias("c"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     flat = flat.withColumn("head", head).withColumn("piece", F.concat("head", F.col("c.text"), F.lit(END)))
@@ -96,7 +108,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.array_compact(F.transform("t", lambda x: x["said"])).alias("loss_spans"),
         F.flatten(F.transform("t", lambda x: x["a"])).alias("attachments"),
-        F.aggregate("t", F.lit(0), lambda n, x: n + x["n"]).alias("expanded_tokens"),
+        F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("expanded_tokens"),
     )
 
 
@@ -119,8 +131,11 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and
-    formatted_chars, all read back from the formatted output."""
+    formatted_chars, all read back from the formatted output; then
+    n_attachments, expanded_tokens and attachments_sha256 (of type, ref and
+    tokens by line) as the visitor recorded them."""
     turns = read_back(F.col("formatted"))
+    recorded = lambda a: F.concat_ws(" ", a["type"], F.coalesce(a["ref"], F.lit("")), F.concat(a["tokens"].cast("string"), F.lit("\n")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = formatted.withColumn("turns", turns).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans")))
     return read.select(
@@ -130,4 +145,7 @@ def digest(formatted: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
+        F.sha2(F.array_join(F.transform("attachments", recorded), ""), 256).alias("attachments_sha256"),
     )

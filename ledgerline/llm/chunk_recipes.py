@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_judged, map_texts, materialise, text_or_empty
+from .common import ROW_KEY, keep_judged, materialise, row_key, row_order, text_or_empty
 
 WINDOW_STEPS = (1, 2, 4, 8, 16)  # doubling: a window of 32 bytes
 MASK = np.uint32(0xFFE00000)  # 11 bits: about one cut in 2048 bytes
@@ -69,13 +69,13 @@ _CHUNK_TYPE = pa.list_(pa.struct([("hash", pa.int64()), ("length", pa.int32()),
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the normalised text, n_bytes, and the ordered
-    chunks (hash, length, sha) of each row."""
+    """doc_id, row key, text_sha256 of the normalised text, n_bytes, and the
+    ordered chunks (hash, length, sha) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shas, sizes, lists = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(0):
                 data = normalise(text.as_py())
                 shas.append(hashlib.sha256(data).hexdigest())
                 sizes.append(len(data))
@@ -87,15 +87,15 @@ def recipes(docs: DataFrame) -> DataFrame:
                     start = end
                 lists.append(chunks)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shas), pa.array(sizes, pa.int64()), pa.array(lists, _CHUNK_TYPE)],
-                ["doc_id", "text_sha256", "n_bytes", "chunks"],
+                [*batch.columns[1:], pa.array(shas), pa.array(sizes, pa.int64()), pa.array(lists, _CHUNK_TYPE)],
+                ["doc_id", *ROW_KEY, "text_sha256", "n_bytes", "chunks"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return map_texts(
-        rows,
+    rows = docs.select(text_or_empty(docs).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs))
+    return rows.mapInArrow(
         run,
-        "doc_id long, text_sha256 string, n_bytes long, chunks array<struct<hash: long, length: int, sha: binary>>",
+        "doc_id long, key_id long, key_a long, key_b long, text_sha256 string, n_bytes long, "
+        "chunks array<struct<hash: long, length: int, sha: binary>>",
     )
 
 
@@ -108,30 +108,38 @@ def chunk_store(cooked: DataFrame) -> DataFrame:
     )
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id (smallest doc_id of the equal texts), group_size, kept,
-    text_sha256 of every row.
-
-    Null text counts as empty; empty texts are equal to each other. Of rows
-    repeating one doc_id and text all are `kept` if that doc_id is the
-    smallest. An empty table gives an empty result."""
+def _with_groups(docs: DataFrame, *figures: Column) -> DataFrame:
+    """The rows of `recipes` joined with figures of their group of equals."""
     cooked = materialise(recipes(docs), "recipes")
     if chunk_store(cooked).where("not verified").isEmpty():
         identifiers = F.transform("chunks", lambda c: F.struct(c["hash"], c["length"]))
     else:
         identifiers = F.transform("chunks", lambda c: c["sha"])
-    rows = cooked.select("doc_id", "text_sha256", identifiers.alias("recipe"))
-    groups = materialise(
-        rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups"
-    )
+    rows = cooked.select("doc_id", *ROW_KEY, "text_sha256", identifiers.alias("recipe"))
+    groups = materialise(rows.groupBy("recipe").agg(*figures), "recipe-groups")
     # the hot group's rows are on one side of a plain equi-join: AQE splits them
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    return rows.join(groups, "recipe")
+
+
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id (smallest doc_id of the equal texts), group_size, kept,
+    text_sha256 of every row.
+
+    Null text counts as empty; empty texts are equal to each other. Of rows
+    repeating one doc_id and text all are `kept` if that doc_id is the
+    smallest. A null doc_id comes after all others: a group of nulls alone has
+    a null keep_id and its rows are `kept`. An empty table gives an empty
+    result; other columns are not read."""
+    rows = _with_groups(docs, F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without exact copies, columns as in `docs`: of equal texts
-    the row with the smallest doc_id stays. Rows that share a doc_id are one
-    document, kept as one row if any of them is kept."""
-    return keep_judged(docs, exact_groups(docs).select("doc_id", "kept"))
+    one row stays, of smallest doc_id (null after all others), then least text
+    hash. Rows are told apart by doc_id and text, so a repeated or null doc_id
+    loses no other text; of rows alike in both one stays (see `keep_judged`). A
+    null text is an empty one. An empty table stays empty."""
+    rows = _with_groups(docs, F.min(row_order()).alias("first"))
+    return keep_judged(docs, rows.select(*ROW_KEY, (row_order() == F.col("first")).alias("kept")))

@@ -1,16 +1,21 @@
 """Helpers shared by the training-data operators: tables, shared-folder
-materialisation and column-safe projections."""
+materialisation, row keys and column-safe filters."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 1_000  # whole texts in an Arrow batch
-BROADCAST_IDS = 2_000_000  # 16 MB of ids
+BROADCAST_ROWS = 1_000_000  # 24 MB of row keys
+ROW_KEY = ("key_id", "key_a", "key_b")
+
+_made: list[list[DataFrame]] = []  # tables written inside each open `temporaries`
+_local_folder: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share. The cluster names it in
-    spark.checkpoint.dir; only a session without that setting (tests, local
-    mode) gets a temporary one."""
+    """The folder that the driver and all executors share, which the cluster
+    names in spark.checkpoint.dir. Without that setting only a local master
+    gets a folder of its own; elsewhere each executor would write to its own
+    disk, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='ledgerline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the driver and the executors")
+    if not _local_folder:
+        _local_folder.append(f"file://{tempfile.mkdtemp(prefix='ledgerline-')}")
+    return _local_folder[0]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -37,18 +46,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def map_texts(rows: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow over rows that carry whole texts. Arrow batches are counted
-    in rows, so their number of rows is lowered for the session: a batch of
-    10,000 documents takes tens of MB on both sides of the Python worker."""
-    conf = rows.sparkSession.conf
-    rows_now = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if not 0 < rows_now <= BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return rows.mapInArrow(run, schema)
+    read = spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(read)
+    return read
 
 
 def discard(df: DataFrame) -> None:
@@ -61,10 +62,24 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def temporaries(*done: DataFrame) -> Iterator[None]:
+    """Removes, once the block has ended well, the tables that were written in
+    it and those in `done`; what leaves the block must not read them any more."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        made = _made.pop()
+    for df in (*made, *done):
+        discard(df)
+
+
 def lowest(rows: DataFrame, mark: Column, tie: str, limit: int) -> DataFrame:
     """The `limit` rows of least `mark`, an evenly spread 64-bit hash. A sorted
     limit alone takes `limit` rows of every task to one place; here the rows are
-    counted first, and those beyond about twice the limit never leave theirs."""
+    counted first, and those beyond about twice the limit never leave theirs.
+    Rows must not repeat one mark often: it would be taken whole or not at all."""
     n, wanted = rows.count(), 2 * limit + 64
     if n > wanted:
         rows = rows.where(mark < F.lit(int(2**64 * (wanted / n)) - 2**63))
@@ -75,27 +90,46 @@ def text_or_empty(df: DataFrame) -> Column:
     return F.coalesce(df["text"], F.lit(""))
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `gone` (one column). Up to
-    BROADCAST_IDS ids, counted first, are broadcast; more are joined, and one
-    shuffle moves the texts."""
-    gone = materialise(gone.toDF("ledgerline_gone").distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["ledgerline_gone"], "left_anti")
+def row_key(docs: DataFrame) -> list[Column]:
+    """What tells rows apart: the doc_id and a 128-bit hash of the text (null
+    as empty) and of whether the doc_id is null. Never null itself, so plain
+    joins find it. Rows of one key have one text and one doc_id."""
+    unnamed, text = docs["doc_id"].isNull(), text_or_empty(docs)
+    return [
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias(ROW_KEY[0]),
+        F.xxhash64(unnamed, text).alias(ROW_KEY[1]),
+        F.xxhash64(F.lit(1), unnamed, text).alias(ROW_KEY[2]),
+    ]
+
+
+def row_order() -> Column:
+    """Order of rows with doc_id and key: by doc_id, null last, then by text hash."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), *ROW_KEY)
 
 
 def keep_judged(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents of which `judged` (doc_id, kept) keeps a row. Rows that
-    share a doc_id are one document, of which one row stays."""
-    verdict = materialise(
-        judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "verdicts"
-    )
-    left = without(docs, verdict.where("not kept").select("doc_id"))
-    repeated = verdict.where("kept and n > 1").select(F.col("doc_id").alias("ledgerline_repeated"))
+    """The rows of `docs` of which `judged` (ROW_KEY, kept) keeps one, columns
+    as in `docs` whatever they are called. Of rows that repeat a kept key, one
+    stays: that whose other columns come first as JSON.
+
+    Keys to go are counted; up to BROADCAST_ROWS they are broadcast and no text
+    moves, beyond that one shuffle by key moves the texts."""
+    verdict = judged.groupBy(*ROW_KEY).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    verdict = materialise(verdict, "verdicts")
+    gone = verdict.where("not kept").select(*[F.col(c).alias(f"gone_{c}") for c in ROW_KEY])
+    repeated = verdict.where("kept and n > 1").select(*[F.col(c).alias(f"again_{c}") for c in ROW_KEY])
+    whole = F.struct(*[docs[c] for c in docs.columns])  # kept apart, whatever its columns are called
+    others = F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"])
+    rows = docs.select(whole.alias("row"), F.to_json(others).alias("others"), *row_key(docs))
+
+    def meets(keys: DataFrame, prefix: str, how: str) -> DataFrame:
+        if keys.count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        return rows.join(keys, [F.col(c) == F.col(f"{prefix}_{c}") for c in ROW_KEY], how)
+
+    rows = meets(gone, "gone", "left_anti")
     if repeated.isEmpty():
-        return left
-    ids = materialise(repeated, "repeated")
-    same = left["doc_id"] == ids["ledgerline_repeated"]
-    once = left.join(ids, same, "left_semi").dropDuplicates(["doc_id"])
-    return left.join(ids, same, "left_anti").unionByName(once)
+        return rows.select("row.*")
+    # combined before the shuffle, so a key repeated very often moves one row a task
+    once = meets(repeated, "again", "left_semi").groupBy(*ROW_KEY).agg(F.min_by("row", "others").alias("row"))
+    return meets(repeated, "again", "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -2,14 +2,14 @@
 
 With capacity C, class k takes pieces of length in (C/(k+1), C/k] and each of
 its bins takes exactly k of them. Documents may be cut anywhere, so a document
-is cut greedily into lengths floor(C/k), the largest first; what is left under
-C/64 tokens stays one piece. Every class then has one piece length, bins of a
-class waste C mod length tokens at most, and a piece's bin and offset follow
-from its rank within the class alone. Ranks are counted per (class, block) and
-shifted by the counts of the blocks before, so no class gathers in one task.
-The last, part-filled bin of each class (fewer than k pieces, a constant
-number in all, whatever the corpus) is dissolved; those pieces are packed
-together, decreasing, first fit.
+is cut greedily into lengths floor(C/k), the largest first; those classes have
+one length each. What is left under C/64 tokens stays one piece, of one of a
+few classes of lengths: (top - width, top], with floor(C/top) pieces a bin. A
+piece's bin follows from its rank within the class alone. Ranks are counted per
+(class, block) and shifted by the counts of the blocks before, so no class
+gathers in one task. The last, part-filled bin of each class (fewer than k
+pieces, a constant number in all, whatever the corpus) is dissolved; those
+pieces are packed together, decreasing, first fit.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, text_or_empty
+from .common import materialise, text_or_empty
 from .wordbpe import id_encoder, vocabulary_path
 
 CAPACITY = 4096
 CLASSES = 64
+SMALL_CLASSES = 8  # of the lengths below capacity / classes
 END_ID = 2
 ROWS_PER_BLOCK = 20_000
 
@@ -48,6 +49,14 @@ def piece_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> l
     return cut
 
 
+def class_top(length: Column, capacity: int, classes: int) -> Column:
+    """The greatest length of a piece's class, which names it."""
+    limit = capacity // classes - 1  # the longest remainder
+    width = max(1, -(-limit // SMALL_CLASSES))
+    top = F.least(F.ceil(length / width) * width, F.lit(max(1, limit)))
+    return F.when(length > limit, length).otherwise(top).cast("long")
+
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -74,10 +83,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, classes: int, end_id: int)
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return map_texts(
-        rows,
-        run, _PIECE
-    )
+    return rows.mapInArrow(run, _PIECE)
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,55 +112,63 @@ def pack(
     sequence_id, offset.
 
     Null text counts as empty: one piece, the end id alone. Very long texts
-    are cut; rows repeating a doc_id are packed each; an empty table gives an
-    empty result; other columns are not read."""
+    are cut; rows repeating a doc_id, or without one, are packed each; an empty
+    table gives an empty result; other columns are not read."""
     path = path or vocabulary_path()
-    cut = materialise(pieces(docs, path, capacity, classes, end_id), "pieces")
+    top = class_top(F.col("length"), capacity, classes)
+    # numbered once, in a written table: rows alike in all columns are still dealt apart, and ranks are stable
+    cut = pieces(docs, path, capacity, classes, end_id).withColumns({"top": top, "piece": F.monotonically_increasing_id()})
+    cut = materialise(cut, "pieces")
     blocks = max(16, cut.count() // rows_per_block)
-    # the block depends on the row alone, so a class is dealt evenly and a task run again makes the same ranks
-    block = F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int")
-    cut = cut.withColumns({"block": block, "k": F.floor(F.lit(capacity) / F.col("length")).cast("long")})
-    counts = cut.groupBy("length", "block").agg(F.count("*").alias("n"))
+    cut = cut.withColumns(
+        {
+            "block": F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("int"),
+            "k": F.floor(F.lit(capacity) / F.col("top")).cast("long"),
+        }
+    )
+    counts = cut.groupBy("top", "block").agg(F.count("*").alias("n"))
     before = F.coalesce(
-        F.sum("n").over(Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum("n").over(Window.partitionBy("top").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     shift = counts.withColumn("before", before)
-    # one row per length: at most 2 * classes of them
-    bins = counts.groupBy("length").agg(F.sum("n").alias("all"))
-    bins = bins.withColumn("bins", F.floor(F.col("all") / F.floor(F.lit(capacity) / F.col("length"))).cast("long"))
-    full = {r.length: r.bins for r in bins.collect()}
+    # one row per class: classes + SMALL_CLASSES and a few of them
+    bins = counts.groupBy("top").agg(F.sum("n").alias("all"))
+    bins = bins.withColumn("bins", F.floor(F.col("all") / F.floor(F.lit(capacity) / F.col("top"))).cast("long"))
+    full = {r.top: r.bins for r in bins.collect()}
     base, first = {}, 0
-    for length in sorted(full, reverse=True):
-        base[length] = first
-        first += full[length]
+    for k in sorted(full, reverse=True):
+        base[k] = first
+        first += full[k]
     if not full:
         return docs.sparkSession.createDataFrame([], _PIECE + ", sequence_id long, offset long")
     base_of = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])
     full_of = F.create_map(*[F.lit(x) for kv in full.items() for x in kv])
-    rank = F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")) - 1
-    ranked = (
-        cut.withColumn("own", rank)
-        .join(shift.drop("n"), ["length", "block"])
-        .withColumn("rank", F.col("own") + F.col("before"))
-        .withColumn("bin", F.floor(F.col("rank") / F.col("k")).cast("long"))
-    )
+    rank = F.row_number().over(Window.partitionBy("top", "block").orderBy("piece")) - 1
+    ranked = cut.withColumn("own", rank).join(shift.drop("n"), ["top", "block"])
+    ranked = ranked.withColumn("rank", F.col("own") + F.col("before"))
+    ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("k")).cast("long"))
     ranked = materialise(
         ranked.select(
-            "doc_id", "start", "length", "ids_crc32", "doc_tokens",
-            F.when(F.col("bin") < full_of[F.col("length")], base_of[F.col("length")] + F.col("bin")).alias("sequence_id"),
-            ((F.col("rank") % F.col("k")) * F.col("length")).alias("offset"),
+            "doc_id", "start", "length", "ids_crc32", "doc_tokens", "top", "rank",
+            F.when(F.col("bin") < full_of[F.col("top")], base_of[F.col("top")] + F.col("bin")).alias("sequence_id"),
+            ((F.col("rank") % F.col("k")) * F.col("length")).alias("slot"),
         ),
         "ranked",
     )
-
-    columns = ranked.columns
+    columns = [c.split()[0] for c in (_PIECE + ", sequence_id long, offset long").split(", ")]
+    # where a class has one length a piece's place is known; elsewhere a bin's k pieces are summed up
+    exact = F.col("length") >= capacity // classes
+    filled = ranked.where("sequence_id is not null")
+    placed = filled.where(exact).withColumn("offset", F.col("slot"))
+    in_bin = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    small = filled.where(~exact).withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
 
     def tail(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
+        pdf = pdf.sort_values(["length", "top", "rank"], ascending=[False, True, True], ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), capacity)
         return pdf.assign(sequence_id=bins + first, offset=offsets)[columns]
 
     # fewer than k pieces of each class are left: a constant, not a share of the corpus
     left = ranked.where("sequence_id is null").withColumn("group", F.lit(0))
-    rest = left.groupBy("group").applyInPandas(tail, ranked.schema)
-    return ranked.where("sequence_id is not null").unionByName(rest)
+    rest = left.groupBy("group").applyInPandas(tail, _PIECE + ", sequence_id long, offset long")
+    return placed.select(columns).unionByName(small.select(columns)).unionByName(rest)

@@ -1,14 +1,20 @@
 """Language ID by interpolated Kneser-Ney character language models.
 
-Trigram counts of every training text are gathered by Spark, per language; the
-most frequent types (a stated bound on the model's size) make one interpolated
-Kneser-Ney model per language. All models share sorted arrays of n-gram
-hashes, with one column of log-probabilities per language, so a text is looked
-up once for all languages. The language of least cross-entropy per symbol wins.
-Its score is a softmax over cross-entropies whose sharpness is fitted on
-labelled texts kept out of the counts; the same texts give each language the
-cross-entropy beyond which a text is rejected as none of them, which is never
-less than that of guessing its symbols evenly.
+Trigram counts of every training text are gathered by Spark, per language.
+Discounts, continuation counts and back-off weights are computed over all
+types, as joins and sums; only then, if the finished tables exceed a stated
+size, are the rarest types taken out, and the back-off weights of their
+contexts are set so that each distribution still sums to one. What stays keeps
+its probability.
+
+A log-probability is a sum of weights of n-gram features: the log back-off of
+the contexts (a, b) and b, the log-probability of c, and what the seen (b, c)
+and (a, b, c) differ from that. The features of all languages lie in one sorted
+array of hashes with the (language, weight) pairs of each beside it, so room
+is used for seen types only. The language of least cross-entropy per symbol
+wins. Its score is a softmax over cross-entropies whose sharpness is fitted on
+labelled texts kept out of the counts; the same texts give each language, by
+length of text, the cross-entropy beyond which a text is rejected.
 """
 
 from __future__ import annotations
@@ -20,27 +26,33 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowest, map_texts, materialise, without
+from .common import lowest, materialise
 
-MODEL_TYPES = 400_000  # trigram types in all languages' models together
+MODEL_TYPES = 3_000_000  # (language, trigram) types in the model, and as many bigram types
+MODEL_BYTES = 400_000_000  # of the arrays that are broadcast; beyond that an error
 CALIBRATION_ROWS = 2_000  # labelled texts that calibrate scores and rejection
-CALIBRATION_SHARE = 32  # one in so many training texts may calibrate
-REJECT_MARGIN = 1.35  # times the worst calibration cross-entropy
+CALIBRATION_SHARE = 16  # one in so many training texts of a language may calibrate
+LENGTHS = (32, 128, 512)  # symbols at which a class of lengths ends
+REJECT_QUANTILE = 0.98  # of calibration cross-entropies of a language and length
+REJECT_MARGIN = 1.5  # times that quantile
+LEAST_CLASS = 20  # calibration texts that a class of lengths needs
 UNKNOWN_LANGUAGE = "und"
 _FLUSH = 1_000_000
 _SPACE = np.uint32(32)
+_BITS, _LOW = 21, (1 << 21) - 1  # a code point
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter."""
+    """Whether each code point is a letter (1) or a mark (2)."""
     import regex
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    table = np.zeros(0x110000, bool)
-    table[np.frombuffer("".join(regex.findall(r"\p{L}", every)).encode("utf-32-le"), np.uint32)] = True
+    table = np.zeros(0x110000, np.uint8)
+    for kind, form in ((1, r"\p{L}"), (2, r"\p{M}")):
+        table[np.frombuffer("".join(regex.findall(form, every)).encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -48,14 +60,15 @@ _LETTERS: list[np.ndarray] = []
 
 
 def symbols(text: str) -> np.ndarray:
-    """Lower-cased letters, runs of everything else as one space, a space at
-    both ends; nothing at all if the text has no letter."""
+    """Lower-cased letters and the marks on them, runs of everything else as
+    one space, a space at both ends; nothing at all if the text has no letter."""
     if not _LETTERS:
         _LETTERS.append(letters())
     code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    is_letter = _LETTERS[0][code]
-    if not is_letter.any():
+    kind = _LETTERS[0][code]
+    if not (kind == 1).any():
         return np.zeros(0, np.uint32)
+    is_letter = kind > 0
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]  # the first of each run of others stays, as a space
     body = np.where(is_letter, code, _SPACE)[keep]
@@ -63,9 +76,13 @@ def symbols(text: str) -> np.ndarray:
 
 
 def gram3(s: np.ndarray) -> np.ndarray:
-    """Hash of each three symbols: their code points side by side, so exact."""
+    """Hash of each three symbols: their code points side by side, so exact.
+    With 0, which is no symbol, in a place it names a shorter n-gram."""
     t = s.astype(np.uint64)
-    return (t[:-2] << np.uint64(42)) | (t[1:-1] << np.uint64(21)) | t[2:]
+    return (t[:-2] << np.uint64(2 * _BITS)) | (t[1:-1] << np.uint64(_BITS)) | t[2:]
+
+
+# ------------------------------------------------------------------ estimation
 
 
 def trigram_counts(train: DataFrame) -> DataFrame:
@@ -95,14 +112,14 @@ def trigram_counts(train: DataFrame) -> DataFrame:
                     held, amount = {}, 0
         yield from flush()
 
-    counted = map_texts(train.select("lang", "text"), run, "lang string, gram long, n long")
+    counted = train.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The `limit` trigram types of greatest share in their language, to a 64th
-    of an octave; within the last such range a hash decides. Types are counted
-    by range first (some thousand sums), so few beyond the limit move."""
+    """The `limit` rows of (lang, gram, n) of greatest share in their language,
+    to a 64th of an octave; within the last such range a hash decides. Types are
+    counted by range first (some thousand sums), so few beyond the limit move."""
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     share = F.floor(F.log2(F.col("n") / F.col("total")) * 64).cast("int")
     rows = counts.join(totals, "lang").select("lang", "gram", "n", share.alias("range"))
@@ -118,103 +135,146 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     return rows.drop("range")
 
 
+def _discount(n: str) -> Column:
+    """Kneser-Ney's n1 / (n1 + 2 n2), kept off 0 and 1 where counts are few."""
+    n1, n2 = F.count_if(F.col(n) == 1), F.count_if(F.col(n) == 2)
+    return F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.coalesce(F.try_divide(n1, n1 + 2 * n2), F.lit(0.0))))
+
+
+def features(counts: DataFrame, model_types: int = MODEL_TYPES) -> tuple[DataFrame, dict[str, float]]:
+    """(lang, key, weight) of trigram counts, written, and each language's log
+    probability of a symbol it hasn't seen. Key is `gram3` with zeros in the
+    places that a shorter n-gram leaves open: (a, b, 0) and (0, b, 0) are
+    contexts, (0, b, c) and (0, 0, c) predictions."""
+    high = lambda c: F.shiftrightunsigned(c, _BITS)
+    low = lambda c, places: F.col(c).bitwiseAND(F.lit((1 << (_BITS * places)) - 1))
+    tri = counts.select("lang", "gram", "n", high("gram").alias("ab"), low("gram", 2).alias("bc"))
+    pairs = materialise(tri.groupBy("lang", F.col("bc").alias("gram")).agg(F.count("*").alias("n")), "kn-pairs")
+    pairs = pairs.select("lang", "gram", "n", high("gram").alias("b"), low("gram", 1).alias("c"))
+    ones = materialise(pairs.groupBy("lang", "c").agg(F.count("*").alias("n")), "kn-ones")
+    every = F.explode(F.array(high(high("gram")), high(low("gram", 2)), low("gram", 1)))
+    vocabulary = tri.select(every.alias("c")).distinct().count() + 1  # one stands for all unseen symbols
+
+    # one row a language: the three discounts, and what the lowest order spreads evenly
+    figures = (
+        counts.groupBy("lang").agg(_discount("n").alias("d3"))
+        .join(pairs.groupBy("lang").agg(_discount("n").alias("d2")), "lang")
+        .join(ones.groupBy("lang").agg(_discount("n").alias("d1"), F.sum("n").alias("total"), F.count("*").alias("kinds")), "lang")
+        .withColumn("floor", F.col("d1") * F.col("kinds") / vocabulary / F.col("total"))
+    )
+    figures = materialise(figures, "kn-figures")
+    p1 = F.greatest(F.col("n") - F.col("d1"), F.lit(0.0)) / F.col("total") + F.col("floor")
+    ones = ones.join(figures, "lang").select("lang", "c", "floor", p1.alias("p1"))
+    ones = materialise(ones, "kn-p1")
+
+    def interpolated(rows: DataFrame, context: str, discount: str, lower: str) -> DataFrame:
+        own = rows.groupBy("lang", context).agg(F.sum("n").alias("after"), F.count("*").alias("kinds"))
+        seen = F.greatest(F.col("n") - F.col(discount), F.lit(0.0)) / F.col("after")
+        p = seen + F.col(discount) * F.col("kinds") / F.col("after") * F.col(lower)
+        return rows.join(figures.select("lang", discount), "lang").join(own, ["lang", context]).withColumn("p", p)
+
+    def kept(rows: DataFrame, label: str) -> DataFrame:
+        if rows.count() <= model_types:
+            return rows.withColumn("kept", F.lit(True))
+        found = most_frequent(rows.select("lang", "gram", "n"), model_types).select("lang", "gram", F.lit(True).alias("kept"))
+        return materialise(rows.join(found, ["lang", "gram"], "left").na.fill({"kept": False}), label)
+
+    def backoff(rows: DataFrame, context: str, lower: str) -> DataFrame:
+        """What a context leaves to the lower order, over what that has left."""
+        left = (1 - F.sum("p")) / (1 - F.sum(lower))
+        return rows.where("kept").groupBy("lang", context).agg(F.greatest(left, F.lit(1e-12)).alias("back"))
+
+    two = interpolated(pairs.join(ones.select("lang", "c", "p1"), ["lang", "c"]), "b", "d2", "p1")
+    two = kept(materialise(two.select("lang", "gram", "n", "b", "p1", "p"), "kn-p2"), "kn-p2-kept")
+    back2 = materialise(backoff(two, "b", "p1"), "kn-back2")
+    # in the model, a pair that was taken out has its context's back-off instead
+    model2 = two.join(back2, ["lang", "b"], "left").select(
+        "lang", F.col("gram").alias("bc"), F.col("p").alias("full2"),
+        F.when(F.col("kept"), F.col("p")).otherwise(F.coalesce("back", F.lit(1.0)) * F.col("p1")).alias("p2"),
+    )
+    three = interpolated(tri.join(model2, ["lang", "bc"]), "ab", "d3", "full2")
+    three = kept(materialise(three.select("lang", "gram", "n", "ab", "p2", "p"), "kn-p3"), "kn-p3-kept")
+    back3 = materialise(backoff(three, "ab", "p2"), "kn-back3")
+
+    def weights(rows: DataFrame, key: Column, weight: Column) -> DataFrame:
+        return rows.select("lang", key.alias("key"), weight.cast("float").alias("weight"))
+
+    found = (
+        weights(three.where("kept").join(back3, ["lang", "ab"]), F.col("gram"), F.log(F.col("p") / F.col("back") / F.col("p2")))
+        .unionByName(weights(back3, F.shiftleft("ab", _BITS), F.log("back")))
+        .unionByName(weights(two.where("kept").join(back2, ["lang", "b"]), F.col("gram"), F.log(F.col("p") / F.col("back") / F.col("p1"))))
+        .unionByName(weights(back2, F.shiftleft("b", _BITS), F.log("back")))
+        .unionByName(weights(ones, F.col("c"), F.log(F.col("p1") / F.col("floor"))))
+    )
+    floors = {r.lang: float(np.log(r.floor)) for r in figures.select("lang", "floor").collect()}
+    return materialise(found, "kn-features"), floors
+
+
 @dataclass
 class Model:
-    """Sorted hash arrays; a column of each table per language."""
+    """The features of all languages: keys, and for each the run of (language,
+    weight) pairs from start[i] to start[i + 1]."""
 
     langs: list[str]
-    tri: np.ndarray  # trigram hashes, sorted
-    tri_logp: np.ndarray
-    pair: np.ndarray  # bigram hashes, sorted: as context and as lower-order gram
-    pair_logp: np.ndarray  # log P(c | b) of the bigram (b, c)
-    context_back: np.ndarray  # log back-off weight of the context (a, b)
-    one: np.ndarray  # symbols, sorted
-    one_logp: np.ndarray
-    one_back: np.ndarray  # log back-off weight of the context b
-    floor: np.ndarray  # log probability of an unseen symbol
+    floor: np.ndarray
+    keys: np.ndarray  # sorted
+    start: np.ndarray
+    lang: np.ndarray
+    weight: np.ndarray
     sharpness: float = 1.0
-    limits: np.ndarray | None = None
+    limits: np.ndarray | None = None  # a row per language, a column per class of lengths
+
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.start, self.lang, self.weight))
 
-    def cross_entropy(self, text: str) -> np.ndarray | None:
-        """Nats per symbol under each language; None without letters."""
+    def cross_entropy(self, text: str) -> tuple[np.ndarray | None, int]:
+        """Nats per symbol under each language (None without letters), and how
+        many symbols were predicted."""
         s = symbols(text)
-        if len(s) < 3:
-            return None
-        total, step = np.zeros(len(self.langs)), 1 << 18
-        for begin in range(0, len(s) - 2, step):  # bounded memory for very long texts
-            total += self._log_probability(s[begin : begin + step + 2])
-        return -total / (len(s) - 2)
-
-    def _log_probability(self, s: np.ndarray) -> np.ndarray:
-        grams = gram3(s)
-        at = np.minimum(np.searchsorted(self.tri, grams), len(self.tri) - 1)
-        hit = self.tri[at] == grams
-        # how often each entry is met: one weighted sum in place of a gather
-        total = np.bincount(at[hit], minlength=len(self.tri)) @ self.tri_logp
-        if not hit.all():
-            miss = grams[~hit]
-            ab, bc = miss >> np.uint64(21), miss & np.uint64((1 << 42) - 1)
-            b, c = bc >> np.uint64(21), bc & np.uint64((1 << 21) - 1)
-            logp, _ = self._find(self.one, self.one_logp, c, self.floor)
-            back, _ = self._find(self.one, self.one_back, b, np.zeros_like(self.floor))
-            low, seen = self._find(self.pair, self.pair_logp, bc, self.floor)
-            low = np.where(seen[:, None], low, back + logp)
-            back2, _ = self._find(self.pair, self.context_back, ab, np.zeros_like(self.floor))
-            total = total + (back2 + low).sum(0)
-        return total
-
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: np.ndarray):
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        return np.where(hit[:, None], values[at], default[None, :]), hit
-
-
-def _discount(counts: np.ndarray) -> float:
-    """Kneser-Ney's n1 / (n1 + 2 n2)."""
-    n1, n2 = (counts == 1).sum(), (counts == 2).sum()
-    return float(np.clip(n1 / max(1, n1 + 2 * n2), 0.1, 0.9))
-
-
-def fit(types: pd.DataFrame) -> Model:
-    """The models of a bounded table of (lang, gram, n)."""
-    langs = sorted(types["lang"].unique())
-    low = np.uint64((1 << 21) - 1)
-    all_grams = types["gram"].to_numpy(np.int64).view(np.uint64)
-    tri = np.unique(all_grams)
-    pair = np.unique(np.concatenate([tri >> np.uint64(21), tri & np.uint64((1 << 42) - 1)]))
-    one = np.unique(np.concatenate([tri & low, (tri >> np.uint64(21)) & low, tri >> np.uint64(42)]))
-    pair_b, pair_c = np.searchsorted(one, pair >> np.uint64(21)), np.searchsorted(one, pair & low)
-    context, lower = np.searchsorted(pair, tri >> np.uint64(21)), np.searchsorted(pair, tri & np.uint64((1 << 42) - 1))
-    m = Model(
-        langs, tri, np.zeros((len(tri), len(langs))), pair, np.zeros((len(pair), len(langs))),
-        np.zeros((len(pair), len(langs))), one, np.zeros((len(one), len(langs))), np.zeros((len(one), len(langs))),
-        np.zeros(len(langs)),
+        n = len(s) - 2
+        if n < 1:
+            return None, 0
+        total, step = n * self.floor, 1 << 18
+        for begin in range(0, n, step):  # bounded memory for very long texts
+            total = total + self.log_weights(gram3(s[begin : begin + step + 2]))
+        return -total / n, n
+
+    def log_weights(self, grams: np.ndarray) -> np.ndarray:
+        """Sum of the weights of all features that the trigrams have."""
+        kinds, times = np.unique(grams, return_counts=True)
+        ab, bc = kinds >> np.uint64(_BITS), kinds & np.uint64((1 << 2 * _BITS) - 1)
+        b, c = bc >> np.uint64(_BITS), bc & np.uint64(_LOW)
+        wanted = np.concatenate([kinds, ab << np.uint64(_BITS), bc, b << np.uint64(_BITS), c])
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = self.keys[at] == wanted
+        at, times = at[hit], np.tile(times, 5)[hit]
+        first = self.start[at]
+        runs = self.start[at + 1] - first
+        ends = np.cumsum(runs)
+        spots = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + runs, runs)
+        return np.bincount(self.lang[spots], np.repeat(times, runs) * self.weight[spots], len(self.langs))
+
+
+def gathered(found: DataFrame, floors: dict[str, float], model_bytes: int = MODEL_BYTES) -> Model:
+    """The model of written features; their size is counted before they move."""
+    rows = found.count()
+    if 22 * rows > model_bytes:
+        raise ValueError(f"{rows} features need more than {model_bytes} bytes; is lang a column of languages?")
+    langs = sorted(floors)
+    names = found.sparkSession.createDataFrame([(i, lang) for i, lang in enumerate(langs)], "at int, lang string")
+    table = found.join(F.broadcast(names), "lang").select("key", "at", "weight").toArrow()
+    key, at, weight = (table[c].to_numpy() for c in ("key", "at", "weight"))
+    key = key.view(np.uint64)
+    order = np.lexsort((at, key))
+    keys, start = np.unique(key[order], return_index=True)
+    kind = np.uint16 if len(langs) < 1 << 16 else np.int32
+    return Model(
+        langs, np.array([floors[x] for x in langs]), keys, np.append(start, len(key)).astype(np.int64), at[order].astype(kind),
+        weight[order].astype(np.float32),
     )
-    for k, lang in enumerate(langs):
-        own = types[types["lang"] == lang]
-        n = np.zeros(len(tri))
-        n[np.searchsorted(tri, own["gram"].to_numpy(np.int64).view(np.uint64))] = own["n"].to_numpy(np.float64)
-        seen = (n > 0).astype(float)
-        # continuation counts: distinct left neighbours of a bigram, then of a symbol
-        pair_n = np.bincount(lower, seen, len(pair))
-        one_n = np.bincount(pair_c, pair_n > 0, len(one)).astype(float)
-        v = len(one) + 1
-        d1, d2, d3 = _discount(one_n), _discount(pair_n), _discount(n)
-        p1 = (np.maximum(one_n - d1, 0) + d1 * (one_n > 0).sum() / v) / one_n.sum()
-        m.floor[k] = np.log(d1 * (one_n > 0).sum() / v / one_n.sum())
-        after_b = np.bincount(pair_b, pair_n, len(one))
-        kinds_b = np.bincount(pair_b, pair_n > 0, len(one))
-        back_b = np.where(after_b > 0, d2 * kinds_b / np.maximum(after_b, 1), 1.0)
-        p2 = np.maximum(pair_n - d2, 0) / np.maximum(after_b, 1)[pair_b] + back_b[pair_b] * p1[pair_c]
-        after_ab = np.bincount(context, n, len(pair))
-        kinds_ab = np.bincount(context, seen, len(pair))
-        back_ab = np.where(after_ab > 0, d3 * kinds_ab / np.maximum(after_ab, 1), 1.0)
-        p3 = np.maximum(n - d3, 0) / np.maximum(after_ab, 1)[context] + back_ab[context] * p2[lower]
-        m.one_logp[:, k], m.one_back[:, k] = np.log(p1), np.log(back_b)
-        m.pair_logp[:, k], m.context_back[:, k] = np.log(p2), np.log(back_ab)
-        m.tri_logp[:, k] = np.log(p3)
-    return m
+
+
+# ----------------------------------------------------------------- calibration
 
 
 def held_out(doc_id: Column) -> Column:
@@ -222,11 +282,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
+def length_class(n: np.ndarray | int) -> np.ndarray:
+    return np.searchsorted(LENGTHS, n)
+
+
 def calibrate(model: Model, known: pd.DataFrame) -> None:
     """Sharpness (least log loss on a grid) and rejection limits from labelled
-    cross-entropies: columns lang and ce (an array per row)."""
+    texts: columns lang, ce (an array per row) and n (symbols).
+
+    A limit is a margin over a high quantile, so a few wrong labels don't move
+    it. Classes of lengths with few texts take the quantile of all of the
+    language (of all languages, if it has few), widened by the spread that so
+    short texts show anywhere; a shorter class never has the lower limit."""
+    shape = len(model.langs), len(LENGTHS) + 1
     if len(known) == 0:
-        model.sharpness, model.limits = 10.0, np.full(len(model.langs), np.inf)
+        model.sharpness, model.limits = 10.0, np.full(shape, np.inf)
         return
     ce = np.stack(known["ce"].to_list())
     true = known["lang"].map({lang: i for i, lang in enumerate(model.langs)}).to_numpy()
@@ -236,82 +306,144 @@ def calibrate(model: Model, known: pd.DataFrame) -> None:
         return float(-(z[np.arange(len(z)), true] - np.log(np.exp(z).sum(1))).mean())
 
     model.sharpness = min((2.0**i for i in range(-1, 7)), key=loss)
-    own = ce[np.arange(len(ce)), true]
-    worst = [own[true == k].max() if (true == k).any() else np.inf for k in range(len(model.langs))]
-    # no text is rejected that a model predicts better than even guessing would
-    model.limits = np.maximum(REJECT_MARGIN * np.array(worst), np.log(len(model.one) + 1))
+    own, length = ce[np.arange(len(ce)), true], length_class(known["n"].to_numpy())
+
+    def high(x: np.ndarray) -> float:
+        return float(np.quantile(x, REJECT_QUANTILE, method="higher"))
+
+    everywhere = high(own)
+    wider = np.ones(shape[1])  # of texts so short, over texts of any length
+    for c in range(shape[1]):
+        wider[c] = high(own[length <= c]) / everywhere if (length <= c).sum() >= LEAST_CLASS else max(1.0, 2.0 - 0.25 * c)
+    limits = np.empty(shape)
+    for k in range(shape[0]):
+        mine = true == k
+        usual = high(own[mine]) if mine.sum() >= LEAST_CLASS else everywhere
+        for c in range(shape[1]):
+            here = mine & (length == c)
+            limits[k, c] = high(own[here]) if here.sum() >= LEAST_CLASS else usual * max(1.0, wider[c])
+    model.limits = REJECT_MARGIN * np.maximum.accumulate(limits[:, ::-1], axis=1)[:, ::-1]
+
+
+def _apart(known: DataFrame, calibration_rows: int) -> tuple[Column, DataFrame]:
+    """Whether a row calibrates, and the rows with the bound of their language:
+    an even share for each, by a hash of the whole row."""
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    langs = sizes.count()
+    share = F.least(F.lit(1 / CALIBRATION_SHARE), F.lit(max(1.0, calibration_rows / max(1, langs))) / F.col("rows"))
+    rows = known.join(sizes.select("lang", (share * 2.0**32).alias("bound")), "lang")
+    return F.pmod(F.xxhash64(F.lit("calibration"), "doc_id", "text"), F.lit(2**32)) < F.col("bound"), rows
 
 
 def train(
     docs: DataFrame,
     model_types: int = MODEL_TYPES,
     calibration_rows: int = CALIBRATION_ROWS,
+    model_bytes: int = MODEL_BYTES,
 ) -> Model | None:
     """A model from the rows that aren't held out and have a lang and a text;
     None if there are none. Counts cover all of them but the few that calibrate;
-    only `model_types` trigram types and `calibration_rows` rows of figures
-    come to the driver."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    only the features and the calibration rows' figures come to the driver."""
+    known = docs.where(~held_out(F.col("doc_id")).eqNullSafe(True) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0
-    counts = materialise(trigram_counts(known.where(~apart)), "trigrams")
-    types = most_frequent(counts, model_types).toPandas()
-    if len(types) == 0:
+    apart, rows = _apart(known, calibration_rows)
+    counts = materialise(trigram_counts(rows.where(~apart)), "trigrams")
+    if counts.isEmpty():
         return None
-    model = fit(types)
-    ours = known.where(apart & F.col("lang").isin(model.langs))
-    chosen = lowest(ours, F.xxhash64(F.lit("chosen"), "doc_id"), "doc_id", calibration_rows)
-    ce = cross_entropies(chosen.select("doc_id", "lang", "text"), model)
-    calibrate(model, ce.where("ce is not null").select("lang", "ce").toPandas())
+    model = gathered(*features(counts, model_types), model_bytes)
+    # an even hash leaves about calibration_rows; a row repeated very often could leave more
+    chosen = rows.where(apart).select("lang", "text").limit(4 * calibration_rows)
+    ce = cross_entropies(chosen.select(F.lit(0).alias("doc_id"), "lang", "text"), model).where("ce is not null")
+    found = ce.select("lang", "ce", "n").toPandas()
+    calibrate(model, found[found["lang"].isin(model.langs)])
     return model
 
 
+# --------------------------------------------------------------------- scoring
+
+
 def cross_entropies(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, ce) of (doc_id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by model_types
+    """(doc_id, lang, ce, n) of (doc_id, lang, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [m.cross_entropy(t.as_py() or "") for t in batch.column(2)]
-            lists = pa.array([None if c is None else c.tolist() for c in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["doc_id", "lang", "ce"])
+            lists = pa.array([None if c is None else c.tolist() for c, _ in found], pa.list_(pa.float64()))
+            sizes = pa.array([n for _, n in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, sizes], ["doc_id", "lang", "ce", "n"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(
+        run, "doc_id long, lang string, ce array<double>, n long"
+    )
 
-    return map_texts(docs, run, "doc_id long, lang string, ce array<double>")
+
+def judged(model: Model, text: str | None) -> tuple[str, float, bool]:
+    """Language, score and whether the text is rejected. Of equally likely
+    languages the first in code-point order is taken."""
+    ce, n = model.cross_entropy(text or "")
+    if ce is None:
+        return UNKNOWN_LANGUAGE, 0.0, True
+    best = int(ce.argmin())
+    score = 1 / float(np.exp(-model.sharpness * (ce - ce[best])).sum())
+    return model.langs[best], score, bool(ce[best] > model.limits[best, length_class(n)])
 
 
 def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row.
 
     Null texts and texts without a letter are `und` with score 0 and rejected,
-    as is everything where nothing could be learned. Repeated rows are judged
-    alike; an empty table gives an empty result; only text takes part in a
-    prediction."""
+    as is everything where nothing could be learned. Of equally likely
+    languages the first in code-point order is taken. Repeated rows are judged
+    alike; a null doc_id isn't held out; an empty table gives an empty result;
+    only text takes part in a prediction."""
     model = model or train(docs, **options)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("lang"), "text")
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out, "text")
     if model is None:
         return rows.select(
-            "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"),
-            F.lit(0.0).alias("score"), F.lit(True).alias("rejected"),
-        )
-    least = F.array_min("ce")
-    best = (F.array_position("ce", least)).cast("int")
-    langs, limits = F.array(*map(F.lit, model.langs)), F.array(*[F.lit(float(x)) for x in model.limits])
-    weights = F.aggregate("ce", F.lit(0.0), lambda n, c: n + F.exp(F.lit(-model.sharpness) * (c - least)))
-    found = cross_entropies(rows, model)
-    return found.select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.when(F.col("ce").isNull(), F.lit(UNKNOWN_LANGUAGE)).otherwise(F.element_at(langs, best)).alias("lang_pred"),
-        F.when(F.col("ce").isNull(), F.lit(0.0)).otherwise(1 / weights).alias("score"),
-        (F.col("ce").isNull() | (least > F.element_at(limits, best))).alias("rejected"),
-    )
+            "doc_id", "held_out", F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
+        )
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            found = [judged(m, t.as_py()) for t in batch.column(2)]
+            langs, scores, gone = ([f[i] for f in found] for i in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())],
+                ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
+    """The documents whose language is known, columns as in `docs` whatever
+    they are called; each row is judged by its own text where it is read, so
+    repeated or null ids lose no other row. Rows that the models reject go, null
+    texts and texts without a letter among them; all rows go where nothing
+    could be learned. An empty table stays empty."""
+    model = model or train(docs, **options)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([not judged(m, t.as_py())[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
-def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose language is known, columns as in `docs`; rows that
-    the models reject go."""
-    return without(docs, identify(docs, **options).where("rejected").select("doc_id"))
+def model_of(counts: dict[tuple[str, str], int], spark: SparkSession, **options) -> Model:
+    """A model of (lang, three symbols) -> count, for tests."""
+    rows = [(lang, int(gram3(np.array([*map(ord, g)], np.uint32))[0]), n) for (lang, g), n in counts.items()]
+    return gathered(*features(materialise(spark.createDataFrame(rows, "lang string, gram long, n long"), "counts"), **options))
 
 
 def crc_remainder(doc_id: int) -> int:

@@ -9,7 +9,7 @@ not just shared content.
 To compare each text with the next by doc_id, rows are range-partitioned and
 sorted, and a task walks its rows once. Only the last row of a task lacks its
 neighbour: it is paired, by a second small step, with the first row of the
-next task.
+next task that has any.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, text_or_empty
+from .common import materialise, text_or_empty
 
 K = 12
 FUNCTIONS = 64
@@ -144,22 +144,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited, near_next of every row.
 
     Null text counts as empty, whose signature is that of no symbols. Repeated
-    ids order by text. The last row's next is the first; a single row is its
-    own. A null doc_id comes first. An empty table gives an empty result; other
-    columns are not read."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    inner = pa.schema([*_ARROW, ("task_first", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string())])
+    ids order by a hash of the text, and may lie in several tasks. The last
+    row's next is the first; a single row is its own. A null doc_id comes first.
+    An empty table gives an empty result; other columns are not read."""
+    text = text_or_empty(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    place = ["doc_id", "tie", "row"]
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # deals apart rows that are alike
+    ordered = rows.repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "text")
+    inner = pa.schema([*_ARROW, ("task", pa.int64()), ("first_text", pa.string()), ("last_text", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, out = None, None, []
+        from pyspark import TaskContext
+
+        task, held, out = TaskContext.get().partitionId(), None, []
         for batch in batches:
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = t.as_py()
                 own = sketch(text)
                 if held is None:
-                    first = doc_id
-                    out.append({"task_first": first, "first_text": text})  # an edge row
+                    out.append({"task": task, "first_text": text})  # an edge row
                 else:
                     out.append(_compared(*held, text, own))
                 held = doc_id, text, own
@@ -167,27 +171,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, inner)
                     out = []
         if held is not None:
-            out.append({"doc_id": held[0], "task_first": first, "last_text": held[1]})  # an edge row
+            out.append({"doc_id": held[0], "task": task, "last_text": held[1]})  # an edge row
             yield pa.RecordBatch.from_pylist(out, inner)
 
-    columns = _RESULT + ", task_first long, first_text string, last_text string"
-    found = materialise(map_texts(ordered, walk, columns), "order-minhash")
-    # A doc_id lies in one task, so tasks are named by their first one. Only
-    # these names, one number a task, meet in a window; texts meet by joins.
-    edges = found.where("n_chars is null")
-    starts = edges.where("first_text is not null").select("task_first", "first_text")
-    named = Window.orderBy("task_first")
+    columns = _RESULT + ", task long, first_text string, last_text string"
+    found = materialise(ordered.mapInArrow(walk, columns), "order-minhash")
+    # Tasks are numbered in order of their rows. Only these numbers, one a task
+    # that had rows, meet in a window; texts meet by joins.
+    edges = found.where("task is not null")
+    starts = edges.where("first_text is not null").select("task", "first_text")
+    named = Window.orderBy("task")
     following = F.coalesce(
-        F.lead("task_first").over(named),
-        F.first("task_first").over(named.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        F.lead("task").over(named), F.first("task").over(named.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    after = starts.select("task_first").withColumn("next_first", following)
-    after = after.withColumnRenamed("task_first", "named")
-    texts = starts.select(F.col("task_first").alias("upcoming"), F.col("first_text").alias("next_text"))
-    lasts = (
-        edges.where("last_text is not null").join(after, F.col("task_first").eqNullSafe(F.col("named")))
-        .join(texts, F.col("next_first").eqNullSafe(F.col("upcoming"))).select("doc_id", "last_text", "next_text")
-    )
+    after = starts.select("task").withColumn("upcoming", following)
+    texts = starts.select(F.col("task").alias("upcoming"), F.col("first_text").alias("next_text"))
+    lasts = edges.where("last_text is not null").join(after, "task").join(texts, "upcoming").select("doc_id", "last_text", "next_text")
 
     def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,4 +198,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(found, _ARROW)
 
     closed = lasts.mapInArrow(join_edges, _RESULT)
-    return found.where("n_chars is not null").drop("task_first", "first_text", "last_text").unionByName(closed)
+    return found.where("task is null").drop("task", "first_text", "last_text").unionByName(closed)

@@ -71,6 +71,23 @@ def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.digest(chat_parts.format_turns(turns))
 
 
+def chat_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of `conversations` with its text cut in two around an image,
+    audio or document part, by turn; audio says how many tokens it takes."""
+    kind = F.element_at(F.array(F.lit("image"), F.lit("audio"), F.lit("document")), (F.pmod("turn", F.lit(3)) + 1).cast("int"))
+    text, none = F.coalesce("text", F.lit("")), F.lit(None)
+    half = F.floor(F.length(text) / 2).cast("int")
+    tokens = F.when(kind == "audio", F.col("turn") + 7).cast("int")
+    part = lambda kind, text, ref, tokens: F.struct(kind.alias("type"), text.cast("string").alias("text"), ref.cast("string").alias("ref"), tokens.cast("int").alias("tokens"))
+    parts = F.array(
+        part(F.lit("text"), F.substring(text, F.lit(1), half), none, none),
+        part(kind, none, F.concat_ws("/", "conv_id", "turn"), tokens),
+        part(F.lit("text"), F.substring(text, half + 1, F.length(text)), none, none),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", parts.alias("parts"))
+    return chat_parts.digest(chat_parts.format_turns(turns))
+
+
 def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -78,13 +95,13 @@ def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = [
         op1_cotraining_quality, op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op6_kneser_ney,
-        op7_order_minhash, op8_chunk_recipe_dedup, op9_chat_parts, op10_bpe_token_counts,
+        op7_order_minhash, op8_chunk_recipe_dedup, op9_chat_parts, op10_bpe_token_counts, chat_attachments,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chunk_recipe_dedup": OP8, "op9_chat_parts": OP9}
+    return {"op8_chunk_recipe_dedup": OP8, "op9_chat_parts": OP9, "chat_attachments": CHAT_ATTACHMENTS}
 
 
 OP8 = r"""
@@ -116,6 +133,36 @@ SELECT conv_id,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(size)::BIGINT AS formatted_chars
+       sum(size)::BIGINT AS formatted_chars,
+       0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens, sha256('') AS attachments_sha256
 FROM sized GROUP BY conv_id
 """
+
+# Each turn reads back as its first half, a placeholder and its second half.
+CHAT_ATTACHMENTS = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ['image', 'audio', 'document'][turn % 3 + 1] AS kind
+  FROM conversations
+), parts AS (
+  SELECT *, length(text) // 2 AS half, '<|' || kind || ':1|>' AS placeholder,
+    CASE kind WHEN 'image' THEN 256 WHEN 'audio' THEN turn + 7 ELSE 512 END AS tokens,
+    conv_id || '/' || turn AS ref
+  FROM turns
+), told AS (
+  SELECT *, left(text, half) || placeholder || substr(text, half + 1) AS content,
+    len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))
+    + len(regexp_extract_all(left(text, half), '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))
+    + len(regexp_extract_all(substr(text, half + 1), '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) AS escapes
+  FROM parts
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || content || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(content)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(content, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|turn|><|text|><|end|>') + length(role) + length(content) + escapes)::BIGINT AS formatted_chars,
+       count(*) AS n_attachments,
+       sum(tokens)::BIGINT AS expanded_tokens,
+       sha256(string_agg(kind || ' ' || ref || ' ' || tokens || chr(10), '' ORDER BY turn)) AS attachments_sha256
+FROM told GROUP BY conv_id
+"""

@@ -10,10 +10,11 @@ queries. Leaves are shards. Each shard runs the same search in memory, on down
 to small blocks, and emits one spanning edge per linked fingerprint (never all
 pairs of a group). The edges are contracted to components by joins.
 
-Sizes: the tree is fitted on a bounded sample of fingerprints (`2**depth * 32`,
-depth at most 14) and is the only thing sent to tasks. A shard that still
-holds many fingerprints is dealt into blocks, and what queries it visits every
-block, so dense groups lose no link and fill no single task.
+Sizes: the depth follows the number of fingerprints, at every size alike. The
+top TOP_DEPTH levels are fitted on a bounded sample and sent to all tasks;
+each further STEP levels are fitted per leaf, on a bounded sample of it, and
+reach the rows by an equi-join. A leaf of many members or many queries is dealt
+into tiles of bounded size, so dense groups lose no link and fill no task.
 """
 
 from __future__ import annotations
@@ -23,17 +24,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, keep_judged, lowest, map_texts, materialise, text_or_empty
+from .common import ROW_KEY, discard, keep_judged, lowest, materialise, row_key, row_order, text_or_empty
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 MAX_BITS = 3
-LEAF_TARGET = 1024
-MAX_DEPTH = 14
-BLOCK_LIMIT = 8 * LEAF_TARGET
+LEAF_TARGET = 1024  # fingerprints that live in a leaf, on average
+TOP_DEPTH = 12  # levels of the tree that is broadcast: 4,095 nodes
+STEP = 4  # levels of each further round
+NODE_SAMPLE = 32  # fingerprints of the sample for each leaf to come
+HOME_BLOCK = 4 * LEAF_TARGET  # members in a tile
+QUERY_BLOCK = 32 * LEAF_TARGET  # queries in a tile
 _CHUNK = 1 << 16
 
 
@@ -61,21 +66,19 @@ def simhash(text: str) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id long, fp long: the fingerprint's bits). Null text counts as
-    empty, whose fingerprint is 0."""
+def fingerprints(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id long, the `carried` columns and fp long (the fingerprint's bits).
+    Null text counts as empty, whose fingerprint is 0."""
+    rows = docs.select(text_or_empty(docs).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *carried)
+    kept = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0)
             fps = np.fromiter((simhash(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], [*kept, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return map_texts(
-        rows,
-        run, "doc_id long, fp long"
-    )
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], StructField("fp", LongType())]))
 
 
 # ------------------------------------------------------------------ tree
@@ -111,13 +114,14 @@ def fit_tree(sample: np.ndarray, depth: int, bits: int, seed: int = 11) -> tuple
     return pivots, radii
 
 
-def route(fps: np.ndarray, pivots: np.ndarray, radii: np.ndarray, depth: int, bits: int):
-    """(index into fps, leaf, is_home): each fingerprint's own leaf and the
-    leaves it must query."""
-    idx, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+def route(fps: np.ndarray, home: np.ndarray, tree: np.ndarray, pivots: np.ndarray, radii: np.ndarray, depth: int, bits: int):
+    """(index into fps, leaf, is_home): each fingerprint's own leaf, if it is at
+    home, and the leaves it must query. Row i goes down tree `tree[i]`, whose
+    nodes are that row of `pivots` and `radii`."""
+    idx, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), home.astype(bool)
     for _ in range(depth):
-        d = np.bitwise_count(fps[idx] ^ pivots[node]).astype(np.int16)
-        r = radii[node]
+        d = np.bitwise_count(fps[idx] ^ pivots[tree[idx], node]).astype(np.int16)
+        r = radii[tree[idx], node]
         inside = np.where(home, d <= r, d - bits <= r)
         # an inside member of a home pair queries outside; a query goes where its ball reaches
         outside = np.where(home, d > r, d + bits > r)
@@ -205,53 +209,120 @@ def spanning_edges(home: np.ndarray, query: np.ndarray, bits: int) -> tuple[np.n
 # --------------------------------------------------------------- distributed
 
 
-def linked_edges(distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET) -> DataFrame:
-    """(a long, b long): spanning edges whose components are those of all
-    pairs of distinct fingerprints at `bits` or fewer differing bits."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    depth = int(min(MAX_DEPTH, max(0, np.ceil(np.log2(max(1, n) / leaf_target)))))
-    sample = [r.fp for r in lowest(distinct.select("fp"), F.xxhash64("fp"), "fp", 32 * 2**depth).collect()] if depth else []
-    pivots, radii = fit_tree(np.array(sample, np.int64).view(np.uint64), depth, bits) if depth else (None, None)
-    tree = spark.sparkContext.broadcast((pivots, radii))
+_ROUTED = "leaf long, fp long, home boolean"
+
+
+def _down_top(distinct: DataFrame, depth: int, bits: int) -> DataFrame:
+    """(leaf, fp, home) after the first levels, whose tree is broadcast."""
+    sample = [r.fp for r in lowest(distinct.select("fp"), F.xxhash64("fp"), "fp", NODE_SAMPLE * 2**depth).collect()]
+    tree = distinct.sparkSession.sparkContext.broadcast(fit_tree(np.array(sample, np.int64).view(np.uint64), depth, bits))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, radii = tree.value
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
                 fps = batch.column(0)[begin : begin + 4096].to_numpy(zero_copy_only=False).view(np.uint64)
-                idx, leaf, home = route(fps, pivots, radii, depth, bits)
+                n = len(fps)
+                idx, leaf, home = route(fps, np.ones(n, bool), np.zeros(n, np.int64), pivots[None], radii[None], depth, bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf), pa.array(fps[idx].view(np.int64)), pa.array(home)], ["leaf", "fp", "home"]
+                )
+
+    return distinct.select("fp").mapInArrow(send, _ROUTED)
+
+
+def _down_further(routed: DataFrame, levels: int, leaves: int, n: int, bits: int) -> DataFrame:
+    """(leaf, fp, home) some levels deeper: every leaf gets a small tree of its
+    own. A leaf that only queries reach has no member, so its rows end here."""
+    wanted = NODE_SAMPLE * 2**levels
+    share = min(1.0, 4 * wanted * leaves / n)
+    mark = F.xxhash64(F.lit(leaves), "fp")
+    members = routed.where("home").where(mark < F.lit(min(2**63 - 1, int(2**64 * share) - 2**63)))
+    # a leaf may hold very many: the window is salted, and keeps `wanted` rows a leaf at most
+    few = Window.partitionBy("leaf", F.pmod(mark, F.lit(wanted // 8))).orderBy("fp")
+    members = members.withColumn("nth", F.row_number().over(few)).where("nth <= 8").select("leaf", "fp")
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pivots, radii = fit_tree(pdf["fp"].to_numpy(np.int64).view(np.uint64), levels, bits)
+        return pd.DataFrame({"leaf": [key[0]], "pivots": [pivots.view(np.int64).tolist()], "radii": [radii.tolist()]})
+
+    trees = materialise(members.groupBy("leaf").applyInPandas(fit, "leaf long, pivots array<long>, radii array<int>"), "subtrees")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 4096):
+                leaf, fps, home, pivots, radii = (c[begin : begin + 4096] for c in batch.columns)
+                n = len(fps)
+                leaf = leaf.to_numpy(zero_copy_only=False)
+                fps = fps.to_numpy(zero_copy_only=False).view(np.uint64)
+                p = pivots.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+                r = radii.flatten().to_numpy(zero_copy_only=False).astype(np.int16).reshape(n, -1)
+                idx, low, home = route(fps, home.to_numpy(zero_copy_only=False), np.arange(n), p, r, levels, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.astype(np.int32)), pa.array(fps[idx].view(np.int64)), pa.array(home)],
+                    [pa.array(leaf[idx] * 2**levels + low), pa.array(fps[idx].view(np.int64)), pa.array(home)],
                     ["leaf", "fp", "home"],
                 )
 
-    if depth:
-        routed = distinct.select("fp").mapInArrow(send, "leaf int, fp long, home boolean")
-    else:
-        routed = distinct.select(F.lit(0).alias("leaf"), "fp", F.lit(True).alias("home"))
-    # 2**depth rows at most come back: how many fingerprints live in each leaf.
-    sizes = {r.leaf: r.n for r in routed.where("home").groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    large = {leaf: -(-size // leaf_target) for leaf, size in sizes.items() if size > 8 * leaf_target}
-    if large:
-        blocks = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-        count = F.coalesce(F.try_element_at(blocks, F.col("leaf")), F.lit(1))
-        own = F.when(F.col("home"), F.pmod(F.xxhash64("fp"), count).cast("int")).otherwise(F.lit(-1))
-        # a home member lives in its block and queries the later ones; a query visits all
-        routed = (
-            routed.withColumns({"blocks": count, "own": own})
-            .withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), F.col("blocks") - 1)))
-            .select("leaf", "block", "fp", (F.col("own") == F.col("block")).alias("home"))
-        )
-    else:
-        routed = routed.withColumn("block", F.lit(0))
+    return routed.join(trees, "leaf").select("leaf", "fp", "home", "pivots", "radii").mapInArrow(send, _ROUTED)
+
+
+def routed_rows(
+    distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET, top_depth: int = TOP_DEPTH, step: int = STEP
+) -> DataFrame:
+    """(leaf, fp, home): each distinct fingerprint at home in one leaf of the
+    whole tree, and as a query wherever a partner may live that doesn't come to
+    it. Written."""
+    n = distinct.count()
+    depth = int(max(0, np.ceil(np.log2(max(1, n) / leaf_target))))
+    if depth == 0:
+        return distinct.select(F.lit(0).cast("long").alias("leaf"), "fp", F.lit(True).alias("home"))
+    done = min(depth, top_depth)
+    routed = materialise(_down_top(distinct, done, bits), "routed")
+    while done < depth:
+        levels, above = min(step, depth - done), routed
+        routed = materialise(_down_further(above, levels, 2**done, n, bits), "routed")
+        discard(above)
+        done += levels
+    return routed
+
+
+def tiles(routed: DataFrame, home_block: int = HOME_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(leaf, i, j, fp, home): tiles of at most about home_block members and
+    query_block queries, in which all pairs of a leaf meet. Members in later
+    blocks are queries of the earlier ones."""
+    sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("members"), F.count_if(~F.col("home")).alias("queries"))
+    blocks = F.ceil(F.col("members") / home_block).cast("int")
+    visitors = F.col("queries") + F.when(F.col("members") > home_block, F.col("members")).otherwise(0)
+    groups = F.greatest(F.lit(1), F.ceil(visitors / query_block).cast("int"))
+    large = sizes.where((F.col("members") > home_block) | ((F.col("queries") > query_block) & (F.col("members") > 0)))
+    large = materialise(large.select("leaf", blocks.alias("blocks"), groups.alias("groups")), "large-leaves")
+    if large.isEmpty():
+        return routed.select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home")
+    rows = routed.join(large, "leaf", "left").select(
+        "leaf", "fp", "home", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce("groups", F.lit(1)).alias("groups")
+    )
+    spot = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "fp"), F.col(n)).cast("int")
+    rows = rows.withColumns({"own": F.when(F.col("home"), spot(1, "blocks")).otherwise(F.col("blocks")), "group": spot(2, "groups")})
+    tile = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
+    at_home = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda j: tile(F.col("own"), j, F.lit(True)))
+    visits = F.transform(F.sequence(F.lit(0), F.greatest(F.col("own") - 1, F.lit(0))), lambda i: tile(i, F.col("group"), F.lit(False)))
+    none = F.array().cast("array<struct<i: int, j: int, home: boolean>>")
+    places = F.concat(F.when(F.col("home"), at_home).otherwise(none), F.when(F.col("own") > 0, visits).otherwise(none))
+    return rows.select("leaf", "fp", F.explode(places).alias("t")).select("leaf", "t.i", "t.j", "fp", "t.home")
+
+
+def linked_edges(distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET, **levels: int) -> DataFrame:
+    """(a long, b long): spanning edges whose components are those of all
+    pairs of distinct fingerprints at `bits` or fewer differing bits."""
 
     def edges(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fps, home = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool)
         a, b = spanning_edges(fps[home], fps[~home], bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return routed.groupBy("leaf", "block").applyInPandas(edges, "a long, b long")
+    routed = routed_rows(distinct, bits, leaf_target, **levels)
+    dealt = tiles(routed, HOME_BLOCK * leaf_target // LEAF_TARGET, QUERY_BLOCK * leaf_target // LEAF_TARGET)
+    return dealt.groupBy("leaf", "i", "j").applyInPandas(edges, "a long, b long")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -289,31 +360,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return labels
 
 
+def _components(prints: DataFrame, first: Column, bits: int, leaf_target: int) -> DataFrame:
+    """(fp, least): the least `first` of all rows that a fingerprint reaches."""
+    distinct = materialise(prints.groupBy("fp").agg(F.min(first).alias("first")), "simhash-distinct")
+    labels = connected_components(linked_edges(distinct, bits, leaf_target)).withColumnRenamed("v", "fp")
+    linked = materialise(labels.join(distinct, "fp"), "simhash-linked")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
+    of_linked = linked.join(smallest, "root").select("fp", "least")
+    of_all = distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    return materialise(of_all, "simhash-components")
+
+
 def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest
     doc_id reachable) of every row.
 
     Null, empty and wordless texts have fingerprint 0 and link like any other;
-    repeated rows share fingerprint and component; an empty table gives an
-    empty result; other columns are not read."""
+    repeated rows share fingerprint and component; a null doc_id comes after
+    all others, so a component of nulls alone has a null component_id; an empty
+    table gives an empty result; other columns are not read."""
     prints = materialise(fingerprints(docs), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    labels = connected_components(linked_edges(distinct, bits, leaf_target)).withColumnRenamed("v", "fp")
-    linked = materialise(labels.join(distinct, "fp"), "simhash-linked")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_linked = linked.join(smallest, "root").select("fp", "component_id")
-    of_all = materialise(
-        distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")),
-        "simhash-components",
-    )
-    return prints.join(of_all, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    found = _components(prints, F.col("doc_id"), bits, leaf_target)
+    return prints.join(found, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
-def keep_representatives(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def keep_representatives(docs: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET) -> DataFrame:
     """The documents without near copies, columns as in `docs`: of each
-    component the row with the smallest doc_id stays. Rows that share a doc_id
-    are one document, kept as one row if any of them is kept."""
-    judged = near_duplicates(docs, bits)
-    return keep_judged(docs, judged.select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
+    component one row stays, of smallest doc_id (null after all others), then
+    least text hash. Rows are told apart by doc_id and text, so a repeated or
+    null doc_id loses no unlike text; of rows alike in both one stays (see
+    `keep_judged`). A null text is an empty one. An empty table stays empty."""
+    prints = materialise(fingerprints(docs, *row_key(docs)), "simhash")
+    found = _components(prints, row_order(), bits, leaf_target)
+    judged = prints.join(found, "fp").select(*ROW_KEY, (row_order() == F.col("least")).alias("kept"))
+    return keep_judged(docs, judged)

@@ -82,6 +82,12 @@ def id_encoder(path: str) -> WordPieces:
     return _id_encoders[path]
 
 
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+
+
 def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
         merges = json.load(f)["model"]["merges"]

@@ -226,12 +226,79 @@ def test_language_id_held_out_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and not got.rejected.any() and got.score.between(0, 1).all()
 
 
-def test_language_id_probabilities_sum_to_one():
-    types = kneser_ney.gram3(kneser_ney.symbols("abracadabra abba cab"))
-    grams, n = np.unique(types, return_counts=True)
-    m = kneser_ney.fit(pd.DataFrame({"lang": "x", "gram": grams.view(np.int64), "n": n}))
-    total = sum(np.exp(m._log_probability(np.array([ord("a"), ord("b"), c], np.uint32))[0]) for c in [*m.one, ord("z")])
-    assert abs(total - 1) < 1e-9
+def plain_kneser_ney(counts):
+    """Interpolated Kneser-Ney by plain loops: P(c | a, b) of one language."""
+    letters = {x for g in counts for x in g}
+    pairs: dict = {}
+    for g in counts:
+        pairs[g[1:]] = pairs.get(g[1:], 0) + 1
+    ones: dict = {}
+    for g in pairs:
+        ones[g[1]] = ones.get(g[1], 0) + 1
+
+    def discount(table):
+        n1, n2 = (sum(n == k for n in table.values()) for k in (1, 2))
+        return min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.0))
+
+    def level(table, context, lower):
+        d = discount(table)
+        own = [n for g, n in table.items() if g[:-1] == context]
+        return lambda c: lower(c) if not own else max(table.get(context + c, 0) - d, 0) / sum(own) + d * len(own) / sum(own) * lower(c)
+
+    def p(a, b, c, vocabulary):
+        d = discount(ones)
+        lowest = lambda x: max(ones.get(x, 0) - d, 0) / sum(ones.values()) + d * len(ones) / sum(ones.values()) / vocabulary
+        return level(counts, a + b, level(pairs, b, lowest))(c)
+
+    return letters, p
+
+
+def model_probability(model, lang, gram):
+    at = model.langs.index(lang)
+    return float(np.exp(model.floor[at] + model.log_weights(kneser_ney.gram3(np.array([*map(ord, gram)], np.uint32)))[at]))
+
+
+def trigrams(text):
+    found: dict = {}
+    for i in range(len(text) - 2):
+        found[text[i : i + 3]] = found.get(text[i : i + 3], 0) + 1
+    return found
+
+
+def test_language_model_against_plain_kneser_ney(spark):
+    told = {"x": " abracadabra abba cab bacca ", "y": " dada adda cada bad add "}
+    counts = {(lang, g): n for lang, text in told.items() for g, n in trigrams(text).items()}
+    whole = kneser_ney.model_of(counts, spark)
+    few = kneser_ney.model_of(counts, spark, model_types=20)  # of more trigram and pair types
+    letters = {x for text in told.values() for x in text}
+    v, contexts = len(letters) + 1, [(a, b) for a in sorted(letters) for b in sorted(letters)]
+    assert len(few.keys) < len(whole.keys)
+    for lang, text in told.items():
+        _, p = plain_kneser_ney(trigrams(text))
+        same = 0
+        for a, b in contexts:
+            every = [*sorted(letters), "z"]
+            want = [p(a, b, c, v) for c in every]
+            got = [model_probability(whole, lang, a + b + c) for c in every]
+            assert np.allclose(got, want, rtol=1e-5)
+            pruned = [model_probability(few, lang, a + b + c) for c in every]
+            assert abs(sum(got) - 1) < 1e-5 and abs(sum(pruned) - 1) < 1e-5
+            same += sum(abs(x - y) < 1e-5 for x, y, c in zip(pruned, want, every, strict=True) if a + b + c in trigrams(text))
+        assert same >= 5  # the types that stay keep their probability
+
+
+def test_language_model_of_many_languages(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(200):
+        alphabet = rng.choice(np.arange(97, 97 + 400), 12, replace=False)
+        rows += [(f"l{k}", int(g), int(n)) for g, n in zip(*np.unique(kneser_ney.gram3(rng.choice(alphabet, 3000).astype(np.uint32)), return_counts=True), strict=True)]
+    counts = spark.createDataFrame(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    found, floors = kneser_ney.features(counts)
+    model = kneser_ney.gathered(found, floors)
+    assert len(model.langs) == 200 and model.nbytes() <= 22 * found.count() + 8  # seen types only, not types x languages
+    with pytest.raises(ValueError):
+        kneser_ney.gathered(found, floors, model_bytes=1000)
 
 
 def test_language_id_keeps_the_most_frequent_types(spark):
@@ -246,11 +313,33 @@ def test_language_id_keeps_the_most_frequent_types(spark):
 
 
 def test_language_id_rejects(spark, docs):
-    model = kneser_ney.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = kneser_ney.train(known)
     odd = spark.createDataFrame([(1, "你好世界" * 20), (2, "12 !!"), (3, None), (4, "the and of thing")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.rejected) for r in kneser_ney.identify(odd, model).collect()}
     assert got[1][1] and got[2] == ("und", True) and got[3] == ("und", True) and got[4] == ("en", False)
     assert kneser_ney.identify(docs, model).count() == len(ODD)
+    # one label in a hundred is wrong: random letters and a Latin-script language not learned still go
+    wrong = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(100)) == 0, F.lit("de")).otherwise(F.col("lang"))
+    model = kneser_ney.train(known.where("lang <> 'es'").withColumn("lang", wrong))
+    rng = np.random.default_rng(4)
+    noise = ["".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz     "], 400)) for _ in range(50)]
+    spanish = [r.text for r in known.where("lang = 'es' and n_chars > 500").collect()]
+    english = [r.text for r in known.where("lang = 'en' and n_chars > 200").collect()]
+    gone = [np.mean([kneser_ney.judged(model, t)[2] for t in texts]) for texts in (noise, spanish, english)]
+    assert gone[0] == 1 and gone[1] > 0.9 and gone[2] < 0.01
+
+
+def test_language_id_keeps_marks_and_every_row(spark):
+    assert kneser_ney.symbols("हिंदी, 12").tolist() == [32, *map(ord, "हिंदी"), 32]
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = kneser_ney.train(known)
+    text = known.where("lang = 'en' and n_chars > 500").first().text
+    rows = [(1, text, "a"), (1, None, "b"), (None, text, "c"), (None, "12", "d"), (2, text, None), (2, text, None)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, key_id string")
+    got = kneser_ney.keep_identified(mixed, model)
+    assert got.columns == mixed.columns and sorted(str(r.key_id) for r in got.collect()) == ["None", "None", "a", "c"]
+    assert kneser_ney.keep_identified(mixed.where("false"), model).collect() == []
 
 
 def brute_sketch(text):
