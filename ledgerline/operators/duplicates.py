@@ -19,13 +19,27 @@ def _first_two(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(w)).where("nth <= 2").drop("nth")
 
 
-def _two_texts(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Of each group the two earliest rows of each of the two file hashes met
-    first: enough to find, for any hash, the earliest row of another."""
-    first = F.min(F.struct("b_created", "b_id")).over(Window.partitionBy(*by, "b_file_hash"))
-    few = _first_two(rows, [*by, "b_file_hash"], "b_created", "b_id").withColumn("first", first)
-    nth = F.dense_rank().over(Window.partitionBy(*by).orderBy("first", "b_file_hash"))
-    return few.withColumn("nth", nth).where("nth <= 2").drop("nth", "first")
+def _earliest_others(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group at most six rows, among which is, for any file hash and
+    document number, the earliest row that has neither (a null is never equal).
+    They are found by sums over the group, one after the other, so nothing of
+    its size meets in one place: A is the earliest; B, C and D the earliest with
+    another hash, another number, both; E and F stand in for B and C where these
+    have the other value of the one who asks."""
+    row = F.struct("b_created", "b_id", "b_file_hash", "b_doc_no", "b_mark")
+    differs = lambda c, of: ~F.coalesce(F.col(f"b_{c}") == F.col(f"{of}.b_{c}"), F.lit(False))
+    keyed = rows.where(" and ".join(f"{c} is not null" for c in by))
+    keyed = keyed.withColumn("b_mark", F.coalesce("b_file_hash", F.concat(F.lit("id "), F.col("b_id").cast("string"))))
+    a = keyed.groupBy(*by).agg(F.min(row).alias("A"))
+    hash_a, doc_a = differs("mark", "A"), differs("doc_no", "A")
+    bcd = keyed.join(a, by).groupBy(*by, "A").agg(
+        F.min(F.when(hash_a, row)).alias("B"), F.min(F.when(doc_a, row)).alias("C"), F.min(F.when(hash_a & doc_a, row)).alias("D")
+    )
+    ef = keyed.join(bcd, by).groupBy(*by, "A", "B", "C", "D").agg(
+        F.min(F.when(hash_a & differs("doc_no", "B"), row)).alias("E"), F.min(F.when(doc_a & differs("mark", "C"), row)).alias("F")
+    )
+    few = F.array_distinct(F.array_compact(F.array(*"ABCDEF")))
+    return ef.select(*by, F.inline(F.transform(few, lambda r: F.struct(*[r[c].alias(c) for c in ("b_created", "b_id", "b_file_hash", "b_doc_no") if c not in by]))))
 
 
 def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
@@ -36,32 +50,36 @@ def duplicate_of(incoming: DataFrame, approved: DataFrame) -> DataFrame:
 
     Rows alike in all five keys are one class. Classes are joined, not rows,
     and carry their two earliest approved records, of which a row is one at
-    most itself; so a large group of copies makes no pairs of its members. Nor
-    do many texts of one document number: each needs the earliest of another
-    text only."""
+    most itself. A number is represented by the few approved rows of which one
+    is the answer for every class (`_earliest_others`), so neither a large group
+    of copies nor a number that many classes share makes pairs of its members.
+    A class that matches by several rules takes the earliest record."""
     named = F.to_json(F.struct(*_KEYS)).alias("class")  # null keys are left out, so names are exact
     a = incoming.select(named, *_KEYS).distinct().select("class", *[F.col(c).alias(f"a_{c}") for c in _KEYS])
     b = _first_two(approved.select("id", "created", *_KEYS), _KEYS, "created", "id")
     b = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    place = F.coalesce(F.col("a_village") == F.col("b_village"), F.lit(False)) | F.coalesce(F.col("a_survey") == F.col("b_survey"), F.lit(False))
-    same_hash = F.coalesce(F.col("a_file_hash") == F.col("b_file_hash"), F.lit(False))
-    same_doc = F.coalesce(F.col("a_doc_no") == F.col("b_doc_no"), F.lit(False))
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
 
-    def branch(key: str, test, reason: str) -> DataFrame:
-        pairs = a.join(b, F.col(f"a_{key}") == F.col(f"b_{key}")).where(test)
+    def branch(reason: str, by: list[str], rows: DataFrame, asked, test) -> DataFrame:
+        pairs = a.where(asked).join(rows, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]).where(test)
         return pairs.select("class", F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit(reason).alias("reason"))
 
-    def document(by: list[str], size) -> DataFrame:
-        others = _two_texts(b.where(size(F.length("b_doc_no"))), [f"b_{c}" for c in by])
-        pairs = a.where(size(F.length("a_doc_no"))).join(others, [F.col(f"a_{c}") == F.col(f"b_{c}") for c in by]).where(~same_hash)
-        return pairs.select("class", F.col("b_id").alias("match_id"), F.col("b_created").alias("created"), F.lit("document").alias("reason"))
-
-    found = (
-        branch("file_hash", F.lit(True), "file")
-        .unionByName(document(["doc_no"], lambda n: n >= 4))
-        .unionByName(document(["doc_no", "village"], lambda n: n < 4)).unionByName(document(["doc_no", "survey"], lambda n: n < 4))
-        .unionByName(branch("stamp_no", ~same_hash & ~same_doc & (place | (F.length("a_stamp_no") >= 6)), "stamp"))
-    )
+    def others(key: str, places: tuple, long: int, reason: str, test) -> list[DataFrame]:
+        """A long enough number matches alone, a short one with a place."""
+        size = F.length(f"a_{key}")
+        found = [branch(reason, [key], _earliest_others(b, [f"b_{key}"]), size >= long, test)]
+        for place in places:
+            short = b.where(F.length(f"b_{key}") < long)
+            found.append(branch(reason, [key, place], _earliest_others(short, [f"b_{key}", f"b_{place}"]), size < long, test))
+        return found
+
+    earliest = _first_two(b, ["b_file_hash"], "b_created", "b_id").where("b_file_hash is not null")
+    found = branch("file", ["file_hash"], earliest.select("b_file_hash", "b_created", "b_id"), F.lit(True), F.lit(True))
+    for part in (
+        *others("doc_no", ("village", "survey"), 4, "document", ~same("file_hash")),
+        *others("stamp_no", ("village", "survey"), 6, "stamp", ~same("file_hash") & ~same("doc_no")),
+    ):
+        found = found.unionByName(part)
     best = _first_two(found.distinct(), ["class"], "created", "match_id")
     matched = incoming.select("id", named).join(best, "class").where(F.col("id") != F.col("match_id"))
     top = F.min(F.struct("created", "match_id", "reason")).alias("m")

@@ -105,18 +105,26 @@ def payload_changes(old: DataFrame, form: DataFrame, key: str, fields: list[str]
     return rows.where((F.col("after") != "") & ~F.trim("before").eqNullSafe(F.col("after")))
 
 
-def decide(action: Column, duplicate: Column, failed: Column, reason: Column) -> Column:
+def decide(action: Column, duplicate: Column, failed: Column, reason: Column, checked: Column | None = None, current: Column | None = None) -> Column:
     """struct(status, message) after a reviewer's action; null status where it
-    is refused. Warnings alone never block an approval."""
+    is refused. Warnings alone never block an approval. checked: the status by
+    new checks, which a correction takes. current: the status before; a sealed
+    record can only be rejected."""
     def to(status: str | None, message: str) -> Column:
         return F.struct(F.lit(status).cast("string").alias("status"), F.lit(message).alias("message"))
 
     reject = F.when(F.coalesce(F.trim(reason), F.lit("")) == "", to(None, "a reason is needed")).otherwise(to("REJECTED", "rejected"))
     approve = F.when(duplicate, to(None, "duplicate")).when(failed, to(None, "critical check failed")).otherwise(to("APPROVED", "sealed"))
-    return (
+    made = (
         F.when(action == "reject", reject).when(action == "approve", approve)
-        .when(action == "submit_to_officer", to("READY_FOR_APPROVAL", "sent")).otherwise(to(None, "unknown action"))
+        .when(action == "submit_to_officer", to("READY_FOR_APPROVAL", "sent"))
     )
+    if checked is not None:
+        made = made.when(action == "correct", F.struct(checked.alias("status"), F.lit("corrected").alias("message")))
+    made = made.otherwise(to(None, "unknown action"))
+    if current is None:
+        return made
+    return F.when((current == "APPROVED") & ~F.coalesce(action == "reject", F.lit(False)), to(None, "already sealed")).otherwise(made)
 
 
 def timeline(records: DataFrame, key: str, events: dict[str, Column]) -> DataFrame:
@@ -125,17 +133,54 @@ def timeline(records: DataFrame, key: str, events: dict[str, Column]) -> DataFra
     return records.select(key, F.inline(F.array(*steps))).where("at is not null")
 
 
-@F.pandas_udf(BooleanType())
-def spelling_variant(a: pd.Series, b: pd.Series) -> pd.Series:
+def alike(x: str | None, y: str | None) -> bool:
     """Whether two values are spellings of one: equal, or one within the other
     if both are longer than four, or alike by 0.72; never if digits differ."""
     from difflib import SequenceMatcher
 
-    def alike(x: str | None, y: str | None) -> bool:
-        if x is None or y is None or x == y:
-            return x is not None and x == y
-        if any(c.isdigit() for c in x + y):
-            return False
-        return (min(len(x), len(y)) > 4 and (x in y or y in x)) or SequenceMatcher(None, x, y).ratio() >= 0.72
+    if x is None or y is None or x == y:
+        return x is not None and x == y
+    if any(c.isdigit() for c in x + y):
+        return False
+    return (min(len(x), len(y)) > 4 and (x in y or y in x)) or SequenceMatcher(None, x, y).ratio() >= 0.72
+
 
+@F.pandas_udf(BooleanType())
+def spelling_variant(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`alike` of two columns."""
     return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def heatmap(records: DataFrame, key: str) -> DataFrame:
+    """key, bbox, polygon, confidence of every line of every page that has a
+    place; a confidence that can't be read is the recogniser's."""
+    lines = records.select(key, F.explode("pages").alias("p")).select(key, F.explode("p.lines").alias("l"))
+    placed = (F.coalesce(F.size("l.bbox"), F.lit(0)) > 0) | (F.coalesce(F.size("l.polygon"), F.lit(0)) > 0)
+    score = F.coalesce(F.col("l.confidence").try_cast("double"), F.col("l.rec_score").try_cast("double"))
+    return lines.where(placed).select(key, "l.bbox", "l.polygon", score.alias("confidence"))
+
+
+def new_words(lines: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Words (key, text) that no line of the key says already, case aside."""
+    there = lines.select(F.col(key).alias("there"), F.lower("text").alias("said")).distinct()
+    return words.join(there, (F.col(key) == F.col("there")) & (F.lower("text") == F.col("said")), "left_anti")
+
+
+# Wording around signatures.
+SIGNATURE_WORDS = "signature|signed|witness|thumb|l\\.t\\.i|executant"
+
+
+def signature_line(text: Column, y_rel: Column) -> Column:
+    """Whether a line of the lowest quarter of a page speaks of a signature."""
+    return (y_rel >= 0.75) & F.lower(text).rlike(SIGNATURE_WORDS)
+
+
+def harmonised(semantic: dict[str, Column], neural: dict[str, Column]) -> dict[str, Column]:
+    """Values of the rules, and the model's where the rules have none."""
+    return {f: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.nullif(F.trim(neural.get(f, F.lit(None).cast("string"))), F.lit(""))) for f, c in semantic.items()}
+
+
+def by_class(values: Column, classes: Column) -> Column:
+    """Values in order of their class, equal classes as they come."""
+    items = F.transform(F.arrays_zip(classes.alias("k"), values.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v")))
+    return F.transform(F.array_sort(items), lambda x: x["v"])

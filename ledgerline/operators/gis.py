@@ -1,26 +1,209 @@
-"""Place resolution against an administrative hierarchy."""
+"""Place resolution against an administrative hierarchy, and dataset checks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import comparable
 
-def resolve_places(queries: DataFrame, villages: DataFrame, districts: DataFrame, states: DataFrame) -> DataFrame:
-    """queries (id, village, district, state: cleaned names or null) -> level
-    and confidence: a village met once is 90, met more often ambiguous (40),
-    else the district 50, else the state 30, else unresolved (0). The lookup
-    tables are aggregated to one row per name before they are joined."""
-    v = villages.groupBy("district", "village").agg(F.count("*").alias("n"), F.min("feature").alias("feature_v"))
-    d = districts.groupBy("district").agg(F.min("feature").alias("feature_d"))
-    s = states.groupBy("state").agg(F.min("feature").alias("feature_s"))
-    found = queries.join(v, ["district", "village"], "left").join(d, "district", "left").join(s, "state", "left")
-    level = F.when(F.col("n") == 1, "village").when(F.col("n") > 1, "ambiguous").when(F.col("feature_d").isNotNull(), "district").when(F.col("feature_s").isNotNull(), "state").otherwise("unresolved")
-    scores = F.create_map(*[F.lit(x) for kv in {"village": 90, "ambiguous": 40, "district": 50, "state": 30, "unresolved": 0}.items() for x in kv])
-    feature = F.when(F.col("n") == 1, F.col("feature_v")).when(F.col("n") > 1, None).otherwise(F.coalesce("feature_d", "feature_s"))
-    return found.select("id", level.alias("level"), feature.alias("feature")).withColumn("confidence", scores[F.col("level")].cast("long"))
+# Confidence of each level; words in front of and behind names;
+# words that tell the state where none is named.
+CONFIDENCE = {"village": 90, "mandal": 70, "district": 50, "state": 30, "other": 30, "ambiguous": 40, "none": 0}
+PLACE_PREFIX = r"^(property situated at|situated at|located at|at)\s+"
+ORDINAL_PREFIX = r"^(ii|i|iii|iv|v)\b[\s_.,-]*"
+AREA_SUFFIX = r"\s+(district|mandal|taluk|taluka|tehsil)$"
+ANCHORS = {
+    "telangana": (
+        "ranga", "rangareddy", "r r", "rr", "medchal", "malkajgiri", "hyderabad", "ghatkesar", "quthbullapur", "keesara", "aushapur", "uppal",
+        "shamshabad", "rajendranagar", "serilingampally", "sangareddy", "vikarabad", "secunderabad", "warangal", "khammam", "karimnagar",
+        "nizamabad", "mahbubnagar", "nalgonda",
+    ),
+    "karnataka": (
+        "bangalore", "bengaluru", "mandya", "mysore", "mysuru", "tumkur", "tumakuru", "kolar", "hassan", "chikkaballapur", "ramnagara",
+        "ramanagara", "bellary", "ballari", "belgaum", "belagavi", "dharwad", "hubli", "shimoga", "shivamogga",
+    ),
+}
+DEFAULT_STATE = "karnataka"
+
+
+def village_name(c: Column) -> Column:
+    """A village's name without the wording of deeds around it."""
+    bare = F.regexp_replace(comparable(c), PLACE_PREFIX, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, ORDINAL_PREFIX, ""), r"\s+village$", ""))
+
+
+def area_name(c: Column) -> Column:
+    """A district's, mandal's or taluk's name without that word."""
+    return F.trim(F.regexp_replace(comparable(c), AREA_SUFFIX, ""))
+
+
+def states_of(queries: DataFrame, states: DataFrame) -> DataFrame:
+    """queries (id, state, district, mandal, village) -> id, state_key.
+
+    A state that is named is a known one spelt with or without blanks, else the
+    first known one (in name order) found as words within it, else none. Where
+    none is named, words of the other places tell it, else the default holds;
+    all only for known states. states: (state), a handful of rows."""
+    known = states.select(F.lower("state").alias("k")).distinct()
+    listed = F.sort_array(F.collect_list("k"))
+    table = F.broadcast(known.agg(listed.alias("known")))  # one row: the states there are data for
+    plain = F.trim(F.translate(comparable(F.col("state")), "_", " "))
+    dense = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
+    spelt = F.get(F.filter("known", lambda k: dense(k) == dense(plain)), F.lit(0))
+    within = F.get(F.filter("known", lambda k: F.contains(F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), F.translate(k, "_", " "), F.lit(" ")))), F.lit(0))
+    others = F.concat_ws(" ", *[F.coalesce(comparable(F.col(c)), F.lit("")) for c in ("district", "mandal", "village")])
+    told = F.lit(None).cast("string")
+    for state, words in reversed(ANCHORS.items()):
+        here = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(others, w))
+        told = F.when(F.array_contains("known", state) & here, state).otherwise(told)
+    default = F.when(F.array_contains("known", DEFAULT_STATE), DEFAULT_STATE)
+    named = F.coalesce(F.trim("state") != "", F.lit(False))
+    return queries.crossJoin(table).select("id", F.when(named, F.coalesce(spelt, within)).otherwise(F.coalesce(told, default)).alias("state_key"))
+
+
+def _either(a: Column, b: Column) -> Column:
+    return a.contains(b) | b.contains(a)
+
+
+def _within_pairs(queries: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """Queries with the places of their state of which one name holds the other.
+
+    Distinct names are matched, not rows. A name that lies in another one begins
+    with up to three letters that the other has somewhere, so an equi-join on
+    these finds all pairs."""
+    names = queries.select("state", F.col(f"q_{name}").alias("asked")).where("asked <> ''").distinct()
+    spots = places.select("state", F.col(name).alias("told")).where("told <> ''").distinct()
+    parts = lambda c, i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)])
+    inside = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: parts(F.col(c), i)))))
+    start = lambda c: F.substring(F.col(c), 1, 3)
+
+    def holding(a: DataFrame, outer: str, b: DataFrame, inner: str) -> DataFrame:
+        met = a.withColumn("mark", inside(outer)).join(b.withColumn("mark", start(inner)), ["state", "mark"])
+        return met.where(F.col(outer).contains(F.col(inner))).select("state", "asked", "told")
+
+    pairs = holding(names, "asked", spots, "told").unionByName(holding(spots, "told", names, "asked")).distinct()
+    named = queries.join(pairs.withColumnRenamed("asked", f"q_{name}"), ["state", f"q_{name}"])
+    return named.join(places.withColumnRenamed(name, "told"), ["state", "told"]).withColumnRenamed("told", name)
+
+
+def _first(rows: DataFrame, *order) -> DataFrame:
+    """One row per query, the first by some order and then in file order."""
+    best = F.min(F.struct(*order, F.col("feature")))
+    return rows.groupBy("id").agg(best.alias("m")).select("id", F.col("m.feature").alias("found"))
+
+
+def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame) -> DataFrame:
+    """queries (id, state, district, mandal, village: as written, state cleaned),
+    villages (state, district, old_district, mandal, village, feature), features
+    (state, level, district, mandal, feature: level is state, district, mandal
+    or taluk) -> id, level, feature, confidence, hierarchy.
+
+    Villages of the exact cleaned name are looked at, or else those of which one
+    name holds the other; mandal and district must not contradict. One is the
+    village, several are ambiguous whatever else matches. Then the mandal, by
+    its name and then by a name that holds it, the district, either way, the
+    state, and any feature of the state, each the first in file order. Lookup
+    rows meet queries by equi-joins on names or parts of names."""
+    q = queries.select(
+        "id", "state", F.nullif(village_name(F.col("village")), F.lit("")).alias("q_village"),
+        F.nullif(area_name(F.col("mandal")), F.lit("")).alias("q_mandal"), F.nullif(area_name(F.col("district")), F.lit("")).alias("q_district"),
+    )
+    v = villages.select(
+        "state", "feature", village_name(F.col("village")).alias("village"), F.coalesce(area_name(F.col("mandal")), F.lit("")).alias("mandal"),
+        area_name(F.col("district")).alias("district"), area_name(F.col("old_district")).alias("old_district"),
+    )
+    f = features.select(
+        "state", "level", "feature", F.coalesce(comparable(F.col("mandal")), F.lit("")).alias("mandal"),
+        F.coalesce(comparable(F.col("district")), F.lit("")).alias("district"),
+    )
+
+    exact = q.where("q_village is not null").withColumn("village", F.col("q_village")).join(v, ["state", "village"])
+    left = q.where("q_village is not null").join(exact.select("id").distinct(), "id", "left_anti")
+    candidates = exact.unionByName(_within_pairs(left, v, "village"), allowMissingColumns=True)
+    mandal_fits = F.col("q_mandal").isNull() | (F.col("mandal") == "") | _either(F.col("q_mandal"), F.col("mandal"))
+    ranga = F.col("q_district").contains("ranga") | F.col("q_district").contains("rr")
+
+    def fits(c: str) -> Column:
+        return F.coalesce((F.col(c) != "") & (_either(F.col("q_district"), F.col(c)) | (ranga & F.col(c).contains("ranga"))), F.lit(False))
+
+    candidates = candidates.where(mandal_fits & (F.col("q_district").isNull() | fits("district") | fits("old_district")))
+    by_village = candidates.groupBy("id").agg(F.count_distinct("feature").alias("villages"), F.min("feature").alias("village_feature"))
+
+    mandals = f.where("level in ('mandal', 'taluk') and mandal <> ''")
+    district_fits = F.col("q_district").isNull() | (F.col("district") == "") | _either(F.col("q_district"), F.col("district"))
+    asked = q.where("q_mandal is not null")
+    pairs = _within_pairs(asked, mandals, "mandal").where(F.col("mandal").contains(F.col("q_mandal")) & district_fits)
+    by_mandal = _first(pairs, (F.col("mandal") != F.col("q_mandal")).cast("int"))
+    pairs = _within_pairs(q.where("q_district is not null"), f.where("level = 'district' and district <> ''"), "district")
+    by_district = _first(pairs, F.lit(0))
+    by_state = f.groupBy("state").agg(F.min(F.when(F.col("level") == "state", F.col("feature"))).alias("state_feature"), F.min("feature").alias("any_feature"))
+
+    found = (
+        q.join(by_village, "id", "left").join(by_mandal.withColumnRenamed("found", "mandal_feature"), "id", "left")
+        .join(by_district.withColumnRenamed("found", "district_feature"), "id", "left").join(by_state, "state", "left")
+    )
+    has = lambda c: F.col(c).isNotNull()
+    level = (
+        F.when(F.col("villages") == 1, "village").when(F.col("villages") > 1, "ambiguous").when(has("mandal_feature"), "mandal")
+        .when(has("district_feature"), "district").when(has("state_feature"), "state").when(has("any_feature"), "other").otherwise("none")
+    )
+    feature = F.when(F.col("villages") == 1, F.col("village_feature")).when(F.col("villages") > 1, None).otherwise(
+        F.coalesce("mandal_feature", "district_feature", "state_feature", "any_feature")
+    )
+    named = F.col("q_village").isNotNull()
+    hierarchy = (
+        F.when(level == "village", "CONSISTENT").when(level == "ambiguous", "AMBIGUOUS")
+        .when(level == "mandal", F.when(named, "PARTIAL").otherwise("CONSISTENT"))
+        .when(level.isin("district", "other"), F.when(named | F.col("q_mandal").isNotNull(), "CONTRADICTORY").otherwise("CONSISTENT"))
+        .when(level == "state", "PARTIAL").otherwise("NOT_FOUND")
+    )
+    scores = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
+    out = found.select("id", level.alias("level"), feature.alias("feature"), hierarchy.alias("hierarchy"))
+    # any feature of the state stands for a district, with less confidence
+    level = F.when(F.col("level") == "other", "district").otherwise(F.col("level"))
+    return out.withColumns({"confidence": scores[F.col("level")].cast("long"), "level": level})
 
 
 def vertex_centroid(vertices: DataFrame, key: str) -> DataFrame:
     """Mean of all vertices (lng, lat), closing ones counted as they come."""
     return vertices.groupBy(key).agg(F.avg("lng").alias("lng"), F.avg("lat").alias("lat"), F.count("*").alias("vertices"))
+
+
+def dataset_errors(features: DataFrame, levels: tuple = ("state", "district", "mandal", "taluk")) -> DataFrame:
+    """(dataset, feature, error) of features (dataset, feature, level, name,
+    state, geometry_type, vertices, lng, lat): what keeps a dataset from being
+    taken in. An id that occurs twice is an error of each such feature."""
+    twice = F.count("*").over(Window.partitionBy("dataset", "feature")) > 1
+    kinds = ("Point", "Polygon", "MultiPolygon")
+    missing = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    errors = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("level").isin(*levels), F.lit(False)), "unknown level"), F.when(missing("name"), "no name"), F.when(missing("state"), "no state"),
+        F.when(~F.coalesce(F.col("geometry_type").isin(*kinds), F.lit(False)), "unknown geometry"),
+        F.when(F.col("geometry_type").isin("Polygon", "MultiPolygon") & (F.coalesce("vertices", F.lit(0)) < 4), "ring too short"),
+        F.when(~F.coalesce(F.col("lng").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False)), "outside the world"),
+        F.when(twice, "repeated id"),
+    ))
+    return features.withColumn("errors", errors).select("dataset", "feature", F.explode("errors").alias("error"))
+
+
+def onboarding(features: DataFrame, errors: DataFrame, onboarded: DataFrame, force: bool = False, shown: int = 15) -> DataFrame:
+    """dataset, features, errors, first (up to `shown` of them), taken: a
+    dataset is taken in if it has no error and isn't there already, unless
+    forced."""
+    n = features.groupBy("dataset").agg(F.count("*").alias("features"))
+    said = F.concat_ws(": ", F.col("feature").cast("string"), "error")
+    nth = F.row_number().over(Window.partitionBy("dataset").orderBy("feature", "error"))
+    few = errors.withColumn("said", said).withColumn("nth", nth).where(F.col("nth") <= shown)
+    few = few.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("nth", "said")))["said"].alias("first"))
+    counted = errors.groupBy("dataset").agg(F.count("*").alias("errors"))
+    there = onboarded.select("dataset", F.lit(True).alias("there")).distinct()
+    rows = n.join(counted, "dataset", "left").join(few, "dataset", "left").join(there, "dataset", "left").na.fill({"errors": 0, "there": False})
+    return rows.withColumn("taken", (F.col("errors") == 0) & (F.lit(force) | ~F.col("there"))).drop("there")
+
+
+def state_metadata(notes: Column, state: Column) -> Column:
+    """struct(display_name, is_synthetic) of a dataset: it is synthetic if its
+    name or its notes say so."""
+    said = F.coalesce(F.lower(notes).rlike("synthetic|not real"), F.lit(False)) | F.lower(state).rlike("demo|synthetic")
+    return F.struct(F.initcap(F.translate(F.lower(state), "_", " ")).alias("display_name"), said.alias("is_synthetic"))

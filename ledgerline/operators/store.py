@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def fingerprint(df: DataFrame, columns: list[str]):
-    """SHA-256 of the columns' text in the given order, nulls kept apart."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]), 256)
+    """SHA-256 of the columns as one JSON object with sorted names and nulls
+    kept, so no two different rows have one text."""
+    row = F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)])
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text with keys sorted at every level, no blanks, nulls kept."""
+    return F.to_json(F.try_parse_json(c), {"ignoreNullFields": "false"})
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, keep_old: tuple = (), keep_new: tuple = ()) -> DataFrame:
@@ -43,3 +50,29 @@ def reconcile(snapshot: DataFrame, current: DataFrame, key: str, columns: list[s
     b = current.select(F.col(key).alias("kb"), fingerprint(current, columns).alias("fb"))
     action = F.when(F.col("ka").isNull(), "insert").when(F.col("kb").isNull(), "delete").when(F.col("fa") != F.col("fb"), "update")
     return a.join(b, F.col("ka") == F.col("kb"), "full_outer").select(F.coalesce("ka", "kb").alias(key), action.alias("action")).where("action is not null")
+
+
+def restore(backup: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, action): what brings `current` back to the backup: delete what it
+    lacks, insert or update the rest; unlike `reconcile` unchanged rows count as
+    updates, since a restore writes every row."""
+    a, b = backup.select(F.col(key).alias("ka")), current.select(F.col(key).alias("kb"))
+    action = F.when(F.col("ka").isNull(), "delete").when(F.col("kb").isNull(), "insert").otherwise("update")
+    return a.join(b, F.col("ka") == F.col("kb"), "full_outer").select(F.coalesce("ka", "kb").alias(key), action.alias("action"))
+
+
+def id_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side): ids that only one of two tables has."""
+    only = lambda x, y, side: x.select(key).distinct().join(y.select(key), key, "left_anti").withColumn("side", F.lit(side))
+    return only(a, b, "left").unionByName(only(b, a, "right"))
+
+
+def migrated(source: DataFrame, target: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: inserted, updated and skipped (equal) rows of a migration."""
+    a = source.select(F.col(key).alias("ka"), fingerprint(source, columns).alias("fa"))
+    b = target.select(F.col(key).alias("kb"), fingerprint(target, columns).alias("fb"))
+    both = a.join(b, F.col("ka") == F.col("kb"), "left")
+    return both.agg(
+        F.count_if(F.col("kb").isNull()).alias("inserted"), F.count_if(F.col("fa") != F.col("fb")).alias("updated"),
+        F.count_if(F.col("fa") == F.col("fb")).alias("skipped"),
+    )

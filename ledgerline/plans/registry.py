@@ -120,51 +120,28 @@ def uploader_counts(spark, d):
     return joined.select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("documents"))
 
 
-_DOC = """
-  SELECT doc_id AS id, doc_id AS created, sha256(text) AS file_hash,
-    CASE WHEN length(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g') || n_chars) >= 3 THEN lower(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g')) || n_chars END AS doc_no,
-    lower(left(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g'), 40)) AS stamp_raw, lang AS village, source AS survey FROM documents"""
-
-
-@query(f"""
-WITH d AS (SELECT *, CASE WHEN length(stamp_raw) >= 4 AND stamp_raw NOT IN ('none', 'null', 'unknown', 'notfound', 'unnumbered', 'applied') THEN stamp_raw END AS stamp_no FROM ({_DOC})),
-p AS (
-  SELECT a.id, b.id AS match_id, b.created, CASE WHEN a.file_hash = b.file_hash THEN 'file' WHEN a.doc_no = b.doc_no THEN 'document' ELSE 'stamp' END AS reason
-  FROM d a JOIN d b ON b.id % 10 = 0 AND a.id <> b.id AND a.file_hash = b.file_hash
-  UNION ALL SELECT a.id, b.id, b.created, 'document' FROM d a JOIN d b ON b.id % 10 = 0 AND a.id <> b.id AND a.doc_no = b.doc_no
-    WHERE a.file_hash IS DISTINCT FROM b.file_hash AND (a.village = b.village OR a.survey = b.survey OR length(a.doc_no) >= 4)
-  UNION ALL SELECT a.id, b.id, b.created, 'stamp' FROM d a JOIN d b ON b.id % 10 = 0 AND a.id <> b.id AND a.stamp_no = b.stamp_no
-    WHERE a.file_hash IS DISTINCT FROM b.file_hash AND a.doc_no IS DISTINCT FROM b.doc_no AND (a.village = b.village OR a.survey = b.survey OR length(a.stamp_no) >= 6))
-SELECT id, min(match_id) AS match_id, arg_min(reason, match_id) AS reason FROM p GROUP BY id""")
-def duplicate_documents(spark, d):
-    docs = t(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), F.sha2("text", 256).alias("file_hash"),
-        text.identifier(F.concat("source", F.col("n_chars").cast("string")), 3).alias("doc_no"),
-        F.substring(F.regexp_replace("text", "[^a-zA-Z0-9]", ""), 1, 40).alias("stamp"), F.col("lang").alias("village"), F.col("source").alias("survey"),
-    ).withColumn("stamp_no", text.identifier(F.col("stamp"), 4)).drop("stamp")
-    # the approved register is every tenth document here: a role, not a sample of the queries
-    return duplicates.duplicate_of(docs, docs.where("id % 10 = 0"))
-
-
 _REGISTER = """
   SELECT doc_id AS id, sha256(text) AS file_hash,
     CASE WHEN length(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g') || n_chars) >= 3 THEN lower(regexp_replace(source, '[^a-zA-Z0-9]', '', 'g')) || n_chars END AS doc_no,
-    CASE WHEN length(bare) >= 4 AND bare NOT IN ('none', 'null', 'unknown', 'notfound', 'unnumbered', 'applied') THEN sha256(bare) END AS stamp_no,
+    CASE WHEN length(bare) >= 4 AND bare NOT IN ('none', 'null', 'unknown', 'notfound', 'unnumbered') THEN sha256(bare) END AS stamp_no,
     lang AS village, source AS survey
   FROM (SELECT *, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS bare FROM documents)"""
 
 
-@query(f"""
-WITH d AS ({_REGISTER}),
+def _matches(approved: str) -> str:
+    return f"""
+WITH d AS ({_REGISTER}), r AS (SELECT * FROM d{approved}),
 p AS (
-  SELECT a.id, b.id AS match_id, 'file' AS reason FROM d a JOIN d b ON a.id <> b.id AND a.file_hash = b.file_hash
-  UNION ALL SELECT a.id, b.id, 'document' FROM d a JOIN d b ON a.id <> b.id AND a.doc_no = b.doc_no
+  SELECT a.id, b.id AS match_id, 'file' AS reason FROM d a JOIN r b ON a.id <> b.id AND a.file_hash = b.file_hash
+  UNION ALL SELECT a.id, b.id, 'document' FROM d a JOIN r b ON a.id <> b.id AND a.doc_no = b.doc_no
     WHERE a.file_hash IS DISTINCT FROM b.file_hash AND (a.village = b.village OR a.survey = b.survey OR length(a.doc_no) >= 4)
-  UNION ALL SELECT a.id, b.id, 'stamp' FROM d a JOIN d b ON a.id <> b.id AND a.stamp_no = b.stamp_no
+  UNION ALL SELECT a.id, b.id, 'stamp' FROM d a JOIN r b ON a.id <> b.id AND a.stamp_no = b.stamp_no
     WHERE a.file_hash IS DISTINCT FROM b.file_hash AND a.doc_no IS DISTINCT FROM b.doc_no)
-SELECT id, min(match_id) AS match_id, arg_min(reason, match_id) AS reason FROM p GROUP BY id""")
-def duplicate_register(spark, d):
-    """Every document against all others; the stamp key is a hash of all letters and digits of the text."""
+SELECT id, min(match_id) AS match_id, arg_min(reason, match_id) AS reason FROM p GROUP BY id"""
+
+
+def _register(spark, d) -> DataFrame:
+    """Keys of every document; the stamp key is a hash of all letters and digits of the text."""
     bare = F.lower(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))
     docs = t(spark, d, "documents").withColumn("bare", bare).select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("created"), F.sha2("text", 256).alias("file_hash"),
@@ -172,11 +149,26 @@ def duplicate_register(spark, d):
         F.when(~F.col("bare").isin(*text.ID_SENTINELS) & (F.length("bare") >= 4), F.sha2("bare", 256)).alias("stamp_no"),
         F.col("lang").alias("village"), F.col("source").alias("survey"),
     )
-    docs = docs.persist(StorageLevel.DISK_ONLY)  # the joins read the keys several times, the texts once
+    return docs.persist(StorageLevel.DISK_ONLY)  # the joins read the keys several times, the texts once
+
+
+@query(_matches(" WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def duplicate_documents(spark, d):
+    """Every document against the approved ones, which are those labelled good."""
+    docs = _register(spark, d)
+    approved = t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    return duplicates.duplicate_of(docs, docs.join(approved, "id", "left_semi"))
+
+
+@query(_matches(""))
+def duplicate_register(spark, d):
+    """Every document against all others."""
+    docs = _register(spark, d)
     return duplicates.duplicate_of(docs, docs)
 
 
-@query("SELECT event_id, sha256(concat_ws('|', event_id::VARCHAR, coalesce(user_id::VARCHAR, '<null>'), coalesce(event_type, '<null>'))) AS fingerprint FROM events")
+@query("""
+SELECT event_id, sha256('{"event_id":"' || event_id || '","event_type":' || coalesce('"' || event_type || '"', 'null') || ',"user_id":' || coalesce('"' || user_id || '"', 'null') || '}') AS fingerprint FROM events""")
 def record_fingerprint(spark, d):
     events = t(spark, d, "events")
     return events.select("event_id", store.fingerprint(events, ["event_id", "user_id", "event_type"]).alias("fingerprint"))
@@ -235,15 +227,20 @@ def learn_rules(spark, d):
 
 
 @query(f"""
-WITH r AS (SELECT * FROM ({_RULES}) QUALIFY row_number() OVER (PARTITION BY field, raw ORDER BY first_ts, corrected) = 1)
-SELECT e.event_id AS id, e.event_type AS field, 'Sale Deed' AS doc_type, 'en' AS language, (user_id % 60)::VARCHAR AS raw,
-  0.5::DOUBLE AS ocr, coalesce(r.corrected, (user_id % 60)::VARCHAR) AS value,
-  CASE WHEN r.corrected IS NULL THEN 0.5 ELSE least(0.95, greatest(0.5, rule_confidence)) END::DOUBLE AS final
-FROM events e LEFT JOIN r ON r.field = e.event_type AND r.raw = (user_id % 60)::VARCHAR""")
+WITH r AS (SELECT * FROM ({_RULES}) QUALIFY row_number() OVER (PARTITION BY field, raw ORDER BY first_ts, corrected) = 1),
+v AS (SELECT event_id AS id, event_type AS field, CASE event_id % 5 WHEN 0 THEN ' SALE DEED' WHEN 1 THEN 'unknown' WHEN 2 THEN '' ELSE 'sale deed' END AS doc_type,
+  CASE event_id % 3 WHEN 0 THEN 'En' ELSE 'en' END AS language, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (user_id % 60)::VARCHAR END AS raw, 0.5::DOUBLE AS ocr FROM events)
+SELECT v.*, coalesce(r.corrected, v.raw) AS value,
+  CASE WHEN v.raw IS NULL THEN 0 WHEN r.corrected IS NULL THEN 0.5 ELSE least(0.95, greatest(0.5, rule_confidence)) END::DOUBLE AS final,
+  CASE WHEN r.corrected IS NULL THEN 'raw_ocr' ELSE 'learned_correction' END AS kind
+FROM v LEFT JOIN r ON r.field = v.field AND r.raw = v.raw AND v.id % 5 NOT IN (1, 2)""")
 def apply_rules(spark, d):
+    k = F.col("event_id")
     values = t(spark, d, "events").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("field"), F.lit("Sale Deed").alias("doc_type"), F.lit("en").alias("language"),
-        (F.col("user_id") % 60).cast("string").alias("raw"), F.lit(0.5).alias("ocr"),
+        k.alias("id"), F.col("event_type").alias("field"),
+        F.when(k % 5 == 0, " SALE DEED").when(k % 5 == 1, "unknown").when(k % 5 == 2, "").otherwise("sale deed").alias("doc_type"),
+        F.when(k % 3 == 0, "En").otherwise("en").alias("language"),
+        F.when(k % 11 != 0, (F.col("user_id") % 60).cast("string")).alias("raw"), F.lit(0.5).alias("ocr"),
     )
     return learning.apply_rules(values, learning.induce_rules(_feedback(spark, d)))
 
@@ -263,8 +260,8 @@ SELECT doc_id, CASE WHEN greatest(te, de, ka, ta, ar, la) = 0 THEN 'Unknown' WHE
 FROM (SELECT doc_id, len(regexp_extract_all(text, '[ఀ-౿]')) AS te, len(regexp_extract_all(text, '[ऀ-ॿ]')) AS de, len(regexp_extract_all(text, '[ಀ-೿]')) AS ka,
   len(regexp_extract_all(text, '[஀-௿]')) AS ta, len(regexp_extract_all(text, '[؀-ۿ]')) AS ar, len(regexp_extract_all(text, '[A-Za-z]')) AS la FROM documents)""")
 def script_profile(spark, d):
-    c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", script.dominant_script(c).alias("script"), script.script_counts(c)["Latin"].cast("long").alias("latin"))
+    rows = t(spark, d, "documents").select("doc_id", script.script_counts(F.col("text")).alias("counts"))
+    return rows.select("doc_id", script.largest_script(F.col("counts")).alias("script"), F.col("counts")[5].cast("long").alias("latin"))
 
 
 @query(r"""
@@ -338,27 +335,6 @@ def land_filter(spark, d):
     return t(spark, d, "documents").select("doc_id", checks.is_land_document(fields, ["lang", "size"]).alias("is_document"))
 
 
-@query("""
-SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'district' WHEN s_suppkey % 3 = 1 THEN 'village' ELSE 'state' END AS level,
-  CASE WHEN s_suppkey % 3 = 0 THEN n_nationkey WHEN s_suppkey % 3 = 1 THEN n_nationkey + 1000 ELSE r_regionkey + 100 END::BIGINT AS feature,
-  CASE WHEN s_suppkey % 3 = 0 THEN 50 WHEN s_suppkey % 3 = 1 THEN 90 ELSE 30 END::BIGINT AS confidence
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def gis_hierarchy(spark, d):
-    nation = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    name = F.lower("n_name")
-    places = nation.select(name.alias("district"), F.concat(F.lit("v "), name).alias("village"), F.lower("r_name").alias("state"), "n_nationkey", "r_regionkey")
-    queries = t(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("v "), name)).alias("village"),
-        F.when(F.col("s_suppkey") % 3 != 2, name).alias("district"), F.lower("r_name").alias("state"),
-    )
-    return gis.resolve_places(
-        queries,
-        places.select("district", "village", (F.col("n_nationkey").cast("long") + 1000).alias("feature")),
-        places.select("district", F.col("n_nationkey").cast("long").alias("feature")),
-        places.select("state", (F.col("r_regionkey").cast("long") + 100).alias("feature")),
-    )
-
-
 @query("SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS lng, round(avg(embedding[2]::DOUBLE), 6) AS lat, count(*) AS vertices FROM embeddings GROUP BY label")
 def centroid(spark, d):
     v = t(spark, d, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("lng"), F.col("embedding")[1].cast("double").alias("lat"))
