@@ -273,9 +273,9 @@ def test_language_model_against_plain_kneser_ney(spark):
     letters = {x for text in told.values() for x in text}
     v, contexts = len(letters) + 1, [(a, b) for a in sorted(letters) for b in sorted(letters)]
     assert len(few.keys) < len(whole.keys)
+    same = 0
     for lang, text in told.items():
         _, p = plain_kneser_ney(trigrams(text))
-        same = 0
         for a, b in contexts:
             every = [*sorted(letters), "z"]
             want = [p(a, b, c, v) for c in every]
@@ -284,7 +284,7 @@ def test_language_model_against_plain_kneser_ney(spark):
             pruned = [model_probability(few, lang, a + b + c) for c in every]
             assert abs(sum(got) - 1) < 1e-5 and abs(sum(pruned) - 1) < 1e-5
             same += sum(abs(x - y) < 1e-5 for x, y, c in zip(pruned, want, every, strict=True) if a + b + c in trigrams(text))
-        assert same >= 5  # the types that stay keep their probability
+    assert same >= 20  # the types that stay keep their probability
 
 
 def test_language_model_of_many_languages(spark):
