@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise_texts, text_or_empty
 from .wordbpe import id_encoder, largest_id, vocabulary_path
 
 CAPACITY = 4096
@@ -100,7 +100,7 @@ def pack_matrices(
     id_bytes: int = 2,
     buffer_tokens: int = BUFFER_TOKENS,
 ) -> DataFrame:
-    """One row per sequence.
+    """One row per sequence, written to the shared folder and read from there.
 
     ids: `capacity` ids of `id_bytes` bytes each, padded with `pad_id` after
     n_tokens. cu_seqlens: 0 and the end of each segment. doc_ids and
@@ -156,4 +156,4 @@ def pack_matrices(
         yield from flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return materialise_texts(rows.mapInArrow(run, SCHEMA), "packed-matrices")

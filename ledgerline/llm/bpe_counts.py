@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise_texts, text_or_empty
 from .wordbpe import WordPieces, merge_ranks, vocabulary_path
 
 # Fixed values of the public vocabulary: special strings and the word-end mark.
@@ -115,5 +115,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) ->
         text_or_empty(docs).alias("text"),
         F.octet_length(text_or_empty(docs)).cast("long").alias("n_bytes"),
     )
-    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    counted = materialise_texts(rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long"), "token-counts")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

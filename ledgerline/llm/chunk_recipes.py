@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, keep_judged, materialise, row_key, row_order, text_or_empty
+from .common import ROW_KEY, keep_judged, materialise, materialise_texts, row_key, row_order, text_or_empty
 
 WINDOW_STEPS = (1, 2, 4, 8, 16)  # doubling: a window of 32 bytes
 MASK = np.uint32(0xFFE00000)  # 11 bits: about one cut in 2048 bytes
@@ -110,7 +110,7 @@ def chunk_store(cooked: DataFrame) -> DataFrame:
 
 def _with_groups(docs: DataFrame, *figures: Column) -> DataFrame:
     """The rows of `recipes` joined with figures of their group of equals."""
-    cooked = materialise(recipes(docs), "recipes")
+    cooked = materialise_texts(recipes(docs), "recipes")
     if chunk_store(cooked).where("not verified").isEmpty():
         identifiers = F.transform("chunks", lambda c: F.struct(c["hash"], c["length"]))
     else:

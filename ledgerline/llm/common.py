@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1_000  # whole texts in an Arrow batch
 BROADCAST_ROWS = 1_000_000  # 24 MB of row keys
 ROW_KEY = ("key_id", "key_a", "key_b")
 
@@ -37,8 +38,9 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder[0]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back. A `lasting`
+    table isn't removed at the end of `temporaries`.
 
     Cuts the lineage in a way that survives lost executors, gives AQE exact
     sizes and a plain exchange above the scan (so skewed joins can be split),
@@ -47,11 +49,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ledgerline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
-    if _made:
+    if _made and not lasting:
         _made[-1].append(read)
     return read
 
 
+def materialise_texts(df: DataFrame, label: str) -> DataFrame:
+    """`materialise` of a Python step over whole texts, with fewer rows in an
+    Arrow batch than usual: 10,000 texts take tens of MB on both sides of a
+    worker. The session's setting is put back."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH_ROWS))
+    try:
+        return materialise(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a materialised table that nothing reads any more."""
     spark = df.sparkSession
@@ -107,29 +122,40 @@ def row_order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unnamed"), *ROW_KEY)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns, kept apart whatever they are called), others (as JSON,
+    without the text) and ROW_KEY of every row."""
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    others = F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"])
+    return docs.select(whole.alias("row"), F.to_json(others).alias("others"), *row_key(docs))
+
+
+def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi- or anti-join by ROW_KEY. Keys are counted; up to BROADCAST_ROWS
+    they are broadcast and no text moves, beyond that one shuffle by key does."""
+    keys = keys.select(*[F.col(c).alias(f"of_{c}") for c in ROW_KEY])
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, [F.col(c) == F.col(f"of_{c}") for c in ROW_KEY], how)
+
+
+def without_keys(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows of some keys; rows that repeat another key stay
+    as often as they are."""
+    gone = materialise(gone.select(*ROW_KEY).distinct(), "gone")
+    return _met(_keyed(docs).drop("others"), gone, "left_anti").select("row.*")
+
+
 def keep_judged(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of `docs` of which `judged` (ROW_KEY, kept) keeps one, columns
     as in `docs` whatever they are called. Of rows that repeat a kept key, one
-    stays: that whose other columns come first as JSON.
-
-    Keys to go are counted; up to BROADCAST_ROWS they are broadcast and no text
-    moves, beyond that one shuffle by key moves the texts."""
+    stays: that whose other columns come first as JSON."""
     verdict = judged.groupBy(*ROW_KEY).agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
     verdict = materialise(verdict, "verdicts")
-    gone = verdict.where("not kept").select(*[F.col(c).alias(f"gone_{c}") for c in ROW_KEY])
-    repeated = verdict.where("kept and n > 1").select(*[F.col(c).alias(f"again_{c}") for c in ROW_KEY])
-    whole = F.struct(*[docs[c] for c in docs.columns])  # kept apart, whatever its columns are called
-    others = F.struct(*[docs[c] for c in docs.columns if c.lower() != "text"])
-    rows = docs.select(whole.alias("row"), F.to_json(others).alias("others"), *row_key(docs))
-
-    def meets(keys: DataFrame, prefix: str, how: str) -> DataFrame:
-        if keys.count() <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
-        return rows.join(keys, [F.col(c) == F.col(f"{prefix}_{c}") for c in ROW_KEY], how)
-
-    rows = meets(gone, "gone", "left_anti")
+    repeated = verdict.where("kept and n > 1")
+    rows = _met(_keyed(docs), verdict.where("not kept"), "left_anti")
     if repeated.isEmpty():
         return rows.select("row.*")
     # combined before the shuffle, so a key repeated very often moves one row a task
-    once = meets(repeated, "again", "left_semi").groupBy(*ROW_KEY).agg(F.min_by("row", "others").alias("row"))
-    return meets(repeated, "again", "left_anti").select("row.*").unionByName(once.select("row.*"))
+    once = _met(rows, repeated, "left_semi").groupBy(*ROW_KEY).agg(F.min_by("row", "others").alias("row"))
+    return _met(rows, repeated, "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, materialise_texts, text_or_empty
 from .wordbpe import id_encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -118,7 +118,7 @@ def pack(
     top = class_top(F.col("length"), capacity, classes)
     # numbered once, in a written table: rows alike in all columns are still dealt apart, and ranks are stable
     cut = pieces(docs, path, capacity, classes, end_id).withColumns({"top": top, "piece": F.monotonically_increasing_id()})
-    cut = materialise(cut, "pieces")
+    cut = materialise_texts(cut, "pieces")
     blocks = max(16, cut.count() // rows_per_block)
     cut = cut.withColumns(
         {

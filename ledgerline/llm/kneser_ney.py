@@ -28,8 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import lowest, materialise
+from .common import ROW_KEY, lowest, materialise, materialise_texts, row_key, without_keys
 
 MODEL_TYPES = 3_000_000  # (language, trigram) types in the model, and as many bigram types
 MODEL_BYTES = 400_000_000  # of the arrays that are broadcast; beyond that an error
@@ -347,13 +348,14 @@ def train(
     known = docs.where(~held_out(F.col("doc_id")).eqNullSafe(True) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     apart, rows = _apart(known, calibration_rows)
-    counts = materialise(trigram_counts(rows.where(~apart)), "trigrams")
+    counts = materialise_texts(trigram_counts(rows.where(~apart)), "trigrams")
     if counts.isEmpty():
         return None
     model = gathered(*features(counts, model_types), model_bytes)
     # an even hash leaves about calibration_rows; a row repeated very often could leave more
     chosen = rows.where(apart).select("lang", "text").limit(4 * calibration_rows)
-    ce = cross_entropies(chosen.select(F.lit(0).alias("doc_id"), "lang", "text"), model).where("ce is not null")
+    ce = materialise_texts(cross_entropies(chosen.select(F.lit(0).alias("doc_id"), "lang", "text"), model), "calibration")
+    ce = ce.where("ce is not null")
     found = ce.select("lang", "ce", "n").toPandas()
     calibrate(model, found[found["lang"].isin(model.langs)])
     return model
@@ -400,44 +402,43 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
     only text takes part in a prediction."""
     model = model or train(docs, **options)
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out, "text")
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), out)
+    return judged_rows(rows, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def judged_rows(rows: DataFrame, model: Model | None) -> DataFrame:
+    """(text first, then others) -> the others and lang_pred, score, rejected, written."""
+    kept = rows.columns[1:]
     if model is None:
-        return rows.select(
-            "doc_id", "held_out", F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
-        )
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+        return rows.select(*kept, F.lit(UNKNOWN_LANGUAGE).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [judged(m, t.as_py()) for t in batch.column(2)]
+            found = [judged(m, t.as_py()) for t in batch.column(0)]
             langs, scores, gone = ([f[i] for f in found] for i in range(3))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())],
-                ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+                [*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())],
+                [*kept, "lang_pred", "score", "rejected"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())]
+    return materialise_texts(rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *new])), "languages")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
     """The documents whose language is known, columns as in `docs` whatever
-    they are called; each row is judged by its own text where it is read, so
-    repeated or null ids lose no other row. Rows that the models reject go, null
-    texts and texts without a letter among them; all rows go where nothing
-    could be learned. An empty table stays empty."""
+    they are called. Rows are told apart by doc_id and text, and judged by
+    their text alone, so repeated or null ids lose no other row and repeated
+    rows all stay. Rows that the models reject go, null texts and texts without
+    a letter among them; all rows go where nothing could be learned. An empty
+    table stays empty."""
     model = model or train(docs, **options)
     if model is None:
         return docs.limit(0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
-    at = [c.lower() for c in docs.columns].index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            yield batch.filter(pa.array([not judged(m, t.as_py())[2] for t in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    found = judged_rows(docs.select("text", *row_key(docs)), model)
+    return without_keys(docs, found.where("rejected").select(*ROW_KEY))
 
 
 def model_of(counts: dict[tuple[str, str], int], spark: SparkSession, **options) -> Model:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise_texts, text_or_empty
 
 K = 12
 FUNCTIONS = 64
@@ -175,7 +175,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, inner)
 
     columns = _RESULT + ", task long, first_text string, last_text string"
-    found = materialise(ordered.mapInArrow(walk, columns), "order-minhash")
+    found = materialise_texts(ordered.mapInArrow(walk, columns), "order-minhash")
     # Tasks are numbered in order of their rows. Only these numbers, one a task
     # that had rows, meet in a window; texts meet by joins.
     edges = found.where("task is not null")

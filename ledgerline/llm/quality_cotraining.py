@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, materialise, text_or_empty
+from .common import lowest, materialise, materialise_texts, text_or_empty
 
 LABELLED_ROWS = 20_000
 ROUNDS = 5
@@ -281,7 +281,7 @@ def score(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     from; other columns are not read, whatever they are called; an empty table
     gives an empty result; with fewer than 8 labels, or of one class only, every
     score is the share of good labels (0.5 if none)."""
-    table = materialise(features(docs), "quality-features")
+    table = materialise_texts(features(docs), "quality-features")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     one = F.min(F.struct("content", *META, "quality")).alias("r")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import ROW_KEY, discard, keep_judged, lowest, materialise, row_key, row_order, text_or_empty
+from .common import ROW_KEY, discard, keep_judged, lowest, materialise, materialise_texts, row_key, row_order, text_or_empty
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -294,7 +294,8 @@ def tiles(routed: DataFrame, home_block: int = HOME_BLOCK, query_block: int = QU
     blocks = F.ceil(F.col("members") / home_block).cast("int")
     visitors = F.col("queries") + F.when(F.col("members") > home_block, F.col("members")).otherwise(0)
     groups = F.greatest(F.lit(1), F.ceil(visitors / query_block).cast("int"))
-    large = sizes.where((F.col("members") > home_block) | ((F.col("queries") > query_block) & (F.col("members") > 0)))
+    # leaves that only queries reached come along with no block, so their rows end here
+    large = sizes.where((F.col("members") > home_block) | (F.col("queries") > query_block) | (F.col("members") == 0))
     large = materialise(large.select("leaf", blocks.alias("blocks"), groups.alias("groups")), "large-leaves")
     if large.isEmpty():
         return routed.select("leaf", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "home")
@@ -379,7 +380,7 @@ def near_duplicates(docs: DataFrame, bits: int = MAX_BITS, leaf_target: int = LE
     repeated rows share fingerprint and component; a null doc_id comes after
     all others, so a component of nulls alone has a null component_id; an empty
     table gives an empty result; other columns are not read."""
-    prints = materialise(fingerprints(docs), "simhash")
+    prints = materialise_texts(fingerprints(docs), "simhash")
     found = _components(prints, F.col("doc_id"), bits, leaf_target)
     return prints.join(found, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
@@ -392,7 +393,7 @@ def keep_representatives(docs: DataFrame, bits: int = MAX_BITS, leaf_target: int
     least text hash. Rows are told apart by doc_id and text, so a repeated or
     null doc_id loses no unlike text; of rows alike in both one stays (see
     `keep_judged`). A null text is an empty one. An empty table stays empty."""
-    prints = materialise(fingerprints(docs, *row_key(docs)), "simhash")
+    prints = materialise_texts(fingerprints(docs, *row_key(docs)), "simhash")
     found = _components(prints, row_order(), bits, leaf_target)
     judged = prints.join(found, "fp").select(*ROW_KEY, (row_order() == F.col("least")).alias("kept"))
     return keep_judged(docs, judged)
