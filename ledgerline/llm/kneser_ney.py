@@ -329,7 +329,8 @@ def calibrate(model: Model, known: pd.DataFrame) -> None:
 def _apart(known: DataFrame, calibration_rows: int) -> tuple[Column, DataFrame]:
     """Whether a row calibrates, and the rows with the bound of their language:
     an even share for each, by a hash of the whole row."""
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    # written, so its size is known and the texts aren't moved to meet a few rows
+    sizes = materialise(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages-trained")
     langs = sizes.count()
     share = F.least(F.lit(1 / CALIBRATION_SHARE), F.lit(max(1.0, calibration_rows / max(1, langs))) / F.col("rows"))
     rows = known.join(sizes.select("lang", (share * 2.0**32).alias("bound")), "lang")
