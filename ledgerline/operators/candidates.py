@@ -172,3 +172,14 @@ def provenance(best: DataFrame, found: DataFrame) -> DataFrame:
     """`select_best` rows with the lines that say the chosen value, in order."""
     same = found.groupBy("doc", "field", "value").agg(F.array_sort(F.collect_set(F.struct("page", "ordinal", "line")))["line"].alias("evidence"))
     return best.join(same, ["doc", "field", "value"], "left")
+
+
+def documents(best: DataFrame) -> DataFrame:
+    """One row per doc: a column per known field, all values with their scores
+    as a map (provenance), and the sorted fields in conflict and to be reviewed.
+    The fields are few and fixed, so one aggregate makes them."""
+    names = list(dict.fromkeys(field for field, *_ in line_rules()))
+    columns = [F.max(F.when(F.col("field") == n, F.col("value"))).alias(n) for n in names]
+    told = F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "score", "status", "page", "reason"))))
+    flagged = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("field"))))
+    return best.groupBy("doc").agg(*columns, told.alias("provenance"), flagged(F.col("status") == "CONFLICT").alias("conflicts"), flagged(F.col("needs_review")).alias("reviews"))

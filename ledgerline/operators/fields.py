@@ -184,3 +184,9 @@ def by_class(values: Column, classes: Column) -> Column:
     """Values in order of their class, equal classes as they come."""
     items = F.transform(F.arrays_zip(classes.alias("k"), values.alias("v")), lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v")))
     return F.transform(F.array_sort(items), lambda x: x["v"])
+
+
+def raw_reading(*places: Column) -> Column:
+    """struct(reading, available): the first place that holds a raw reading."""
+    found = F.coalesce(*places)
+    return F.struct(found.alias("reading"), found.isNotNull().alias("available"))

@@ -189,3 +189,81 @@ def signatures(spark, d):
     return t(spark, d, "supplier").select(
         "s_suppkey", fields.signature_line(line, F.lit(0.8)).alias("signed"), F.when(filled == "N", "neural").otherwise("semantic").alias("source"), F.array_join(ordered, ",").alias("ordered")
     )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '/' || strftime(o_orderdate, '%y') ELSE o_orderkey % 1000 || '/20' || strftime(o_orderdate, '%y') END AS number,
+  ['Agreement of Sale-cum-General Power of Attorney', 'Sale Deed', NULL][o_orderkey % 3 + 1] AS kind, ['Property Transaction Document', 'Property Transaction Document', NULL][o_orderkey % 3 + 1] AS category,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'Karnataka' END AS state, CASE WHEN o_orderkey % 5 = 0 THEN 'AB ' || (123456 + o_orderkey) ELSE (2000000 + o_orderkey)::VARCHAR END AS stamp, (o_orderkey + 7)::VARCHAR AS serial,
+  'Rs.' || [50, 100][o_orderkey % 2 + 1] AS value, '12, ' || o_orderkey || '/A' AS survey, '5 & 6' AS plot, '9/1' AS khata, '480 Sq. Yards' AS area, 'Ram Kumar' AS sold_to, 'S/o Shyam' AS relation,
+  '12-34-56/2001' AS license, '[MASKED]' AS phone, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 3 END AS notes FROM orders""")
+def deed_texts(spark, d):
+    from ..functions import deed
+
+    k, name = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    year = F.date_format("o_orderdate", "yy")
+    parts = [
+        F.when(k % 3 == 0, "AGREEMENT  OF SALE cum General-Power of Attorney").when(k % 3 == 1, "This Deed of\nSale").otherwise("Receipt"), F.lit("R.LNo 21/2000 licensed 77/99"),
+        F.when(k % 2 == 0, F.concat(F.lit("Doc No: "), name, F.lit(" / "), year)).otherwise(F.concat(F.lit("dated 03/08/2019 as "), (k % 1000).cast("string"), F.lit("/"), year, F.lit(" here"))),
+        F.when(k % 4 == 0, "Govt of Karnataka").otherwise("Govt"), F.when(k % 5 == 0, F.concat(F.lit("AB"), (k + 123456).cast("string"))).otherwise(F.concat(F.lit("Stamp No: "), (k + 2000000).cast("string"))),
+        F.concat(F.lit("Sl. No. "), (k + 7).cast("string")), F.when(k % 2 == 0, "Rs. 50").otherwise("100 rupees"), F.concat(F.lit("Survey Nos. 12 and "), name, F.lit("/A; Plot Nos 5 & 6; Khata: 9/1")),
+        F.lit("an area of 480 sq.yds"), F.lit("Sold to: RAM KUMAR, S/O SHYAM, R/o Pune Lic No 12-34-56/2001 Cell: 99"), F.when(k % 2 == 0, "end").otherwise("Contd."),
+    ]
+    c = F.col("text")
+    rows = t(spark, d, "orders").select("o_orderkey", F.concat_ws("\n", *parts).alias("text"))
+    land, sheet = deed.land_numbers(c), deed.stamp_sheet(c)
+    noted = F.size(deed.notes(c, F.lit(True), F.lit(True), F.lit(False), F.lit(True))).cast("long")
+    return rows.select(
+        "o_orderkey", deed.document_number(c).alias("number"), deed.kind(c).alias("kind"), deed.category(deed.kind(c)).alias("category"), deed.state_named(c).alias("state"),
+        deed.stamp_number(c).alias("stamp"), deed.serial_number(c).alias("serial"), deed.stamp_value(c).alias("value"), land["survey"].alias("survey"), land["sub_survey"].alias("plot"),
+        land["khata"].alias("khata"), deed.area_text(c).alias("area"), sheet["sold_to"].alias("sold_to"), sheet["sold_to_relation"].alias("relation"), sheet["license_number"].alias("license"),
+        sheet["vendor_phone"].alias("phone"), noted.alias("notes"),
+    )
+
+
+@query("""
+SELECT s_suppkey, upper(regexp_replace(regexp_replace(sha256('key ' || s_suppkey), '(..)', '\\1:', 'g'), ':$', '')) AS mark,
+  CASE s_suppkey % 3 WHEN 0 THEN 'V, D' WHEN 1 THEN 'D' ELSE 'Party Street' END AS location FROM supplier""")
+def key_marks(spark, d):
+    from ..functions import deed
+
+    k = F.col("s_suppkey")
+    where = deed.property_location(F.when(k % 3 == 0, " V."), F.when(k % 3 < 2, "D"), F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("Party Street")))
+    return t(spark, d, "supplier").select("s_suppkey", deed.colon_fingerprint(F.concat(F.lit("key "), k.cast("string"))).alias("mark"), where.alias("location"))
+
+
+@query(f"""
+WITH e AS ({_EXPECT})
+SELECT doc, ['Sale Deed', 'General Power of Attorney', 'Gift Deed'][k % 3 + 1] AS document_type, k || '/' || y AS document_number, 'Rampur' || c AS village, 'Ghatkesar' AS mandal,
+  CASE WHEN k % 4 = 0 THEN 'property_area' ELSE '' END AS conflicts, CASE WHEN k % 4 = 0 THEN 'property_area,stamp_sold_to' ELSE 'stamp_sold_to' END AS reviews FROM e""")
+def deed_documents(spark, d):
+    best = candidates.select_best(candidates.candidates(_deed_lines(spark, d)))
+    return candidates.documents(best).select("doc", "document_type", "document_number", "village", "mandal", F.array_join("conflicts", ",").alias("conflicts"), F.array_join("reviews", ",").alias("reviews"))
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS refused FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""")
+def immutability_guard(spark, d):
+    from ..operators import store
+
+    rows = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("DRAFT").alias("status"), F.col("o_orderpriority").alias("payload"))
+    changed = rows.withColumn("payload", F.when(F.col("o_orderkey") % 2 == 0, "changed").otherwise(F.col("payload")))
+    return store.immutable_violations(rows, changed, "o_orderkey", "status", "payload").withColumn("refused", F.lit(True))
+
+
+@query("""
+WITH r AS (SELECT event_type AS field, (user_id % 50)::VARCHAR AS raw, count(*) AS evidence FROM events GROUP BY ALL)
+SELECT field, raw, evidence FROM r ORDER BY evidence DESC, field, raw LIMIT 6""")
+def top_rules(spark, d):
+    """The six rules of most evidence."""
+    n = t(spark, d, "events").groupBy(F.col("event_type").alias("field"), (F.col("user_id") % 50).cast("string").alias("raw")).agg(F.count("*").alias("evidence"))
+    return n.orderBy(F.desc("evidence"), "field", "raw").limit(6)
+
+
+@query("""
+SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'stored' ELSE NULL END AS backend, coalesce(CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END, 0) AS pages, event_id % 3 < 2 AS available FROM events""")
+def raw_readings(spark, d):
+    k = F.col("event_id")
+    one = lambda name, n: F.struct(F.lit(name).alias("backend"), F.lit(n).alias("pages"))
+    got = fields.raw_reading(F.when(k % 3 == 0, one("own", 2)), F.when(k % 3 < 2, one("stored", 1)), F.lit(None).cast("struct<backend: string, pages: int>"))
+    return t(spark, d, "events").select(k, got["reading"]["backend"].alias("backend"), F.coalesce(got["reading"]["pages"], F.lit(0)).alias("pages"), got["available"].alias("available"))
