@@ -125,7 +125,7 @@ def page_languages(spark, d):
 @query("""
 SELECT s_suppkey, 'M/s. Sunrise Homes PVT. LTD.' AS company, 'sunrise,' || s_suppkey || 'th' AS tokens, 'S/o Ram Kumar' AS relation, 'Flat ' || s_suppkey || ', H.No.5 Rue' AS address,
   '12/' || s_suppkey AS number, 'R.R. Abc-Def' AS title, 'id [MASKED] end' AS masked, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE 'x' || s_suppkey END AS known,
-  'Survey No 27, ' || s_suppkey AS ruled, 'Ghatkesar' AS mandal, '480' AS area FROM supplier""")
+  'Survey No 27, ' || s_suppkey AS ruled, 'Ghatkesar' AS mandal, '480' AS area, 'A B-1' AS upper FROM supplier""")
 def cleaned_names(spark, d):
     name = F.col("s_suppkey").cast("string")
     company = text.company(F.lit(" m/s. sunrise  HOMES pvt ltd"))
@@ -137,6 +137,7 @@ def cleaned_names(spark, d):
         F.regexp_replace(address, "H.no.5", "H.No.5").alias("address"), text.smart_number(F.concat(F.lit("1 2|"), name)).alias("number"), text.titled(F.lit("r.r. abc-def")).alias("title"),
         text.masked(F.lit("id 1234 5678-9012 end")).alias("masked"), known.alias("known"), text.ruled(F.lit("survey_number"), F.concat(F.lit("Sy.No 27 | "), name)).alias("ruled"),
         text.ruled(F.lit("mandal"), F.lit("ghatkosar")).alias("mandal"), text.ruled(F.lit("property_area"), F.lit("48O")).alias("area"),
+        text.upper_collapsed(F.lit(" a \n b-1")).alias("upper"),
     )
 
 
