@@ -21,7 +21,7 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # and the vocabulary agree on which of these characters are white space.
 _NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r -~À-įı-ɏ]")
 _SPECIAL = "<|"
-MEMO_ENTRIES = 800_000  # about 170 bytes each
+MEMO_ENTRIES = 400_000  # about 170 bytes each, in every Python worker
 
 
 def is_plain(text: str) -> bool:
