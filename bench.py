@@ -14,8 +14,8 @@ from ledgerline.plans import registry
 HEADLINE = [
     "jurisdiction_progress", "registry_kpis", "field_confidence", "velocity_7day", "duplicate_documents", "snapshot_reconcile",
     "upsert_preserve", "learn_rules", "apply_rules", "script_profile", "normalise_text", "cross_audit", "check_status",
-    "survey_number_sets", "evidence_line", "payload_changes", "audit_timeline", "duplicate_register", "gis_hierarchy", "deed_candidates",
-    "deed_fields", "record_checklist", "canonical_records", "stage_feedback", "page_languages",
+    "survey_number_sets", "evidence_line", "payload_changes", "audit_timeline", "duplicate_register", "gis_hierarchy",
+    "record_checklist", "canonical_records", "stage_feedback", "page_languages",
 ]
 
 
