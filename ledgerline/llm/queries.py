@@ -16,9 +16,12 @@ from . import (
     flow_mixing,
     harmonic_packing,
     kneser_ney,
+    ngram_join,
     order_minhash,
+    periodic_runs,
     quality_cotraining,
     simhash_vptree,
+    turn_repair,
 )
 from .common import table
 
@@ -92,10 +95,24 @@ def op10_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_rank_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(conversations, turn_repair.damage(conversations))
+
+
+def op12_cover_lce_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_of_planted(table(spark, sf_dir, "documents"))
+
+
+def op13_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_cotraining_quality, op2_bfd_binary, op3_simhash_vptree, op4_harmonic_packing, op5_flow_mixing, op6_kneser_ney,
         op7_order_minhash, op8_chunk_recipe_dedup, op9_chat_parts, op10_bpe_token_counts, chat_attachments,
+        op11_rank_viterbi_repair, op12_cover_lce_runs, op13_vertical_jaccard,
     ]
     return {f.__name__: f for f in found}
 
