@@ -1,8 +1,8 @@
 """Chat formatting of typed content parts, in DataFrame functions only.
 
 A turn's content is an array of typed parts. The visitor `flatten_parts` maps
-each part by its type: text is escaped, image, audio and document parts become
-ordered placeholders; it records the attachment references and the tokens that
+each part by its type: neighbouring texts are joined and escaped, image, audio
+and document parts become ordered placeholders; it records the attachment references and the tokens that
 the placeholders will expand to. Turns are framed by control strings:
 
     <|turn|>role<|text|>content<|end|>
@@ -54,11 +54,10 @@ def flatten_parts(parts: Column) -> Column:
     without a type is text; an attachment of unknown type is a placeholder of
     its own type name, other characters than letters, digits and `_` made `_`.
 
-    Each step walks the parts once: an attachment's ordinal is read from an
-    array that repeats it up to the place of the next one."""
+    Neighbouring texts are one text before they are escaped, so no cut through
+    a control string can forge one."""
     parts = F.coalesce(parts.cast(PART_TYPE), F.array().cast(PART_TYPE))
     is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
-    n = F.size(parts)
     attached = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("at"), p.alias("p"))), lambda x: ~is_text(x["p"]))
     attachments = F.transform(
         attached,
@@ -66,19 +65,16 @@ def flatten_parts(parts: Column) -> Column:
             (i + 1).alias("index"), x["p"]["type"].alias("type"), x["p"]["ref"].alias("ref"), _tokens(x["p"]).alias("tokens")
         ),
     )
-
-    def written(p: Column, ordinal: Column) -> Column:
-        kind = F.regexp_replace(p["type"], "[^A-Za-z0-9_]", "_")
-        placeholder = F.concat(F.lit("<|"), kind, F.lit(":"), ordinal.cast("string"), F.lit("|>"))
-        return F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder)
-
+    kind = lambda a: F.regexp_replace(a["type"], "[^A-Za-z0-9_]", "_")
+    placeholders = F.transform(attachments, lambda a: F.concat(F.lit("<|"), kind(a), F.lit(":"), a["index"].cast("string"), F.lit("|>")))
+    texts = F.transform(parts, lambda p: F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("")))
     places = F.transform(attached, lambda x: x["at"])
-    runs = F.transform(places, lambda at, i: F.array_repeat(i + 1, F.coalesce(F.get(places, i + 1), n) - at))
-    ordinals = F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(places, F.lit(0)), n)), F.flatten(runs))
-    # a single part, the common case, needs no ordinals
-    pieces = F.when(n <= 1, F.transform(parts, lambda p: written(p, F.lit(1)))).otherwise(F.zip_with(parts, ordinals, written))
+    begins, ends = F.concat(F.array(F.lit(0)), F.transform(places, lambda at: at + 1)), F.concat(places, F.array(F.size(parts)))
+    runs = F.zip_with(begins, ends, lambda b, e: escape(F.array_join(F.slice(texts, b + 1, e - b), "")))
+    rest = F.zip_with(placeholders, F.slice(runs, F.lit(2), F.size(places)), lambda p, r: F.concat(p, r))
+    text = F.concat(F.get(runs, F.lit(0)), F.array_join(rest, ""))
     total = F.aggregate(attachments, F.lit(0).cast("long"), lambda m, a: m + a["tokens"])
-    return F.struct(F.array_join(pieces, "").alias("text"), attachments.alias("attachments"), total.alias("expanded_tokens"))
+    return F.struct(text.alias("text"), attachments.alias("attachments"), total.alias("expanded_tokens"))
 
 
 def format_turns(turns: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ LEAF_TARGET = 1024  # fingerprints that live in a leaf, on average
 TOP_DEPTH = 12  # levels of the tree that is broadcast: 4,095 nodes
 STEP = 4  # levels of each further round
 NODE_SAMPLE = 32  # fingerprints of the sample for each leaf to come
+OVERSAMPLE = 4  # times that are drawn over all leaves, as leaves differ in size
 HOME_BLOCK = 4 * LEAF_TARGET  # members in a tile
 QUERY_BLOCK = 32 * LEAF_TARGET  # queries in a tile
 _CHUNK = 1 << 16
@@ -231,11 +232,12 @@ def _down_top(distinct: DataFrame, depth: int, bits: int) -> DataFrame:
     return distinct.select("fp").mapInArrow(send, _ROUTED)
 
 
-def _down_further(routed: DataFrame, levels: int, leaves: int, n: int, bits: int) -> DataFrame:
+def _down_further(routed: DataFrame, levels: int, leaves: int, n: int, bits: int, oversample: float) -> DataFrame:
     """(leaf, fp, home) some levels deeper: every leaf gets a small tree of its
-    own. A leaf that only queries reach has no member, so its rows end here."""
+    own. A leaf none of whose members is in the sample (it has few, or none)
+    stays whole: its rows go to its first child."""
     wanted = NODE_SAMPLE * 2**levels
-    share = min(1.0, 4 * wanted * leaves / n)
+    share = min(1.0, oversample * wanted * leaves / n)
     mark = F.xxhash64(F.lit(leaves), "fp")
     members = routed.where("home").where(mark < F.lit(min(2**63 - 1, int(2**64 * share) - 2**63)))
     # a leaf may hold very many: the window is salted, and keeps `wanted` rows a leaf at most
@@ -251,8 +253,15 @@ def _down_further(routed: DataFrame, levels: int, leaves: int, n: int, bits: int
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 4096):
-                leaf, fps, home, pivots, radii = (c[begin : begin + 4096] for c in batch.columns)
+                part = batch.slice(begin, 4096)
+                whole = part.filter(part.column(3).is_null())
+                if whole.num_rows:
+                    children = pa.array(whole.column(0).to_numpy(zero_copy_only=False) * 2**levels)
+                    yield pa.RecordBatch.from_arrays([children, whole.column(1), whole.column(2)], ["leaf", "fp", "home"])
+                leaf, fps, home, pivots, radii = part.filter(part.column(3).is_valid()).columns
                 n = len(fps)
+                if not n:
+                    continue
                 leaf = leaf.to_numpy(zero_copy_only=False)
                 fps = fps.to_numpy(zero_copy_only=False).view(np.uint64)
                 p = pivots.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
@@ -263,11 +272,11 @@ def _down_further(routed: DataFrame, levels: int, leaves: int, n: int, bits: int
                     ["leaf", "fp", "home"],
                 )
 
-    return routed.join(trees, "leaf").select("leaf", "fp", "home", "pivots", "radii").mapInArrow(send, _ROUTED)
+    return routed.join(trees, "leaf", "left").select("leaf", "fp", "home", "pivots", "radii").mapInArrow(send, _ROUTED)
 
 
 def routed_rows(
-    distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET, top_depth: int = TOP_DEPTH, step: int = STEP
+    distinct: DataFrame, bits: int = MAX_BITS, leaf_target: int = LEAF_TARGET, top_depth: int = TOP_DEPTH, step: int = STEP, oversample: float = OVERSAMPLE
 ) -> DataFrame:
     """(leaf, fp, home): each distinct fingerprint at home in one leaf of the
     whole tree, and as a query wherever a partner may live that doesn't come to
@@ -280,7 +289,9 @@ def routed_rows(
     routed = materialise(_down_top(distinct, done, bits), "routed")
     while done < depth:
         levels, above = min(step, depth - done), routed
-        routed = materialise(_down_further(above, levels, 2**done, n, bits), "routed")
+        routed = materialise(_down_further(above, levels, 2**done, n, bits, oversample), "routed")
+        if (homes := routed.where("home").count()) != n:
+            raise RuntimeError(f"{homes} of {n} fingerprints are at home in the tree")
         discard(above)
         done += levels
     return routed
