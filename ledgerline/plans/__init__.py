@@ -1 +1 @@
-from . import accounts, deeds, desk, places, readings, registry, reviews  # noqa: F401
+from . import accounts, deeds, desk, places, readings, registry, reviews, stores  # noqa: F401

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.geometry import ring_geometry
+from . import versions
 
 
 def read_json_store(spark: SparkSession, path: str, schema: StructType | str, defaults: dict[str, Column] | None = None) -> DataFrame:
-    """A multi-line JSON store; malformed content raises. Columns in `defaults`
-    take that where the store has null."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """A multi-line JSON store, or what `write_json_store` has stored last;
+    malformed content raises. Columns in `defaults` take that where the store
+    has null."""
+    reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    there = versions.versions(spark, path)
+    rows = reader.json(versions.folder(path, there[-1])) if there else reader.option("multiLine", True).json(path)
     return rows.withColumns({c: F.coalesce(F.col(c), d) for c, d in (defaults or {}).items()})
 
 
@@ -26,14 +30,16 @@ def read_store_map(spark: SparkSession, path: str, value: str, key: str) -> Data
 
 
 def write_json_store(rows: DataFrame, path: str) -> None:
-    """Replaces a store. Spark commits the files of a write as one, so readers
-    never see half of it."""
-    rows.write.mode("overwrite").json(path)
+    """Replaces a store by a new version, so `rows` may read the store itself,
+    and readers see all of the old rows or all of the new ones."""
+    versions.commit(rows, path, form="json")
 
 
 def append_log(rows: DataFrame, path: str) -> None:
-    """Adds rows to a log of JSON lines."""
-    rows.write.mode("append").json(path)
+    """Adds rows to a log of JSON lines, or to what `write_json_store` has
+    stored last at that path."""
+    there = versions.versions(rows.sparkSession, path)
+    rows.write.mode("append").json(versions.folder(path, there[-1]) if there else path)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
