@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable
+from ..sources.versions import written
+from .names import within
 
 # Confidence of each level; words in front of and behind names;
 # words that tell the state where none is named.
@@ -66,31 +68,21 @@ def _either(a: Column, b: Column) -> Column:
     return a.contains(b) | b.contains(a)
 
 
-def _within_pairs(queries: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """Queries with the places of their state of which one name holds the other.
-
-    Distinct names are matched, not rows. A name that lies in another one begins
-    with up to three letters that the other has somewhere, so an equi-join on
-    these finds all pairs."""
-    names = queries.select("state", F.col(f"q_{name}").alias("asked")).where("asked <> ''").distinct()
-    spots = places.select("state", F.col(name).alias("told")).where("told <> ''").distinct()
-    parts = lambda c, i: F.array(*[F.substring(c, i, F.lit(n)) for n in (1, 2, 3)])
-    inside = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: parts(F.col(c), i)))))
-    start = lambda c: F.substring(F.col(c), 1, 3)
-
-    def holding(a: DataFrame, outer: str, b: DataFrame, inner: str) -> DataFrame:
-        met = a.withColumn("mark", inside(outer)).join(b.withColumn("mark", start(inner)), ["state", "mark"])
-        return met.where(F.col(outer).contains(F.col(inner))).select("state", "asked", "told")
-
-    pairs = holding(names, "asked", spots, "told").unionByName(holding(spots, "told", names, "asked")).distinct()
-    named = queries.join(pairs.withColumnRenamed("asked", f"q_{name}"), ["state", f"q_{name}"])
-    return named.join(places.withColumnRenamed(name, "told"), ["state", "told"]).withColumnRenamed("told", name)
-
-
-def _first(rows: DataFrame, *order) -> DataFrame:
-    """One row per query, the first by some order and then in file order."""
-    best = F.min(F.struct(*order, F.col("feature")))
-    return rows.groupBy("id").agg(best.alias("m")).select("id", F.col("m.feature").alias("found"))
+def _name_pairs(asked: DataFrame, told: DataFrame) -> DataFrame:
+    """(kind, state, asked, told) of names of which one holds the other. An
+    asked village that is spelt like a known one meets only that. A mandal is
+    met by names that hold it. Distinct names are matched, not rows."""
+    names, spots = (x.select("kind", "state", "name").distinct() for x in (asked, told))
+    way = lambda x, way, c: x.select("kind", "state", F.lit(way).alias("way"), F.col("name").alias(c))
+    some = spots.where("kind <> 'mandal'")
+    inner = way(names, "in", "inner").unionByName(way(some, "out", "inner"))
+    outer = way(spots, "in", "outer").unionByName(way(names.where("kind <> 'mandal'"), "out", "outer"))
+    pairs = within(inner, outer, ["kind", "state", "way"])
+    first, second = F.col("inner"), F.col("outer")
+    pairs = pairs.select("kind", "state", F.when(F.col("way") == "in", first).otherwise(second).alias("asked"), F.when(F.col("way") == "in", second).otherwise(first).alias("told"))
+    spelt = F.max(F.col("asked") == F.col("told")).over(Window.partitionBy("kind", "state", "asked"))
+    pairs = pairs.distinct().withColumn("spelt", spelt)
+    return written(pairs.where((F.col("kind") != "village") | ~F.col("spelt") | (F.col("asked") == F.col("told"))).drop("spelt"), "name-pairs")
 
 
 def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame) -> DataFrame:
@@ -103,46 +95,53 @@ def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame)
     name holds the other; mandal and district must not contradict. One is the
     village, several are ambiguous whatever else matches. Then the mandal, by
     its name and then by a name that holds it, the district, either way, the
-    state, and any feature of the state, each the first in file order. Lookup
-    rows meet queries by equi-joins on names or parts of names."""
+    state, and any feature of the state, each the first in file order.
+
+    Villages, mandals and districts take one way together: their distinct names
+    are paired, the pairs lead from queries to places, and one aggregate by
+    query decides."""
+    filled = lambda c: F.coalesce(c, F.lit(""))
     q = queries.select(
         "id", "state", F.nullif(village_name(F.col("village")), F.lit("")).alias("q_village"),
         F.nullif(area_name(F.col("mandal")), F.lit("")).alias("q_mandal"), F.nullif(area_name(F.col("district")), F.lit("")).alias("q_district"),
     )
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"q_{k}").alias("name")) for k in ("village", "mandal", "district")]
+    asked = q.select("id", "state", "q_mandal", "q_district", F.explode(F.array(*kinds)).alias("k")).select("*", "k.*").drop("k").where("name is not null")
     v = villages.select(
-        "state", "feature", village_name(F.col("village")).alias("village"), F.coalesce(area_name(F.col("mandal")), F.lit("")).alias("mandal"),
+        F.lit("village").alias("kind"), "state", "feature", village_name(F.col("village")).alias("name"), filled(area_name(F.col("mandal"))).alias("mandal"),
         area_name(F.col("district")).alias("district"), area_name(F.col("old_district")).alias("old_district"),
     )
+    mandal, district = filled(comparable(F.col("mandal"))), filled(comparable(F.col("district")))
+    kind = F.when(F.col("level") == "district", "district").when(F.col("level").isin("mandal", "taluk"), "mandal")
     f = features.select(
-        "state", "level", "feature", F.coalesce(comparable(F.col("mandal")), F.lit("")).alias("mandal"),
-        F.coalesce(comparable(F.col("district")), F.lit("")).alias("district"),
+        kind.alias("kind"), "state", "feature", F.when(kind == "district", district).otherwise(mandal).alias("name"), mandal.alias("mandal"),
+        district.alias("district"), F.lit(None).cast("string").alias("old_district"), "level",
     )
+    places = v.unionByName(f.drop("level").where("kind is not null")).where("name <> ''")
+    pairs = _name_pairs(asked, places)
 
-    exact = q.where("q_village is not null").withColumn("village", F.col("q_village")).join(v, ["state", "village"])
-    left = q.where("q_village is not null").join(exact.select("id").distinct(), "id", "left_anti")
-    candidates = exact.unionByName(_within_pairs(left, v, "village"), allowMissingColumns=True)
-    mandal_fits = F.col("q_mandal").isNull() | (F.col("mandal") == "") | _either(F.col("q_mandal"), F.col("mandal"))
+    met = asked.withColumnRenamed("name", "asked").join(pairs, ["kind", "state", "asked"])
+    met = met.join(places.withColumnRenamed("name", "told"), ["kind", "state", "told"])
     ranga = F.col("q_district").contains("ranga") | F.col("q_district").contains("rr")
 
     def fits(c: str) -> Column:
         return F.coalesce((F.col(c) != "") & (_either(F.col("q_district"), F.col(c)) | (ranga & F.col(c).contains("ranga"))), F.lit(False))
 
-    candidates = candidates.where(mandal_fits & (F.col("q_district").isNull() | fits("district") | fits("old_district")))
-    by_village = candidates.groupBy("id").agg(F.count_distinct("feature").alias("villages"), F.min("feature").alias("village_feature"))
-
-    mandals = f.where("level in ('mandal', 'taluk') and mandal <> ''")
-    district_fits = F.col("q_district").isNull() | (F.col("district") == "") | _either(F.col("q_district"), F.col("district"))
-    asked = q.where("q_mandal is not null")
-    pairs = _within_pairs(asked, mandals, "mandal").where(F.col("mandal").contains(F.col("q_mandal")) & district_fits)
-    by_mandal = _first(pairs, (F.col("mandal") != F.col("q_mandal")).cast("int"))
-    pairs = _within_pairs(q.where("q_district is not null"), f.where("level = 'district' and district <> ''"), "district")
-    by_district = _first(pairs, F.lit(0))
+    in_mandal = F.col("q_mandal").isNull() | (F.col("mandal") == "") | _either(F.col("q_mandal"), F.col("mandal"))
+    in_district = F.col("q_district").isNull() | (F.col("district") == "") | _either(F.col("q_district"), F.col("district"))
+    fitting = (
+        F.when(F.col("kind") == "village", in_mandal & (F.col("q_district").isNull() | fits("district") | fits("old_district")))
+        .when(F.col("kind") == "mandal", in_district).otherwise(True)
+    )
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    order = F.struct((F.col("told") != F.col("asked")).alias("unlike"), "feature")
+    decided = met.where(fitting).groupBy("id").agg(
+        F.count_distinct(of("village", F.col("feature"))).alias("villages"), F.min(of("village", F.col("feature"))).alias("village_feature"),
+        F.min(of("mandal", order))["feature"].alias("mandal_feature"), F.min(of("district", F.col("feature"))).alias("district_feature"),
+    )
     by_state = f.groupBy("state").agg(F.min(F.when(F.col("level") == "state", F.col("feature"))).alias("state_feature"), F.min("feature").alias("any_feature"))
+    found = q.join(decided, "id", "left").join(by_state, "state", "left")
 
-    found = (
-        q.join(by_village, "id", "left").join(by_mandal.withColumnRenamed("found", "mandal_feature"), "id", "left")
-        .join(by_district.withColumnRenamed("found", "district_feature"), "id", "left").join(by_state, "state", "left")
-    )
     has = lambda c: F.col(c).isNotNull()
     level = (
         F.when(F.col("villages") == 1, "village").when(F.col("villages") > 1, "ambiguous").when(has("mandal_feature"), "mandal")

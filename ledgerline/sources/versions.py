@@ -106,3 +106,11 @@ def commit(rows: DataFrame, path: str, base: int | None = None, check: Callable[
     for old in versions(spark, path)[:-KEPT]:
         fs.delete(jvm.org.apache.hadoop.fs.Path(folder(path, old)), True)
     return base + 1
+
+
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """`rows` written once in the shared folder and read back, for what several
+    parts of a plan read; survives lost executors."""
+    path = new_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
