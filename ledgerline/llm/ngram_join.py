@@ -155,23 +155,25 @@ def sketches(docs: DataFrame, seed: int = 0, percent: int = PERCENT) -> DataFram
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, a long, b long, parity array<long>, segments array<long>")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Small rows, broadcast if they are counted and at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _segments_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(a, fragment, grams) of the sets that `wanted` (a, text_hash) names,
-    computed again from their texts. Up to BROADCAST_ROWS names are broadcast."""
+    """(a, fragment, grams) of the sets that `wanted` (a, row) names, computed
+    again from the text of one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         step = np.uint64(-(-(2**64) // OVERLAP_FRAGMENTS))
         inner = np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) * step
         for batch in batches:
-            of, numbers, parts, seen = [], [], [], set()
+            of, numbers, parts = [], [], []
             for text, a in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                if a in seen:
-                    continue
                 grams = shingle_hashes(text.as_py(), memo, seed)
                 if set_hashes(grams)[0] != a:
                     continue  # another text of the same text hash
-                seen.add(a)
                 for f, part in enumerate(np.split(grams, np.searchsorted(grams, inner))):
                     of.append(a)
                     numbers.append(f)
@@ -179,12 +181,13 @@ def _segments_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, _LONGS)], ["a", "fragment", "grams"])
 
     text = text_or_empty(docs)
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    met = rows.join(wanted, "text_hash").select("text", "a").mapInArrow(run, "a long, fragment int, grams array<long>")
-    # copies in several tasks are combined before the shuffle
-    return materialise_texts(met.groupBy("a", "fragment").agg(F.first("grams").alias("grams")), "ngram-segments")
+    rows = docs.select(text.alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("of_id"), F.xxhash64(text).alias("of_hash"))
+    names = wanted.select("a", F.coalesce("row.doc_id", F.lit(0)).alias("of_id"), F.col("row.text_hash").alias("of_hash"))
+    met = rows.join(_few(names), ["of_id", "of_hash"]).select("text", "a").mapInArrow(run, "a long, fragment int, grams array<long>")
+    found = materialise_texts(met, "ngram-segments")
+    if found.count() == OVERLAP_FRAGMENTS * names.count():
+        return found
+    return materialise(found.dropDuplicates(["a", "fragment"]), "ngram-segments-once")  # a row that repeats doc_id and text
 
 
 def _may_link(percent: int) -> Column:
@@ -199,10 +202,10 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, seed: int, pe
     """The (x, y, nx, ny) of `pairs` whose overlaps, counted by fragment and
     summed, reach the threshold. Written."""
     named = pairs.select(F.col("x").alias("a")).union(pairs.select(F.col("y").alias("a"))).distinct()
-    wanted = materialise(named.join(classes, "a").select("a", "text_hash"), "ngram-wanted")
+    wanted = materialise(named.join(classes, "a").select("a", "row"), "ngram-wanted")
     segments = _segments_of(docs, wanted, seed)
     at = lambda c, g: segments.select(F.col("a").alias(c), "fragment", F.col("grams").alias(g))
-    partial = pairs.join(at("x", "gx"), "x").join(at("y", "gy"), ["y", "fragment"])
+    partial = at("x", "gx").join(_few(pairs), "x").join(at("y", "gy"), ["y", "fragment"])
     partial = partial.select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).alias("overlap"))
     summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("overlap"))
     return materialise(summed.where((100 + percent) * F.col("overlap") >= percent * (F.col("nx") + F.col("ny"))), "ngram-links")
@@ -217,7 +220,7 @@ def _set_links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, seed: i
     """(a, b) of linked sets, enough that components are those of all links."""
     keyed = sketched.select(F.explode("segments").alias("key"), "a")
     shared = materialise(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most"), "ngram-shared")
-    members = materialise(keyed.join(shared, "key").distinct(), "ngram-members")
+    members = materialise(keyed.join(_few(shared), "key").distinct(), "ngram-members")
     ends = F.explode(F.array(F.col("least"), F.col("most")))
     stars = members.select("a", ends.alias("c")).where("a <> c").select(F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y")).distinct()
     stars = materialise(_with_figures(stars, classes).where(_may_link(percent)).select("x", "y", "nx", "ny"), "ngram-stars")
@@ -247,7 +250,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hashes; sets by 64 bits, verified by 64 more (other hashes if two clash)."""
     for seed in range(8):
         sketched = materialise_texts(sketches(docs, seed, percent), "ngram-sketches")
-        figures = [F.min("b").alias("b"), F.max("b").alias("c"), F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("parity").alias("parity")]
+        figures = [F.min("b").alias("b"), F.max("b").alias("c"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("parity").alias("parity")]
         classes = materialise(sketched.where("n > 0").groupBy("a").agg(*figures), "ngram-classes")
         if classes.where("b <> c").isEmpty():
             break
