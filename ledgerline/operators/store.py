@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,3 +76,37 @@ def migrated(source: DataFrame, target: DataFrame, key: str, columns: list[str])
         F.count_if(F.col("kb").isNull()).alias("inserted"), F.count_if(F.col("fa") != F.col("fb")).alias("updated"),
         F.count_if(F.col("fa") == F.col("fb")).alias("skipped"),
     )
+
+
+def plain_value(c: Column) -> Column:
+    """A value as text that is the same however it was typed: numbers without
+    trailing noughts, JSON with sorted keys, blank or empty JSON as null."""
+    told = F.trim(c.cast("string"))
+    number = F.regexp_replace(told.try_cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    number = F.when(told.rlike(r"^-?[0-9]+(?:\.[0-9]+)?$") & (F.length(told) <= 27), F.when(number.isin("", "-"), "0").otherwise(number))
+    json = F.when(told.rlike(r"^[\[{]"), canonical_json(told))
+    return F.nullif(F.nullif(F.nullif(F.coalesce(number, json, told), F.lit("")), F.lit("{}")), F.lit("[]"))
+
+
+def field_differences(left: DataFrame, right: DataFrame, key: str, fields: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
+    """(key, field, value, left_rows, right_rows): the values that one table
+    has more often than the other, per key and field. Keys may repeat; a field
+    that a table lacks is null there, or its default. `plain_value` decides
+    what is equal. A record that only one side has differs in the field `key`
+    and in all that aren't null."""
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        of = lambda f: F.col(f) if f in rows.columns else F.lit(None).cast("string")
+        given = lambda f: plain_value(F.coalesce(of(f).cast("string"), (defaults or {})[f].cast("string")) if f in (defaults or {}) else of(f))
+        each = [F.struct(F.lit(f).alias("field"), given(f).alias("value")) for f in fields]
+        own = F.struct(F.lit(key).alias("field"), plain_value(F.col(key)).alias("value"))
+        flat = rows.select(F.col(key), F.inline(F.array(own, *each)))
+        return flat.groupBy(key, "field", "value").agg(F.count("*").alias("n")).withColumn("side", F.lit(name))
+
+    both = told(left, "left").unionByName(told(right, "right"))
+    n = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
+    counted = both.groupBy(key, "field", "value").agg(n("left").alias("left_rows"), n("right").alias("right_rows"))
+    # a null on one side only says that the record is missing there, which the key's row says
+    lone = F.col("value").isNull() & (F.least("left_rows", "right_rows") == 0)
+    there = F.max(F.when(F.col("field") == key, F.least("left_rows", "right_rows"))).over(Window.partitionBy(key))
+    return counted.withColumn("there", there).where((F.col("left_rows") != F.col("right_rows")) & ~(lone & (F.col("there") == 0))).drop("there")
