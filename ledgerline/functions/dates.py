@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The accepted orders of year, month and day, first match wins.
-NUMERIC_FORMATS = ("yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "yyyy/M/d")
+# The accepted orders of year, month and day, and how each looks.
+NUMERIC_FORMATS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$", "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$", "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+}
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def numeric_date(c: Column) -> Column:
-    """Date of a text in one of the four numeric forms."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in NUMERIC_FORMATS]).cast("date")
+    """Date of a text in one of the four numeric forms. Only the form that a
+    text looks like is parsed, since each failure costs an exception."""
+    bare = F.trim(c)
+    return F.coalesce(*[F.when(bare.rlike(look), F.try_to_timestamp(bare, F.lit(f))) for f, look in NUMERIC_FORMATS.items()]).cast("date")
 
 
 def _month(name: Column) -> Column:

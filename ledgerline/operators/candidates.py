@@ -6,6 +6,7 @@ score. All rules run in one pass over the lines."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +45,16 @@ def _numbers(found: Column) -> Column:
     return F.array_join(F.array_sort(kept, order), ", ")
 
 
+# What a line must hold, in lower case, for a rule of a field to be tried.
+MARKS = {
+    "document_type": ("deed", "attorney", "mortgage"), "document_number": ("doc", "reg", "/"), "survey_number": ("survey", "sy"), "city_survey_number": ("s.", "ts"),
+    "khata_number": ("khata",), "khasra_number": ("khasra",), "patta_number": ("patta",), "sub_survey_number": ("plot", "sub"), "property_area": ("sq",),
+    "village": ("village",), "layout": ("layout", "colony"), "mandal": ("mandal",), "district": ("district",), "state": ("state",), "stamp_serial_number": ("sl",),
+    "stamp_value": ("rs",), "stamp_sold_to": ("sold",), "stamp_purchase_date": ("dt",), "document_date": ("dated",), "execution_date": ("day",),
+    "registration_date": ("registered",),
+}
+
+
 def line_rules() -> list[tuple[str, Column, Column, str]]:
     """(field, values array, score, reason) of each rule."""
     page, y, line = F.col("page"), F.col("y_rel"), F.lower("text")
@@ -88,16 +99,23 @@ def line_rules() -> list[tuple[str, Column, Column, str]]:
     ]
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """(doc, field, value, score, page, ordinal, reason, line) of all rules. A
-    candidate without a value is none."""
-    own = lines.withColumn("last", F.max("page").over(Window.partitionBy("doc")))
+def candidates(lines: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc, field, value, score, page, ordinal, reason, line) of all rules, or
+    of those of the wanted fields. A candidate without a value is none.
+
+    A rule's patterns run only on lines that hold one of its marks."""
+    own = lines.withColumns({"last": F.max("page").over(Window.partitionBy("doc")), "low": F.lower("text")})
+    rules = [rule for rule in line_rules() if wanted is None or rule[0] in wanted]
+    marked = lambda marks: functools.reduce(Column.__or__, [F.contains("low", F.lit(m)) for m in marks])
 
     def told(field: str, values: Column, score: Column, reason: str) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value"), score.cast("double").alias("score"), F.lit(reason).alias("reason")))
 
-    each = [told(*rule) for rule in line_rules()]
-    found = own.select("doc", "page", "ordinal", F.col("text").alias("line"), F.explode(F.concat(*each)).alias("c"))
+    # first the rules whose marks a line holds, by plain comparisons; then the patterns of those alone
+    tried = F.explode(F.array(*[F.when(marked(MARKS[field]), F.lit(i)) for i, (field, *_) in enumerate(rules)]))
+    pairs = own.select("doc", "page", "ordinal", "text", "y_rel", "last", tried.alias("rule")).where("rule is not null")
+    said = F.coalesce(*[F.when(F.col("rule") == i, told(*rule)) for i, rule in enumerate(rules)])
+    found = pairs.select("doc", "page", "ordinal", F.col("text").alias("line"), F.explode(said).alias("c"))
     return found.select("doc", "c.field", "c.value", "c.score", "page", "ordinal", "c.reason", "line").where("value <> ''")
 
 
@@ -119,9 +137,12 @@ def unified_districts(found: DataFrame) -> DataFrame:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def distinct_spellings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Places of the values that are no spelling of one kept before them."""
+    """Places of the values that are no spelling of one kept before them; null
+    stays null."""
 
-    def kept(values) -> list[int]:
+    def kept(values) -> list[int] | None:
+        if values is None:
+            return None
         out: list[int] = []
         for i, v in enumerate(values):
             if not any(alike(v.strip().lower(), values[j].strip().lower()) for j in out):
@@ -144,7 +165,13 @@ def select_best(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     candidate they are NOT_FOUND. A group is one document's field."""
     item = F.struct((-F.col("score")).alias("minus"), "page", "ordinal", "value", "reason")
     grouped = found.where("score > 0").groupBy("doc", "field").agg(F.sort_array(F.collect_list(item)).alias("c"))
-    kept = grouped.withColumn("keep", distinct_spellings(F.col("c.value")))
+    # equal values and values with digits need no likeness: the rest goes to Python
+    low = F.transform("c.value", lambda v: F.lower(F.trim(v)))
+    firsts = F.transform("low", lambda v: (F.array_position(F.col("low"), v) - 1).cast("int"))
+    unclear = F.size(F.array_distinct(F.filter("low", lambda v: ~v.rlike("[0-9]")))) > 1
+    compared = distinct_spellings(F.when(unclear, F.col("c.value")))
+    single = F.when(F.size("c") == 1, F.array(F.lit(0)))
+    kept = grouped.withColumn("low", low).withColumn("keep", F.coalesce(single, compared, F.array_distinct(firsts)))
     d = F.transform("keep", lambda i: F.col("c")[i])
     rows = kept.withColumn("d", d)
     score = lambda x: -x["minus"]

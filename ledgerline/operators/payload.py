@@ -23,19 +23,34 @@ CORE_FIELDS = (
 PRESENCE_ONLY = ("property_area", "stamp_value")  # a zero counts here
 
 
-def field_value(json: Column, *paths: str) -> Column:
-    """The first of some dotted paths that is there and isn't blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.trim(F.get_json_object(json, f"$.{p}")), F.lit("")) for p in paths])
+_PLACES = ", ".join(f"{f}: string" for f in PROPERTY_FIELDS)
+_STAMPS = ", ".join(f"{f}: string" for f in STAMP_FIELDS)
+_TOP = dict.fromkeys((*DOCUMENT_FIELDS, *PROPERTY_FIELDS, *[f"property_{f}" for f in PROPERTY_FIELDS], *STAMP_FIELDS, *[f"stamp_{f}" for f in STAMP_FIELDS], "parties", "parties_list"))
+# All that is ever looked for in a raw record; values of other types come as their JSON text.
+RAW = f"struct<{', '.join(f'{f}: string' for f in _TOP)}, property: struct<{_PLACES}>, stamp_information: struct<{_STAMPS}>>"
+
+
+def field_value(raw: Column, *paths: str) -> Column:
+    """The first of some dotted paths of a parsed record that is there and
+    isn't blank, trimmed."""
+
+    def at(path: str) -> Column:
+        c = raw
+        for name in path.split("."):
+            c = c[name]
+        return F.nullif(F.trim(c), F.lit(""))
+
+    return F.coalesce(*map(at, paths))
 
 
 _PARTY = "struct<" + ", ".join(f"{a}: string" for names in PARTY_ALIASES.values() for a in names) + ">"
 
 
-def parties(json: Column) -> Column:
+def parties(record: Column) -> Column:
     """array<struct<name, relation, role, address>> of a record's parties: a
     list, a list written as text, or lists by role, whose name is the role of
     parties that don't say; anything else is an empty list."""
-    raw = F.coalesce(F.get_json_object(json, "$.parties"), F.get_json_object(json, "$.parties_list"))
+    raw = F.coalesce(record["parties"], record["parties_list"])
     listed = F.from_json(F.when(F.trim(raw).startswith("["), raw), f"array<{_PARTY}>")
     by_role = F.from_json(F.when(F.trim(raw).startswith("{"), raw), f"map<string, array<{_PARTY}>>")
     named = lambda p, names: F.coalesce(*[F.nullif(F.trim(p[n]), F.lit("")) for n in names])
@@ -54,14 +69,24 @@ def parties(json: Column) -> Column:
 def payload(json: Column) -> Column:
     """The canonical payload of a raw record: document fields, parties,
     property and stamp_information. Stamp numbers and values are found at the
-    top or in stamp_information, and are the same in both places."""
-    place = {f: field_value(json, f"property.{f}", f, f"property_{f}") for f in PROPERTY_FIELDS}
-    top = {f: field_value(json, f, *([f"stamp_information.{f}"] if f in STAMP_FIELDS else [])) for f in DOCUMENT_FIELDS}
-    stamp = {f: field_value(json, f"stamp_information.{f}", f, f"stamp_{f}") for f in STAMP_FIELDS}
+    top or in stamp_information, and are the same in both places.
+
+    The text is parsed once: the record is bound by a `transform` over one
+    element, since a struct of `from_json` would be parsed again, pruned, for
+    each of its fields. Text that is no object has none of them; looking at it
+    first also keeps what builds it out of the `transform`."""
+    records = F.array(F.from_json(F.when(F.ltrim(json).startswith("{"), json), RAW))
+    return F.get(F.transform(records, _payload), F.lit(0))
+
+
+def _payload(raw: Column) -> Column:
+    place = {f: field_value(raw, f"property.{f}", f, f"property_{f}") for f in PROPERTY_FIELDS}
+    top = {f: field_value(raw, f, *([f"stamp_information.{f}"] if f in STAMP_FIELDS else [])) for f in DOCUMENT_FIELDS}
+    stamp = {f: field_value(raw, f"stamp_information.{f}", f, f"stamp_{f}") for f in STAMP_FIELDS}
     for f in set(top) & set(stamp):
         top[f], stamp[f] = F.coalesce(top[f], stamp[f]), F.coalesce(stamp[f], top[f])
     struct = lambda d: F.struct(*[d[k].alias(k) for k in sorted(d)])
-    return struct(top | {"parties": parties(json), "property": struct(place), "stamp_information": struct(stamp)})
+    return struct(top | {"parties": parties(raw), "property": struct(place), "stamp_information": struct(stamp)})
 
 
 def canonical(p: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence
 from ..operators import payload
+from ..sources import files
 from .registry import query, t
 
 # An order is a record. Its raw form is JSON whose fields lie in various places.
@@ -50,7 +51,7 @@ _SUBMITTED = "coalesce(submitted, status IN ('APPROVED', 'REJECTED', 'DUPLICATE'
 def _raw(spark, d) -> DataFrame:
     """Records as raw JSON: fields nested, flat or prefixed; parties a list, a
     text, or by role."""
-    r, k = records(spark, d), F.col("id")
+    r, k = files.spread(records(spark, d), "id"), F.col("id")
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     listed = F.concat(F.lit('[{"party_name": '), q(F.concat(F.lit(" "), F.col("buyer"))), F.lit(', "type": "Buyer"}, {"name": "Seller A", "role": "Seller"}]'))
     by_role = F.concat(F.lit('{"Buyer": [{"full_name": '), q(F.col("buyer")), F.lit('}], "Seller": [{"name": "Seller A"}]}'))

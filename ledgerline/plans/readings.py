@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence, dates, script, text
 from ..operators import candidates, fields
+from ..sources import files
 from .registry import query, t
 
 # Each order is a deed of ten lines on three pages; what its fields should be
@@ -17,7 +18,7 @@ from .registry import query, t
 def _deed_lines(spark, d) -> DataFrame:
     k, name, at = F.col("o_orderkey"), F.col("o_orderkey").cast("string"), F.col("o_orderdate")
     year, c = F.date_format(at, "yyyy"), F.col("o_custkey").cast("string")
-    rows = t(spark, d, "orders")
+    rows = files.spread(t(spark, d, "orders"), "o_orderkey")
     say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     a, b = (k % 300 + 10).cast("string"), (k % 300 + 400).cast("string")
     lines = [
@@ -68,7 +69,7 @@ UNION ALL SELECT doc, 'property_area', (k % 500 + 100)::VARCHAR, CASE WHEN k % 4
 UNION ALL SELECT doc, 'district', 'Ranga' || c, CASE WHEN k % 5 = 0 THEN 0.95 ELSE 0.98 END, 'EXTRACTED', false, '' FROM e
 UNION ALL SELECT doc, 'stamp_sold_to', 'Buyer Number ' || c, 0.76, 'EXTRACTED', true, '' FROM e UNION ALL SELECT doc, 'registration_date', NULL, 0, 'NOT_FOUND', true, '' FROM e""")
 def deed_fields(spark, d):
-    found = candidates.unified_districts(candidates.agreeing_areas(candidates.candidates(_deed_lines(spark, d)))).where(F.col("field").isin(*_BEST))
+    found = candidates.unified_districts(candidates.agreeing_areas(candidates.candidates(_deed_lines(spark, d), _BEST)))
     docs = t(spark, d, "orders").select(F.col("o_orderkey").alias("doc"), F.explode(F.array(*map(F.lit, _BEST))).alias("field"))
     best = candidates.select_best(found, docs)
     return best.select("doc", "field", "value", "score", "status", "needs_review", F.array_join("conflicting", ",").alias("conflicting"))
@@ -78,7 +79,7 @@ def deed_fields(spark, d):
 WITH e AS ({_EXPECT})
 SELECT doc, 'district' AS field, 'Ranga' || c AS value, CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END AS lines, 'an extent of ' || (k % 500 + 100) || ' Sq. Yards of land, Mandal: Ghatkosar, District: Ranga' || c || ', State: North' AS first FROM e""")
 def deed_provenance(spark, d):
-    found = candidates.candidates(_deed_lines(spark, d)).where("field = 'district'")
+    found = candidates.candidates(_deed_lines(spark, d), ("district",))
     told = candidates.provenance(candidates.select_best(found), found)
     return told.select("doc", "field", "value", F.size("evidence").alias("lines"), F.col("evidence")[0].alias("first"))
 

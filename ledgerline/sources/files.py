@@ -12,6 +12,14 @@ from ..functions.geometry import ring_geometry
 from . import versions
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of fewer partitions than there are cores, dealt out by a key: for
+    much work on each row of a small file, which one task would read and do.
+    Larger inputs have partitions enough and aren't moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def read_json_store(spark: SparkSession, path: str, schema: StructType | str, defaults: dict[str, Column] | None = None) -> DataFrame:
     """A multi-line JSON store, or what `write_json_store` has stored last;
     malformed content raises. Columns in `defaults` take that where the store
