@@ -28,7 +28,6 @@ BUCKETS = 4096
 MAX_PATTERNS = 200_000  # of all kinds; one rule each is broadcast
 MAX_NODES = 20_000  # patterns in the flow network; those of one source alone mostly need none
 EDGE_ROWS = 50_000  # rows in a boundary range that are ordered one by one
-MAX_PASSES = 200
 SPOTS = 2**40
 
 
@@ -229,15 +228,13 @@ def _fill(rows: DataFrame, plan: dict, edge_rows: int = EDGE_ROWS) -> None:
     row that doesn't fit the room left. Rows above the room are passed over, so
     a long document at a boundary stays out and the rows beyond it are looked
     at: each boundary row is above the room it leaves, so the room shrinks with
-    the size of the rows in question. Rows that repeat a doc_id are one step; if
-    many steps of several rows are too large, passes end at MAX_PASSES, and
-    less than one step is missing. A run is kept as a rule (its ends and the
-    largest size taken), never as a list."""
+    the size of the rows in question. Rows that repeat a doc_id are one step,
+    taken whole or not at all. Each pass begins behind the row at which the one
+    before it ended, and they go on until no row that fits is left. A run is
+    kept as a rule (its ends and the largest size taken), never as a list."""
     spark, at = rows.sparkSession, F.struct("spot", "mark")
     open_ = {k: (v["room"], (-1, 0)) for k, v in plan.items() if "room" in v}
-    for _ in range(MAX_PASSES):
-        if not open_:
-            return
+    while open_:
         limits = F.broadcast(spark.createDataFrame([(k, *v) for k, v in open_.items()], f"key string, room long, start {_SPOT}"))
         fits = rows.join(limits, "key").where((at > F.col("start")) & (F.col("size") <= F.col("room")))
         edges = _edges(fits, {k: v[0] for k, v in open_.items()}, edge_rows)
