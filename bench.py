@@ -15,7 +15,7 @@ HEADLINE = [
     "jurisdiction_progress", "registry_kpis", "field_confidence", "velocity_7day", "duplicate_documents", "snapshot_reconcile",
     "upsert_preserve", "learn_rules", "apply_rules", "script_profile", "normalise_text", "cross_audit", "check_status",
     "survey_number_sets", "evidence_line", "payload_changes", "audit_timeline", "duplicate_register", "gis_hierarchy",
-    "record_checklist", "canonical_records", "stage_feedback", "page_languages",
+    "record_checklist", "canonical_records", "stage_feedback", "page_languages", "deed_fields", "deed_documents", "stored_upserts", "plot_spans",
 ]
 
 

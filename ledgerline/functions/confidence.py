@@ -43,6 +43,12 @@ def best_known(*scores: Column) -> Column:
     return F.least(F.lit(1.0), F.coalesce(*[F.when(s != 0, s) for s in scores]))
 
 
+def document_confidence(field_mean: Column, page_mean: Column, guess: Column) -> Column:
+    """Of a document: the mean of its fields' scores, else that of its pages'
+    where they have any above 0, else a guess (`document_heuristic`)."""
+    return F.round(F.coalesce(field_mean, F.when(page_mean > 0, page_mean), guess), 3)
+
+
 def document_heuristic(status: Column, filled: Column, checks: Column) -> Column:
     """Confidence of a document without scores, from the shares of its key
     fields that are filled and of its checks that pass."""

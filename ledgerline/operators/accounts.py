@@ -29,6 +29,19 @@ def reconcile_users(snapshot: DataFrame, current: DataFrame, columns: list[str])
     return store.reconcile(snapshot, current, "user_id", columns).where(~((F.col("action") == "delete") & (F.col("user_id") == MASTER)))
 
 
+def reconcile_owned(snapshot: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`store.reconcile` of sessions or credentials: rows without a user are an
+    error, whichever side has them first."""
+    owned = F.coalesce(F.trim("user_id"), F.lit("")) != ""
+    checked = F.when(owned, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no user of "), F.col(key))))
+    return store.reconcile(snapshot, current.withColumn(key, checked), key, columns)
+
+
+def newest(users: DataFrame, n: int) -> DataFrame:
+    """The n users created last, those without a date at the end."""
+    return users.orderBy(F.desc_nulls_last("created_at"), "user_id").limit(n)
+
+
 def linked(identities: Column, kind: Column, identifier: Column) -> Column:
     """Identities with one more, unless they have it, case aside."""
     there = F.exists(identities, lambda x: (F.lower(x["type"]) == F.lower(kind)) & (F.lower(x["identifier"]) == F.lower(identifier)))

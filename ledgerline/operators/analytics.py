@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.versions import written
+
 
 def share_text(part: Column, whole: Column) -> Column:
     """Whole percent, half to even, as text; 0% of nothing."""
@@ -66,3 +68,17 @@ def queue_wait(records: DataFrame, since: str, now: Column, urgent_hours: int =
     hours = F.floor((F.unix_timestamp(now) - F.unix_timestamp(since)) / 3600)
     text = F.when(hours >= 24, F.concat(F.floor(hours / 24).cast("string"), F.lit("d"))).otherwise(F.concat(hours.cast("string"), F.lit("h")))
     return records.withColumns({"wait_hours": hours.cast("long"), "urgent": hours >= urgent_hours, "wait_text": text})
+
+
+def numbered(rows: DataFrame, group: str, *order: Column) -> DataFrame:
+    """`rows` with `nth`, from 1, within each group in some order, and `of`, the
+    group's size. A group may be most of the table: rows are sorted over all
+    tasks, written, and numbered from the counts of what each task holds of a
+    group, so no group meets in one task. Groups must not be null."""
+    sorted_ = rows.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    placed = written(sorted_.withColumn("at", F.monotonically_increasing_id()), "numbered").withColumn("part", F.shiftright("at", 33))
+    held = placed.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    own = Window.partitionBy(group)  # one row per task that holds any of the group
+    held = held.withColumns({"before": F.sum("n").over(own.orderBy("part")) - F.col("n"), "of": F.sum("n").over(own)})
+    joined = placed.join(F.broadcast(held.drop("n")), [group, "part"])
+    return joined.withColumn("nth", F.col("before") + F.col("at") - F.col("first") + 1).drop("at", "part", "first", "before")

@@ -21,7 +21,10 @@ from .fields import alike
 # denominations, and spellings of mandals.
 DEED_TYPES = (("sale deed", "Sale Deed"), ("power of attorney", "General Power of Attorney"), ("gift deed", "Gift Deed"), ("lease deed", "Lease Deed"), ("mortgage", "Mortgage Deed"))
 DENOMINATIONS = (10, 20, 50, 100, 500, 1000, 5000, 10000)
-MANDAL_SPELLINGS = {"ghatkosar": "Ghatkesar", "qutbullapur": "Quthbullapur"}
+MANDAL_SPELLINGS = {
+    "ghatkosar": "Ghatkesar", "ghatkeshar": "Ghatkesar", "ghatkeser": "Ghatkesar", "ghatkesar": "Ghatkesar", "ghatkasar": "Ghatkesar",
+    "quthbullapur": "Quthbullapur", "qutbullapur": "Quthbullapur", "quthubullapur": "Quthbullapur",
+}
 YARD_NAMES = r"sq\.?\s*(?:yards?|yds?)"
 
 _NUMBER = r"[0-9]{1,4}(?:/[0-9A-Z]{1,4})?"

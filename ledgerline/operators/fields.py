@@ -186,6 +186,23 @@ def by_class(values: Column, classes: Column) -> Column:
     return F.transform(F.array_sort(items), lambda x: x["v"])
 
 
+def provenance_hint(value: Column, entry: Column) -> Column:
+    """struct(extracted, raw, normalised, page, confidence, box) that a field's
+    entry of its provenance says beside the value. `entry` is a map of texts
+    under any of the names that such entries have; the raw reading is the
+    normalised value's only where they differ; a box has four numbers."""
+    first = lambda *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at(entry, F.lit(n))), F.lit("")) for n in names])
+    told = F.nullif(F.trim(value), F.lit(""))
+    there = told.isNotNull()
+    raw, box = first("raw_ocr_value", "original_value"), F.from_json(first("source_bbox", "bounding_box", "bbox"), "array<int>")
+    shown = lambda c: F.when(there, c)
+    return F.struct(
+        there.alias("extracted"), shown(raw).alias("raw"), F.when(there & raw.isNotNull() & (raw != told), told).alias("normalised"),
+        shown(first("page_number", "page")).alias("page"), shown(F.round(first("ocr_confidence", "confidence").try_cast("double"), 2)).alias("confidence"),
+        F.when(there & (F.size(box) == 4), box).alias("box"),
+    )
+
+
 def raw_reading(*places: Column) -> Column:
     """struct(reading, available): the first place that holds a raw reading."""
     found = F.coalesce(*places)

@@ -44,7 +44,8 @@ def states_of(queries: DataFrame, states: DataFrame) -> DataFrame:
     """queries (id, state, district, mandal, village) -> id, state_key.
 
     A state that is named is a known one spelt with or without blanks, else the
-    first known one (in name order) found as words within it, else none. Where
+    first known one (in name order) found as words within it, else, for an old
+    name, the state that has its records now, else none. Where
     none is named, words of the other places tell it, else the default holds;
     all only for known states. states: (state), a handful of rows."""
     known = states.select(F.lower("state").alias("k")).distinct()
@@ -54,6 +55,9 @@ def states_of(queries: DataFrame, states: DataFrame) -> DataFrame:
     dense = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
     spelt = F.get(F.filter("known", lambda k: dense(k) == dense(plain)), F.lit(0))
     within = F.get(F.filter("known", lambda k: F.contains(F.concat(F.lit(" "), plain, F.lit(" ")), F.concat(F.lit(" "), F.translate(k, "_", " "), F.lit(" ")))), F.lit(0))
+    # records from before the state was divided
+    old = plain.contains("andhra") | plain.isin("ap", "a p")
+    legacy = F.when(old, F.coalesce(*[F.when(F.array_contains("known", s), s) for s in ("andhra_pradesh", "telangana")]))
     others = F.concat_ws(" ", *[F.coalesce(comparable(F.col(c)), F.lit("")) for c in ("district", "mandal", "village")])
     told = F.lit(None).cast("string")
     for state, words in reversed(ANCHORS.items()):
@@ -61,7 +65,7 @@ def states_of(queries: DataFrame, states: DataFrame) -> DataFrame:
         told = F.when(F.array_contains("known", state) & here, state).otherwise(told)
     default = F.when(F.array_contains("known", DEFAULT_STATE), DEFAULT_STATE)
     named = F.coalesce(F.trim("state") != "", F.lit(False))
-    return queries.crossJoin(table).select("id", F.when(named, F.coalesce(spelt, within)).otherwise(F.coalesce(told, default)).alias("state_key"))
+    return queries.crossJoin(table).select("id", F.when(named, F.coalesce(spelt, within, legacy)).otherwise(F.coalesce(told, default)).alias("state_key"))
 
 
 def _either(a: Column, b: Column) -> Column:

@@ -1 +1 @@
-from . import accounts, deeds, desk, pages, places, readings, registry, reviews, stores  # noqa: F401
+from . import accounts, audits, deeds, desk, pages, places, readings, registry, reviews, stores  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import confidence
-from ..operators import payload
+from ..operators import analytics, payload
 from ..sources import files
 from .registry import query, t
 
@@ -132,9 +132,8 @@ def master_ledger(spark, d):
 SELECT state, count(*) AS records, sum(serial)::BIGINT AS serials, max(serial) AS newest FROM (
   SELECT state, count(*) OVER (PARTITION BY state) - row_number() OVER (PARTITION BY state ORDER BY made DESC NULLS LAST, id) + 1 AS serial FROM ({_REC})) GROUP BY state""")
 def reverse_serials(spark, d):
-    own = Window.partitionBy("state")
-    serial = F.count("*").over(own) - F.row_number().over(own.orderBy(F.desc_nulls_last("made"), "id")) + 1
-    rows = records(spark, d).select("state", serial.alias("serial"))
+    rows = analytics.numbered(records(spark, d).select("state", "made", "id"), "state", F.desc_nulls_last("made"), F.col("id"))
+    rows = rows.select("state", (F.col("of") - F.col("nth") + 1).alias("serial"))
     return rows.groupBy("state").agg(F.count("*").alias("records"), F.sum("serial").alias("serials"), F.max("serial").alias("newest"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import script, text
 from ..operators import analytics, audit, checks, duplicates, gis, learning, store
+from ..sources import versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,7 +149,7 @@ def _register(spark, d) -> DataFrame:
         F.when(~F.col("bare").isin(*text.ID_SENTINELS) & (F.length("bare") >= 4), F.sha2("bare", 256)).alias("stamp_no"),
         F.col("lang").alias("village"), F.col("source").alias("survey"),
     )
-    return docs.persist(StorageLevel.DISK_ONLY)  # the joins read the keys several times, the texts once
+    return versions.written(docs, "register")  # the joins read the keys several times, the texts once
 
 
 @query(_matches(" WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)"))

@@ -213,3 +213,39 @@ def test_daily_intake_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("intake").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination(120)
     assert sorted(r.intake for r in spark.sql("SELECT * FROM intake").collect()) == [1, 2]
+
+
+def test_numbered_equals_one_window(spark):
+    from pyspark.sql import Window
+
+    from ledgerline.operators import analytics
+
+    rows = spark.range(500).select((F.col("id") % 7 % 3).alias("g"), (F.col("id") * 7919 % 500).alias("v"), "id").repartition(9)
+    want = rows.select("id", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("v"))).alias("nth"), F.count("*").over(Window.partitionBy("g")).alias("of"))
+    got = analytics.numbered(rows, "g", F.desc("v")).select("id", "nth", "of")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert analytics.numbered(rows.where("false"), "g", F.desc("v")).collect() == []
+
+
+def test_old_state_names_and_owners(spark):
+    from ledgerline.operators import accounts, gis
+
+    asked = spark.createDataFrame([(1, "Andhra Pradesh"), (2, "A.P"), (3, "Atlantis"), (4, "telangana state")], "id long, state string").selectExpr("*", "'' district", "'' mandal", "'' village")
+    known = lambda *names: spark.createDataFrame([(n,) for n in names], "state string")
+    of = lambda *names: {r.id: r.state_key for r in gis.states_of(asked, known(*names)).collect()}
+    assert of("telangana", "karnataka") == {1: "telangana", 2: "telangana", 3: None, 4: "telangana"}
+    assert of("telangana", "andhra_pradesh")[1] == "andhra_pradesh" and of("karnataka")[1] is None
+    sessions = spark.createDataFrame([("t1", "u"), ("t2", " ")], "token string, user_id string")
+    with pytest.raises(Exception, match="no user of t2"):
+        accounts.reconcile_owned(sessions.limit(0), sessions, "token", ["user_id"]).collect()
+
+
+def test_raw_records_of_odd_shapes(spark):
+    from ledgerline.operators import payload
+
+    rows = [('{"property": "none", "parties": 3, "area": 12.50, "village": {"a": 1}}',), ("[1]",), ("broken {",), (None,), ('{"parties": "[{\\"name\\": \\" A \\"}]", "stamp_number": 7}',)]
+    df = spark.createDataFrame(rows, "raw string").select(payload.payload(F.col("raw")).alias("p"))
+    got = [r.p for r in df.collect()]
+    assert (got[0].property.area, got[0].property.village, got[0].parties) == ("12.5", '{"a":1}', [])
+    assert all(p.parties == [] and p.property.area is None for p in got[1:4])
+    assert (got[4].parties[0].name, got[4].stamp_number, got[4].stamp_information.stamp_number) == ("A", "7", "7")
