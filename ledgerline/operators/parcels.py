@@ -19,8 +19,8 @@ PLOT_BEFORE, PLOT_AFTER, AREA_AROUND = 40, 25, 160
 ROAD_WIDTHS = ("20", "30", "40", "50", "60", "80", "100", "500")
 # Words that an address is left without.
 PARTY_WORDS = (
-    r"\bin\s*favour\s*of\b", r"\(hereinafter called.*?\)", r"\bhereinafter\s*called\b", r"\bthe\s+vendors?\b", r"\bthe\s+vendees?\b",
-    r"\bvendor/principal\b", r"\bvendee/attorney\b", r"\bvendees/\s*attorneys\b", r"\bprincipals?\b", r"\battorneys?\b",
+    r"\bin\s*favour\s*of\b", r"\bhereinafter\s*called\b", r"\bthe\s+vendors?\b", r"\bthe\s+vendees?\b", r"\bprincipals?\b", r"\battorneys?\b",
+    r"\bvendor/principal\b", r"\bvendee/attorney\b", r"\bvendees/\s*attorneys\b", r"\(hereinafter called.*?\)",
     r"\boccup(?:ation)?\b", r"\bage\b", r"\br/o\.?\b",
 )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import confidence, deed, script
+from ..functions import confidence, deed, script, text
 from ..operators import accounts, audit, duplicates, fields, payload
 from .desk import _REC, _raw
 from .pages import _text
@@ -145,3 +145,24 @@ def newest_users(spark, d):
     listed = F.sort_array(F.collect_list(F.struct(F.col("created_at").isNull().alias("none"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("before"), "user_id")))
     first = accounts.newest(users, 40).agg(listed.alias("u"))  # forty rows
     return first.select(F.posexplode("u").alias("at", "x")).select("x.user_id", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query("""
+SELECT c_custkey AS id, 'M/s. ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || ' ' || c_custkey || 'th Homes ' || CASE WHEN c_custkey % 2 = 0 THEN 'PVT. LTD.' ELSE 'Private Limited' END AS company,
+  ['S/o', 'W/o', 'D/o'][c_custkey % 3 + 1] || ' Ram Kumar ' || c_custkey AS relation, 'card [MASKED] of ' || c_custkey AS masked,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'Known ' || c_custkey END AS known, lower(c_mktsegment) || ',' || (c_custkey + 100) AS tokens,
+  'Flat ' || c_custkey || ', H.No.' || (c_custkey % 50) || ' Long Street' AS address, '12/' || c_custkey AS number, 'A.' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || '-' || c_custkey || 'X' AS title FROM customer""")
+def customer_names(spark, d):
+    """Names, relations and addresses as they are written on deeds, cleaned."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    form = F.when(k % 2 == 0, "pvt ltd").otherwise("PRIVATE limited")
+    kin = F.element_at(F.array(F.lit("s/O. "), F.lit("W/O "), F.lit("d/o. ")), (k % 3 + 1).cast("int"))
+    card = F.concat(F.lit("card 1234"), F.when(k % 2 == 0, " 5678-").otherwise("5678"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" of "), k.cast("string"))
+    known = text.meaningful(F.when(k % 4 == 0, " Not Specified ").otherwise(_text("  Known ", k)))
+    address = text.clean_address(_text(" FLAT ", k, ", H. No.", k % 50, " long   street (near x) aadhaar 1"))
+    tokens = text.core_tokens(_text(segment, " Homes, M/s ", segment, " Pvt. ", k + 100))
+    return t(spark, d, "customer").select(
+        k.alias("id"), text.company(_text(" m/s. ", F.lower(segment), "  ", k, "TH HOMES ", form)).alias("company"), text.relation(_text(kin, "ram  KUMAR ", k, ",")).alias("relation"),
+        text.masked(card).alias("masked"), known.alias("known"), F.array_join(tokens, ",").alias("tokens"), address.alias("address"),
+        text.smart_number(_text("1 2|", k)).alias("number"), text.titled(_text("a.", segment, "-", k, "x")).alias("title"),
+    )
