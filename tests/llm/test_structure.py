@@ -285,3 +285,44 @@ def test_text_parts_cut_anywhere_read_back(spark):
         want = r.whole if r.how == "joined" else f"{r.whole[: r.cut]}<|image:1|>{r.whole[r.cut :]}"
         assert [tuple(t) for t in r.turns] == [("assistant", want)] and r.loss == want
         assert r.formatted.count("<|end|>") == 1 and r.formatted.count("</s>") == 0
+
+
+# -------------------------------------------------------------- mixing, whole
+
+
+def test_mix_equals_a_plain_greedy_mix(spark):
+    """The whole query on rows of one source each: targets by water filling,
+    whole copies, then in seeded order whatever fits the room that is left."""
+    from ledgerline.llm import flow_mixing
+
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.choice([0, 1, 3, 8, 40, 300])), rng.choice([None, "a", "b", "b", "c", "d", "d", "d"])) for i in range(400)]
+    rows += [(7, "same id again " * 5, "b"), (8, "x " * 3000, "a"), (401, None, "c"), (402, "", "only nothing")]
+    docs = spark.createDataFrame([(i, " ".join(t) if t and len(set(t)) == 1 else t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    placed = docs.select("source", *flow_mixing._placed(docs, None, flow_mixing.SEED)).collect()
+    sizes: dict = {}
+    for r in placed:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, target, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, sum(sizes.values())
+    while True:  # raise all by weight, close those that are full, until none is above
+        open_ = [s for s in order if s not in target]
+        rest = left - sum(target.values())
+        full = [s for s in open_ if rest * weight[s] / sum(weight[x] for x in open_) > 3 * sizes[s]]
+        if not full:
+            target |= {s: rest * weight[s] / sum(weight[x] for x in open_) for s in open_}
+            break
+        target |= {s: float(3 * sizes[s]) for s in full}
+    want = []
+    for s in order:
+        whole, room = divmod(round(target[s]), sizes[s]) if sizes[s] else (1, 0)
+        steps: dict = {}
+        for r in (r for r in placed if r.source == s):
+            steps.setdefault((r.spot, r.mark), []).append(r.size)
+        for step in sorted(steps):
+            taken = whole < 3 and sum(steps[step]) <= room
+            room -= sum(steps[step]) * taken
+            want += [(s or "~", step[1], n, min(3, whole + taken) * n) for n in steps[step]]
+    got = [(r.source or "~", r.doc_id, r.size, r.taken) for r in flow_mixing.mix(docs).join(docs.select("doc_id", "source", flow_mixing.word_count(F.coalesce("text", F.lit(""))).alias("size")), ["doc_id", "size"]).collect()]
+    assert sorted(set(got)) == sorted(set(want))
+    assert {round(r.target, 6) for r in flow_mixing.mix(docs).select("target").distinct().collect()} == {round(t, 6) for t in target.values()}
