@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import BROADCAST_ROWS, materialise, materialise_texts, text_or_empty
+from .common import BROADCAST_ROWS, discard, materialise, materialise_texts, text_or_empty
 from .simhash_vptree import connected_components
 
 SHINGLE_WORDS = 3
@@ -187,7 +187,9 @@ def _segments_of(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     found = materialise_texts(met, "ngram-segments")
     if found.count() == OVERLAP_FRAGMENTS * names.count():
         return found
-    return materialise(found.dropDuplicates(["a", "fragment"]), "ngram-segments-once")  # a row that repeats doc_id and text
+    once = materialise(found.dropDuplicates(["a", "fragment"]), "ngram-segments-once")  # a row that repeats doc_id and text
+    discard(found)
+    return once
 
 
 def _may_link(percent: int) -> Column:
@@ -208,7 +210,9 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, seed: int, pe
     partial = at("x", "gx").join(_few(pairs), "x").join(at("y", "gy"), ["y", "fragment"])
     partial = partial.select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).alias("overlap"))
     summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("overlap"))
-    return materialise(summed.where((100 + percent) * F.col("overlap") >= percent * (F.col("nx") + F.col("ny"))), "ngram-links")
+    links = materialise(summed.where((100 + percent) * F.col("overlap") >= percent * (F.col("nx") + F.col("ny"))), "ngram-links")
+    discard(segments)
+    return links
 
 
 def _with_figures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -217,10 +221,13 @@ def _with_figures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _set_links(docs: DataFrame, sketched: DataFrame, classes: DataFrame, seed: int, percent: int) -> DataFrame:
-    """(a, b) of linked sets, enough that components are those of all links."""
+    """(a, b) of linked sets, enough that components are those of all links.
+    Removes `sketched`, which nothing reads once the members are written."""
     keyed = sketched.select(F.explode("segments").alias("key"), "a")
     shared = materialise(keyed.groupBy("key").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most"), "ngram-shared")
     members = materialise(keyed.join(_few(shared), "key").distinct(), "ngram-members")
+    for done in (sketched, shared):
+        discard(done)
     ends = F.explode(F.array(F.col("least"), F.col("most")))
     stars = members.select("a", ends.alias("c")).where("a <> c").select(F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y")).distinct()
     stars = materialise(_with_figures(stars, classes).where(_may_link(percent)).select("x", "y", "nx", "ny"), "ngram-stars")
@@ -256,11 +263,11 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
     else:
         raise RuntimeError("set hashes clash under every seed")
+    rows = materialise(sketched.select("doc_id", F.col("n").alias("n_shingles"), "a"), "ngram-rows")
     labels = connected_components(_set_links(docs, sketched, classes, seed, percent)).withColumnRenamed("v", "a")
     rooted = materialise(classes.join(labels, "a").select("a", "root", "first"), "ngram-rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     reached = materialise(rooted.join(least, "root").select("a", "least"), "ngram-reached")
     found = classes.join(reached, "a", "left").select("a", F.coalesce("least", "first").alias("component_id"))
-    rows = sketched.select("doc_id", F.col("n").alias("n_shingles"), "a")
     some = rows.where("n_shingles > 0").join(found, "a").select("doc_id", "n_shingles", "component_id")
     return some.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
