@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column
@@ -27,24 +28,37 @@ def dimensions(c: Column) -> Column:
     The text is read as numbers, words and signs. A size is a number and the
     word after it; two sizes belong together by the sides named before them,
     else by the sign between them."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+(?:\.[0-9]+)?|[a-z]+|[×,]"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9]+(?:\.[0-9]+)?|[a-z]+|[×,]"), F.lit(0))
+    return _given(words, _sizes)
+
+
+def _given(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sizes(tokens: Column) -> Column:
+    """`dimensions` of the words of a text."""
     at = lambda i: F.get(tokens, i)
     number = lambda i: at(i).try_cast("double")
     unit = lambda i: F.coalesce(at(i + 1), F.lit("")).rlike("^[fm]")
     metres = lambda i: number(i) * F.when(F.coalesce(at(i + 1), F.lit("")).startswith("m"), 1.0).otherwise(FOOT_M)
+    pair = lambda i, j: F.struct(metres(i).alias("ew"), metres(j).alias("ns"))
     places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    numbers = F.filter(places, lambda i: number(i).isNotNull())
     # named sides: the number after the first east word, and the one after the next north word
-    east = F.get(F.filter(places, lambda i: at(i).isin(*EAST_WEST)), F.lit(0))
-    first = F.get(F.filter(numbers, lambda i: i > east), F.lit(0))
-    north = F.get(F.filter(places, lambda i: (i > first) & at(i).isin(*NORTH_SOUTH)), F.lit(0))
-    second = F.get(F.filter(numbers, lambda i: i > north), F.lit(0))
+    side = lambda words, after: F.get(F.filter(places, lambda i: (i > after) & at(i).isin(*words)), F.lit(0))
     # a sign, after the first number or after its unit, and a number after that
     sign = lambda i: i + F.when(unit(i), 2).otherwise(1)
-    crossed = F.filter(numbers, lambda i: at(sign(i)).isin(*BETWEEN) & number(sign(i) + 1).isNotNull())
-    cross = F.get(crossed, F.lit(0))
-    pair = lambda i, j: F.struct(metres(i).alias("ew"), metres(j).alias("ns"))
-    return F.when(second.isNotNull(), pair(first, second)).when(cross.isNotNull(), pair(cross, sign(cross) + 1))
+
+    def read(numbers: Column) -> Column:
+        then = lambda place: F.get(F.filter(numbers, lambda i: i > place), F.lit(0))
+        crossed = F.filter(numbers, lambda i: at(sign(i)).isin(*BETWEEN) & number(sign(i) + 1).isNotNull())
+        across = _given(F.get(crossed, F.lit(0)), lambda i: F.when(i.isNotNull(), pair(i, sign(i) + 1)))
+        beside = lambda first, second: F.when(second.isNotNull(), pair(first, second)).otherwise(across)
+        north = lambda first: _given(side(NORTH_SOUTH, first), lambda n: _given(then(n), lambda second: beside(first, second)))
+        return _given(side(EAST_WEST, F.lit(-1)), lambda east: _given(then(east), north))
+
+    return _given(F.filter(places, lambda i: number(i).isNotNull()), read)
 
 
 def area_sqm(size: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence, dates, geometry, text
 from ..operators import duplicates
+from ..sources import files
 from .registry import query, t
 
 
@@ -44,7 +45,8 @@ def _sized(spark, d):
         F.when(k == 0, F.concat(a, F.lit(" ft x "), other, F.lit(" ft"))).when(k == 1, F.concat(a, F.lit("X"), other))
         .when(k == 2, F.concat(F.lit("East-West "), a, F.lit("ft, North-South "), other, F.lit(" m"))).otherwise("unknown")
     )
-    return t(spark, d, "part").select("p_partkey", size.alias("size")).withColumn("m", geometry.dimensions(F.col("size")))
+    rows = files.spread(t(spark, d, "part"), "p_partkey")
+    return rows.select("p_partkey", size.alias("size")).withColumn("m", geometry.dimensions(F.col("size")))
 
 
 @query(f"""

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import dates, geometry, script, text
+from ledgerline.functions import dates, deed, geometry, script, text
 from ledgerline.operators import accounts, candidates, duplicates, fields, gis, learning, payload, store
 from ledgerline.sources import files
 from ledgerline.streaming import windows
@@ -249,3 +249,11 @@ def test_raw_records_of_odd_shapes(spark):
     assert (got[0].property.area, got[0].property.village, got[0].parties) == ("12.5", '{"a":1}', [])
     assert all(p.parties == [] and p.property.area is None for p in got[1:4])
     assert (got[4].parties[0].name, got[4].stamp_number, got[4].stamp_information.stamp_number) == ("A", "7", "7")
+
+
+def test_a_size_is_read_from_one_set_of_words(spark):
+    odd = [("E 10 S 5 x 7",), ("North 20, East 10, North 30 m",), ("5 and 3 by 4 × 6",), ("7 m , 8 m",), ("",)]
+    rows = spark.createDataFrame(odd, "s string").select(geometry.dimensions(F.col("s")).alias("m"))
+    got = [r.m and (round(r.m.ew, 3), round(r.m.ns, 3)) for r in rows.collect()]
+    assert got == [(1.524, 2.134), (3.048, 30.0), (1.219, 1.829), (7.0, 8.0), None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
