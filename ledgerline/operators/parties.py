@@ -18,27 +18,26 @@ def party_lines(parties: DataFrame, lines: DataFrame) -> DataFrame:
     that holds the name; the first that holds the representative's; the line of
     most words of the name that are longer than three letters, the first of
     several. A party that no pass finds has no line and less confidence. Blank
-    names are no party."""
+    names are no party. A document's lines fit a row."""
     named = parties.where(F.coalesce(F.trim("name"), F.lit("")) != "")
-    low = lines.select("doc", "ordinal", "page", F.col("text").alias("line"), F.col("score").alias("line_score"), F.lower("text").alias("low"))
-    said = F.struct("ordinal", "page", "line", "line_score")
-
-    def holding(left: DataFrame, c: str, name: str) -> DataFrame:
-        asked = left.select("doc", "party", F.nullif(F.lower(F.trim(F.col(c))), F.lit("")).alias("asked")).where("asked is not null")
-        met = asked.join(low, "doc").where(F.col("low").contains(F.col("asked")))
-        return met.groupBy("doc", "party").agg(F.min(said).alias("m")).withColumn("found_by", F.lit(name))
-
-    by_name = holding(named, "name", "name")
-    left = named.join(by_name.select("doc", "party"), ["doc", "party"], "left_anti")
-    by_other = holding(left, "representative", "representative")
-    left = left.join(by_other.select("doc", "party"), ["doc", "party"], "left_anti")
+    line = F.struct("ordinal", "page", F.col("text").alias("line"), F.col("score").alias("line_score"), F.lower("text").alias("low"))
+    # sorted by document on both sides: small files can hold more lines than a driver can broadcast
+    told = lines.groupBy(F.col("doc").alias("of")).agg(F.collect_list(line).alias("said"))
+    rows = named.join(told.hint("merge"), F.col("doc") == F.col("of"), "left")
+
+    def holding(c: str) -> Column:
+        asked = F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
+        return F.array_min(F.filter("said", lambda x: F.contains(x["low"], asked)))
+
     words = F.array_distinct(F.filter(F.split(F.lower("name"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 3))
-    met = left.select("doc", "party", words.alias("words")).join(low, "doc")
-    shared = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
-    most = F.max(F.struct(shared.alias("n"), (-F.col("ordinal")).alias("before"), said.alias("s")))
-    by_words = met.where(shared > 0).groupBy("doc", "party").agg(most.alias("m")).select("doc", "party", F.col("m.s").alias("m"), F.lit("words").alias("found_by"))
-    found = by_name.unionByName(by_other).unionByName(by_words)
-    rows = named.join(found, ["doc", "party"], "left")
+    shared = lambda x: F.size(F.filter("words", lambda w: F.contains(x["low"], w)))
+    met = F.transform("said", lambda x: F.struct(shared(x).alias("n"), (-x["ordinal"]).alias("before"), x.alias("s")))
+    most = F.array_max(F.filter(met, lambda x: x["n"] > 0))["s"]
+    # a later pass is computed only where those before found nothing
+    by = lambda name, m: F.when(m.isNotNull(), F.struct(F.lit(name).alias("found_by"), m.alias("m")))
+    rows = rows.withColumn("words", words)
+    rows = rows.withColumn("found", F.coalesce(by("name", holding("name")), by("representative", holding("representative")), by("words", most)))
+    rows = rows.select("*", "found.found_by", "found.m")
     sure = party_confidence(F.col("given"), F.col("m.line_score"), F.coalesce("corrected", F.lit(False)))
     return rows.select("doc", "party", F.coalesce("found_by", F.lit("none")).alias("found_by"), "m.ordinal", "m.page", "m.line", sure["score"].alias("score"), sure["needs_review"].alias("needs_review"))
 

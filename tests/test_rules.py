@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, deed, geometry, script, text
-from ledgerline.operators import accounts, candidates, duplicates, fields, gis, learning, payload, store
+from ledgerline.operators import accounts, candidates, duplicates, fields, gis, learning, parties, payload, store
 from ledgerline.sources import files
 from ledgerline.streaming import windows
 
@@ -263,3 +263,13 @@ def test_a_size_is_read_from_one_set_of_words(spark):
     got = [r.m and (round(r.m.ew, 3), round(r.m.ns, 3)) for r in rows.collect()]
     assert got == [(1.524, 2.134), (3.048, 30.0), (1.219, 1.829), (7.0, 8.0), None]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_lines_of_parties_are_not_broadcast(spark):
+    parties_, lines = "doc long, party long, name string, representative string, given double, corrected boolean", "doc long, ordinal long, page int, text string, score double"
+    asked = spark.createDataFrame([(1, 1, "Ann Lee", "Bo", None, False), (1, 2, "Zed", "bo ", None, True), (1, 3, "Smith Holdings", None, None, None), (2, 1, "Ann", None, 0.9, False), (2, 2, " ", None, None, False)], parties_)
+    said = spark.createDataFrame([(1, 2, 1, "ANN LEE and Bo", 0.9), (1, 1, 1, "holdings", 0.5), (1, 3, 2, "smith holdings", 0.8)], lines)
+    found = parties.party_lines(asked, said)
+    got = {(r.doc, r.party): (r.found_by, r.ordinal, r.line) for r in found.collect()}
+    assert got == {(1, 1): ("name", 2, "ANN LEE and Bo"), (1, 2): ("representative", 2, "ANN LEE and Bo"), (1, 3): ("name", 3, "smith holdings"), (2, 1): ("none", None, None)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
