@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,25 @@ def restore(backup: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("ka") == F.col("kb"), "full_outer").select(F.coalesce("ka", "kb").alias(key), action.alias("action"))
 
 
+PART_BYTES = 2**19  # of input files, for each partition
+
+
+def fine_parts(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key in many small partitions, before they are grouped by it:
+    groups are mostly single rows, so to group each input partition first would
+    hold it whole in one task. More input has more partitions, not larger ones."""
+    spark, paths = rows.sparkSession, [unquote(f) for f in rows.inputFiles()]
+    size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] if paths else 0
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES), key)
+
+
 def id_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side): ids that only one of two tables has."""
-    only = lambda x, y, side: x.select(key).distinct().join(y.select(key), key, "left_anti").withColumn("side", F.lit(side))
-    return only(a, b, "left").unionByName(only(b, a, "right"))
+    ids = lambda x, in_a: x.select(key, F.lit(in_a).alias("in_a"))
+    both = fine_parts(ids(a, True).unionByName(ids(b, False)), key)
+    n = both.groupBy(key).agg(F.bool_or("in_a").alias("left"), F.bool_or(~F.col("in_a")).alias("right"))
+    lone = lambda side, other: F.when(F.col(side) & (~F.col(other) | F.col(key).isNull()), F.lit(side))
+    return n.select(key, F.explode(F.array_compact(F.array(lone("left", "right"), lone("right", "left")))).alias("side"))
 
 
 def migrated(source: DataFrame, target: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -95,17 +112,17 @@ def field_differences(left: DataFrame, right: DataFrame, key: str, fields: list[
     what is equal. A record that only one side has differs in the field `key`
     and in all that aren't null."""
 
-    def told(rows: DataFrame, name: str) -> DataFrame:
+    def told(rows: DataFrame, left: int) -> DataFrame:
         of = lambda f: F.col(f) if f in rows.columns else F.lit(None).cast("string")
-        given = lambda f: plain_value(F.coalesce(of(f).cast("string"), (defaults or {})[f].cast("string")) if f in (defaults or {}) else of(f))
-        each = [F.struct(F.lit(f).alias("field"), given(f).alias("value")) for f in fields]
-        own = F.struct(F.lit(key).alias("field"), plain_value(F.col(key)).alias("value"))
-        flat = rows.select(F.col(key), F.inline(F.array(own, *each)))
-        return flat.groupBy(key, "field", "value").agg(F.count("*").alias("n")).withColumn("side", F.lit(name))
-
-    both = told(left, "left").unionByName(told(right, "right"))
-    n = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("n"))), F.lit(0))
-    counted = both.groupBy(key, "field", "value").agg(n("left").alias("left_rows"), n("right").alias("right_rows"))
+        given = lambda f: F.coalesce(of(f).cast("string"), (defaults or {})[f].cast("string")) if f in (defaults or {}) else of(f).cast("string")
+        each = [F.struct(F.lit(f).alias("field"), given(f).alias("raw")) for f in fields]
+        own = F.struct(F.lit(key).alias("field"), F.col(key).cast("string").alias("raw"))
+        return rows.select(F.col(key), F.lit(left).alias("left"), F.array(own, *each).alias("told"))
+
+    both = fine_parts(told(left, 1).unionByName(told(right, 0)), key).select(key, "left", F.inline("told"))
+    both = both.withColumn("value", plain_value(F.col("raw")))
+    n = lambda c: F.sum(c.cast("long"))
+    counted = both.groupBy(key, "field", "value").agg(n(F.col("left")).alias("left_rows"), n(1 - F.col("left")).alias("right_rows"))
     # a null on one side only says that the record is missing there, which the key's row says
     lone = F.col("value").isNull() & (F.least("left_rows", "right_rows") == 0)
     there = F.max(F.when(F.col("field") == key, F.least("left_rows", "right_rows"))).over(Window.partitionBy(key))

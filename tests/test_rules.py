@@ -273,3 +273,14 @@ def test_lines_of_parties_are_not_broadcast(spark):
     got = {(r.doc, r.party): (r.found_by, r.ordinal, r.line) for r in found.collect()}
     assert got == {(1, 1): ("name", 2, "ANN LEE and Bo"), (1, 2): ("representative", 2, "ANN LEE and Bo"), (1, 3): ("name", 3, "smith holdings"), (2, 1): ("none", None, None)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_dealt_out_before_they_are_grouped(spark, tmp_path):
+    spark.range(40).selectExpr("nullif(id, 7) as id", "cast(id % 3 as string) as f").write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    b = a.where("id > 1 or id is null").withColumn("f", F.when(F.col("id") == 5, "x").otherwise(F.col("f"))).unionByName(a.where("id = 9"))
+    ids, told = store.id_differences(a, b, "id"), store.field_differences(a, b, "id", ["f"])
+    assert sorted(map(str, (tuple(r) for r in ids.collect()))) == ["(0, 'left')", "(1, 'left')", "(None, 'left')", "(None, 'right')"]
+    assert sorted(tuple(r) for r in told.collect() if r.id in (1, 5, 9, 11)) == [(1, "f", "1", 1, 0), (1, "id", "1", 1, 0), (5, "f", "2", 1, 0), (5, "f", "x", 0, 1), (9, "f", "0", 1, 2), (9, "id", "9", 1, 2)]
+    for rows in (ids, told):
+        assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
