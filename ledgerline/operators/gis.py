@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +104,17 @@ def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame)
     state, and any feature of the state, each the first in file order.
 
     Villages, mandals and districts take one way together: their distinct names
-    are paired, the pairs lead from queries to places, and one aggregate by
-    query decides."""
+    are paired, the pairs lead from queries to places, and one aggregate decides.
+    Queries that ask for the same names are decided once, and places that are
+    named alike in all count as one row, so their numbers don't multiply."""
     filled = lambda c: F.coalesce(c, F.lit(""))
     q = queries.select(
         "id", "state", F.nullif(village_name(F.col("village")), F.lit("")).alias("q_village"),
         F.nullif(area_name(F.col("mandal")), F.lit("")).alias("q_mandal"), F.nullif(area_name(F.col("district")), F.lit("")).alias("q_district"),
     )
     kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"q_{k}").alias("name")) for k in ("village", "mandal", "district")]
-    asked = q.select("id", "state", "q_mandal", "q_district", F.explode(F.array(*kinds)).alias("k")).select("*", "k.*").drop("k").where("name is not null")
+    parts = ["state", "q_village", "q_mandal", "q_district"]
+    asked = q.select(*parts).distinct().select(*parts, F.explode(F.array(*kinds)).alias("k")).select("*", "k.*").drop("k").where("name is not null")
     v = villages.select(
         F.lit("village").alias("kind"), "state", "feature", village_name(F.col("village")).alias("name"), filled(area_name(F.col("mandal"))).alias("mandal"),
         area_name(F.col("district")).alias("district"), area_name(F.col("old_district")).alias("old_district"),
@@ -122,6 +126,9 @@ def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame)
         district.alias("district"), F.lit(None).cast("string").alias("old_district"), "level",
     )
     places = v.unionByName(f.drop("level").where("kind is not null")).where("name <> ''")
+    # of places that are named alike in all, their first and last feature tell how many there are: none, one or several
+    own = ["kind", "state", "name", "mandal", "district", "old_district"]
+    places = places.groupBy(*own).agg(F.min("feature").alias("first"), F.max("feature").alias("last"))
     pairs = _name_pairs(asked, places)
 
     met = asked.withColumnRenamed("name", "asked").join(pairs, ["kind", "state", "asked"])
@@ -138,20 +145,22 @@ def resolve_places(queries: DataFrame, villages: DataFrame, features: DataFrame)
         .when(F.col("kind") == "mandal", in_district).otherwise(True)
     )
     of = lambda kind, c: F.when(F.col("kind") == kind, c)
-    order = F.struct((F.col("told") != F.col("asked")).alias("unlike"), "feature")
-    decided = met.where(fitting).groupBy("id").agg(
-        F.count_distinct(of("village", F.col("feature"))).alias("villages"), F.min(of("village", F.col("feature"))).alias("village_feature"),
-        F.min(of("mandal", order))["feature"].alias("mandal_feature"), F.min(of("district", F.col("feature"))).alias("district_feature"),
-    )
+    order = F.struct((F.col("told") != F.col("asked")).alias("unlike"), F.col("first").alias("feature"))
+    decided = met.where(fitting).groupBy(*parts).agg(
+        F.min(of("village", F.col("first"))).alias("village_feature"), F.max(of("village", F.col("last"))).alias("last_village"),
+        F.min(of("mandal", order))["feature"].alias("mandal_feature"), F.min(of("district", F.col("first"))).alias("district_feature"),
+    ).withColumnsRenamed({c: f"d_{c}" for c in parts})
     by_state = f.groupBy("state").agg(F.min(F.when(F.col("level") == "state", F.col("feature"))).alias("state_feature"), F.min("feature").alias("any_feature"))
-    found = q.join(decided, "id", "left").join(by_state, "state", "left")
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in parts])
+    found = q.join(decided, same, "left").join(by_state, "state", "left")
 
     has = lambda c: F.col(c).isNotNull()
+    single, several = F.col("village_feature") == F.col("last_village"), F.col("village_feature") != F.col("last_village")
     level = (
-        F.when(F.col("villages") == 1, "village").when(F.col("villages") > 1, "ambiguous").when(has("mandal_feature"), "mandal")
+        F.when(single, "village").when(several, "ambiguous").when(has("mandal_feature"), "mandal")
         .when(has("district_feature"), "district").when(has("state_feature"), "state").when(has("any_feature"), "other").otherwise("none")
     )
-    feature = F.when(F.col("villages") == 1, F.col("village_feature")).when(F.col("villages") > 1, None).otherwise(
+    feature = F.when(single, F.col("village_feature")).when(several, None).otherwise(
         F.coalesce("mandal_feature", "district_feature", "state_feature", "any_feature")
     )
     named = F.col("q_village").isNotNull()

@@ -284,3 +284,13 @@ def test_records_are_dealt_out_before_they_are_grouped(spark, tmp_path):
     assert sorted(tuple(r) for r in told.collect() if r.id in (1, 5, 9, 11)) == [(1, "f", "1", 1, 0), (1, "id", "1", 1, 0), (5, "f", "2", 1, 0), (5, "f", "x", 0, 1), (9, "f", "0", 1, 2), (9, "id", "9", 1, 2)]
     for rows in (ids, told):
         assert "REPARTITION_BY_NUM" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_places_and_questions_count_once(spark):
+    asked = spark.createDataFrame([(i, "s", None, None, "Aton" if i % 2 else "Bton") for i in range(40)] + [(99, None, None, None, "Aton")], "id long, state string, district string, mandal string, village string")
+    villages = spark.createDataFrame([("s", "d", "", "m", "Aton", 7)] * 20 + [("s", "d", "", "m", "Bton", 20 + i) for i in range(20)], "state string, district string, old_district string, mandal string, village string, feature long")
+    features = spark.createDataFrame([("s", "state", "", "", 1)], "state string, level string, district string, mandal string, feature long")
+    found = gis.resolve_places(asked, villages, features)
+    want = {(i, *(("village", 7) if i % 2 else ("ambiguous", None))) for i in range(40)} | {(99, "none", None)}
+    assert {(r.id, r.level, r.feature) for r in found.collect()} == want
+    assert "Aggregate [kind" in found._jdf.queryExecution().optimizedPlan().toString()
