@@ -4,7 +4,12 @@ of a page, whose clustering depends on their order."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -66,22 +71,101 @@ def word_lines(words: DataFrame, least: int = 12, share: float = 0.8) -> DataFra
     """(doc, page, text, score, x_min, y_center, height) -> doc, page, line_no,
     text, score. Words go, from the top, to the first line whose mean place is
     within max(least, share of the median word height)."""
-
-    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        near = max(least, int(share * pdf["height"].median()))
-        pdf = pdf.sort_values(["y_center", "x_min"], kind="stable")
-        member, line, total, n = [], -1, 0.0, 0
-        for y in pdf["y_center"]:  # in rising order, so a line left behind is never near again
-            if n == 0 or y - total / n > near:
-                line, total, n = line + 1, 0.0, 0
-            total, n = total + y, n + 1
-            member.append(line)
-        pdf = pdf.assign(line=member).sort_values(["line", "x_min"], kind="stable")
-        out = pdf.groupby("line", sort=True).agg(y=("y_center", "mean"), x=("x_min", "min"), text=("text", " ".join), score=("score", "mean"))
-        out = out.sort_values(["y", "x"], kind="stable")
-        return pd.DataFrame({"doc": key[0], "page": key[1], "line_no": range(1, len(out) + 1), "text": out["text"], "score": out["score"]})
-
-    return words.groupBy("doc", "page").applyInPandas(cluster, "doc long, page long, line_no long, text string, score double")
+    said = F.struct("text", "score", "x_min", "y_center", "height")
+    pages = words.groupBy("doc", "page").agg(F.collect_list(said).alias("words"))
+    return neighbouring_word_lines(pages.select("doc", "page", F.inline("words")), least, share)
+
+
+_WORD = {"doc": "long", "page": "long", "text": "string", "score": "double", "x_min": "double", "y_center": "double", "height": "double"}
+_LINE = pa.schema([("doc", pa.int64()), ("page", pa.int64()), ("line_no", pa.int64()), ("text", pa.string()), ("score", pa.float64())])
+
+
+def neighbouring_word_lines(words: DataFrame, least: int = 12, share: float = 0.8) -> DataFrame:
+    """`word_lines` where the words of a page are rows next to each other, in one
+    partition. Batches of words are worked on, not pages; only a page that a
+    batch cuts is held back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            last = int(_page_starts(batch)[-1])
+            if last == 0 and (not held or _same_page(held[-1], batch)):
+                held.append(batch)  # one page so far
+                continue
+            if held and not _same_page(held[-1], batch):
+                yield _lines(held, least, share)
+                held = []
+            if last:
+                yield _lines([*held, batch.slice(0, last)], least, share)
+            held = [batch.slice(last)]
+        if held:
+            yield _lines(held, least, share)
+
+    rows = words.select(*[F.col(c).cast(kind).alias(c) for c, kind in _WORD.items()])
+    return rows.mapInArrow(run, "doc long, page long, line_no long, text string, score double")
+
+
+def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _page_starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Where a page's words begin; a null doc or page is a value of its own."""
+    new = np.zeros(rows.num_rows, bool)
+    new[0] = True
+    for name in ("doc", "page"):
+        c = rows.column(name)
+        for v in (_values(pc.fill_null(c, 0)), _values(pc.is_null(c))):
+            new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _same_page(before: pa.RecordBatch, after: pa.RecordBatch) -> bool:
+    """Whether the last word of one batch and the first of the next share a page."""
+    return all(before.column(c)[before.num_rows - 1].as_py() == after.column(c)[0].as_py() for c in ("doc", "page"))
+
+
+def _lines(batches: list[pa.RecordBatch], least: int, share: float) -> pa.RecordBatch:
+    """The lines of whole pages."""
+    rows = pa.Table.from_batches(batches)
+    n, starts = rows.num_rows, _page_starts(rows)
+    sizes = np.diff(starts, append=n)
+    page = np.repeat(np.arange(len(starts)), sizes)
+    x, y, height, score = (_values(rows.column(c)) for c in ("x_min", "y_center", "height", "score"))
+    median = np.minimum.reduceat(height, starts)
+    for i in np.flatnonzero(~(median == np.maximum.reduceat(height, starts))):
+        median[i] = np.nanmedian(height[starts[i] : starts[i] + sizes[i]])
+    near = np.maximum(least, np.trunc(share * median))
+    # from here on in order of page, place from the top and from the left
+    order = np.lexsort((x, y, page))
+    down = y[order]
+    # a step of more than `near` begins a line wherever the mean is; the loop sees what a step alone doesn't settle
+    new = np.ones(n, bool)
+    new[1:] = (page[1:] != page[:-1]) | (np.diff(down) > near[page[1:]] + 1)
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], n)
+    wide = ~(down[ends - 1] - down[begins] <= near[page[begins]] - 1)
+    for begin, end in zip(begins[wide].tolist(), ends[wide].tolist(), strict=True):
+        limit, total, k = float(near[page[begin]]), 0.0, 0
+        for i, v in enumerate(down[begin:end].tolist(), begin):  # in rising order, so a line left behind is never near again
+            if k and v - total / k > limit:
+                new[i], total, k = True, 0.0, 0
+            total, k = total + v, k + 1
+    begins = np.flatnonzero(new)
+    order = order[np.lexsort((x[order], np.cumsum(new)))]
+    score = score[order]
+    known = ~np.isnan(score)
+    with np.errstate(invalid="ignore"):
+        mean = np.add.reduceat(np.where(known, score, 0.0), begins) / np.add.reduceat(known.astype(np.int64), begins)
+    texts = rows.column("text").combine_chunks().take(pa.array(order))
+    bounds = pa.array(np.append(begins, n), pa.int32())
+    first = pa.array(starts[page[begins]])
+    line_no = np.arange(len(begins)) - np.searchsorted(begins, starts)[page[begins]] + 1
+    text = pc.binary_join(pa.ListArray.from_arrays(bounds, texts), " ")
+    columns = [*(rows.column(c).combine_chunks().take(first) for c in ("doc", "page")), pa.array(line_no, pa.int64()), text, pa.array(mean, from_pandas=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=_LINE)
 
 
 def page_type(page: Column, last: Column) -> Column:

@@ -72,13 +72,18 @@ WITH w AS (SELECT doc_id, i - 1 AS i, v FROM (SELECT doc_id, regexp_extract_all(
 SELECT doc_id AS doc, (i // 480)::BIGINT AS page, ((i % 480) // 12 + 1)::BIGINT AS line_no, string_agg(v, ' ' ORDER BY i) AS text, round(avg((50 + i % 7) / 100.0::DOUBLE), 6) AS score
 FROM w GROUP BY ALL""")
 def word_lines(spark, d):
-    found = F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text")
-    i = F.col("i")
-    words = t(spark, d, "documents").select(F.col("doc_id").alias("doc"), found).select(
-        "doc", F.floor(i / 480).alias("page"), "text", ((i % 7 + 50) / 100).alias("score"), (i % 12 * 50).alias("x_min"),
-        (F.floor(i % 480 / 12) * 40 + i % 3).alias("y_center"), F.lit(20).alias("height"),
+    found = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("words")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 480).cast("int")), lambda p: F.struct(p.alias("page"), F.slice("words", p * 480 + 1, 480).alias("said")))
+    parts = t(spark, d, "documents").select(F.col("doc_id").alias("doc"), found).where(F.size("words") > 0).select("doc", F.inline(cut))
+    # pages move as lists of words; rows that repeat a document share its pages
+    pages = parts.groupBy("doc", "page").agg(F.collect_list("said").alias("parts")).select("doc", "page", F.explode("parts").alias("said"))
+    words = pages.select("doc", "page", F.posexplode("said").alias("j", "text"))
+    i, j = F.col("page") * 480 + F.col("j"), F.col("j")
+    words = words.select(
+        "doc", "page", "text", ((i % 7 + 50) / 100).alias("score"), (j % 12 * 50).alias("x_min"),
+        (F.floor(j / 12) * 40 + i % 3).alias("y_center"), F.lit(20).alias("height"),
     )
-    return fields.word_lines(words).withColumn("score", F.round("score", 6))
+    return fields.neighbouring_word_lines(words).withColumn("score", F.round("score", 6))
 
 
 @query("""

@@ -1,5 +1,8 @@
 """Every registered registry query against its SQL on the smallest tables."""
 
+import random
+from statistics import median
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +108,50 @@ def test_word_lines_follow_slanted_text(spark):
     assert sorted(tuple(r) for r in fields.word_lines(df).collect()) == [(1, 1, 1, "a b c", 0.5), (1, 1, 2, "d e", 0.5), (2, 1, 1, "x", 1.0)]
 
 
+def test_word_lines_work_on_batches_of_pages(spark):
+    rng = random.Random(5)
+    words = [
+        (doc, page, f"w{i}", rng.random(), rng.randrange(1000) + i / 100, float(rng.choice((rng.randrange(40), rng.random() * 200))), rng.choice((10, 10, 35)))
+        for doc in (None, 0, 1, 2) for page in (0, 1) for i in range(rng.choice((1, 5, 23)))
+    ]
+    expected = []
+    for doc, page in {w[:2] for w in words}:
+        own = sorted((w for w in words if w[:2] == (doc, page)), key=lambda w: (w[5], w[4]))
+        near, lines = max(12, int(0.8 * median(w[6] for w in own))), []
+        for w in own:
+            if not lines or w[5] - sum(v[5] for v in lines[-1]) / len(lines[-1]) > near:
+                lines.append([])
+            lines[-1].append(w)
+        for i, line in enumerate(lines, 1):
+            line.sort(key=lambda w: w[4])
+            expected.append((doc, page, i, " ".join(w[2] for w in line), round(sum(w[3] for w in line) / len(line), 9)))
+    rng.shuffle(words)
+    df = spark.createDataFrame(words, "doc long, page long, text string, score double, x_min double, y_center double, height int")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for size in (1, 7, 10_000):  # a batch cuts pages, and holds several
+        spark.conf.set(name, str(size))
+        got = fields.word_lines(df)
+        assert {(*r[:4], round(r[4], 9)) for r in got.collect()} == set(expected) and got.count() == len(expected)
+    spark.conf.set(name, before)
+    assert fields.word_lines(df.limit(0)).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_word_lines_move_pages_not_words(spark, tmp_path):
+    text = " ".join(f"v{i}" for i in range(1000))
+    docs = [(1, text), (None, "a b"), (2, None), (3, " \t"), (4, "x"), (5, "y"), (5, " ".join("z" * 500))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["word_lines"](spark, str(tmp_path))
+    rows = sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0] or 0, *r[1:3]))
+    assert len(rows) == 1 + 84 + 1 + 42 and rows[0] == (None, 0, 1, "a b", 0.505)
+    assert " ".join(r[3] for r in rows if r[0] == 1) == text and [r[1:3] for r in rows if r[0] == 1][39:42] == [(0, 40), (1, 1), (1, 2)]
+    assert sorted(rows[86][3].split()) == ["y"] + ["z"] * 12 and [r[1] for r in rows if r[0] == 5].count(0) == 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Aggregate"), "words are told apart after pages have moved"
+
+
 def test_number_sets_prefer_the_plan(spark):
     rows = [(1, [278, 281], True, 1.05, 1, 1), (1, [5, 6, 7], False, 0.9, 2, 2), (2, [1, 2], False, 0.9, 1, 1), (2, [2, 3], False, 0.85, 1, 2), (2, [1], False, 0.9, 1, 3)]
     df = spark.createDataFrame(rows, "doc long, numbers array<int>, preferred boolean, score double, page int, ordinal int")
