@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise_texts, text_or_empty
-from .wordbpe import WordPieces, merge_ranks, vocabulary_path
+from .wordbpe import WordPieces, byte_symbols, merge_ranks, vocabulary_path
 
 # Fixed values of the public vocabulary: special strings and the word-end mark.
 SPECIAL_STRINGS = ("<|startoftext|>", "<|endoftext|>")
@@ -27,16 +27,6 @@ WORD_END = "</w>"
 
 _counters: dict[str, WordPieces] = {}
 
-
-def byte_symbols() -> list[str]:
-    """The printable stand-in of each byte in byte-level vocabularies:
-    printable Latin-1 bytes stand for themselves, the others are numbered
-    from code point 256 on."""
-    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 _BYTE_SYMBOLS = byte_symbols()
 
 

@@ -2,8 +2,9 @@
 
 White space never joins two pre-tokens of this vocabulary, so a text's ids are
 the ids of its white-space tokens, one after the other. `WordPieces` keeps
-one bounded memo of white-space tokens and pre-tokens; only pre-tokens not met
-before reach the encoder behind it. Texts with characters outside a plain
+one bounded memo of white-space tokens and pre-tokens; only pre-tokens that it
+lacks reach the encoder behind it, which is the library's merging alone: they
+are in normal form, lower case and split already. Texts with characters outside a plain
 Latin set, or with a special-token marker, take `fallback` whole: Unicode
 normal forms and special strings are then the library's business.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import regex
 
@@ -53,6 +55,8 @@ class WordPieces:
 
     def _of_token(self, token: str):
         # a pre-token splits into itself, so both kinds share one memo
+        if token.isalpha():
+            return self._encode(token)
         parts = self._split(token)
         if len(parts) == 1:
             return self._encode(token)
@@ -64,6 +68,15 @@ class WordPieces:
         return self._join(list(map(self._tokens.__getitem__, text.lower().split())))
 
 
+def byte_symbols() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies:
+    printable Latin-1 bytes stand for themselves, the others are numbered
+    from code point 256 on."""
+    plain = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 _id_encoders: dict[str, WordPieces] = {}
 
 
@@ -74,11 +87,18 @@ def id_encoder(path: str) -> WordPieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        merged, symbols = tokenizer.model.tokenize, dict(enumerate(byte_symbols()))
+
+        def encode(word: str) -> bytes:
+            if not word.isascii():  # printable ASCII stands for itself
+                word = word.encode("utf-8").decode("latin-1").translate(symbols)
+            ids = [t.id for t in merged(word)]
+            return struct.pack(f"<{len(ids)}I", *ids)
 
-        def encode(text: str) -> bytes:
+        def whole(text: str) -> bytes:
             return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-        _id_encoders[path] = WordPieces(encode, b"".join, encode)
+        _id_encoders[path] = WordPieces(encode, b"".join, whole)
     return _id_encoders[path]
 
 

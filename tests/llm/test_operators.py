@@ -21,6 +21,7 @@ from ledgerline.llm import (
     order_minhash,
     quality_cotraining,
     simhash_vptree,
+    wordbpe,
 )
 from ledgerline.llm.wordbpe import id_encoder, vocabulary_path
 
@@ -76,6 +77,30 @@ def test_ids_and_counts_on_odd_texts(text):
     assert bpe_counts.token_counter(vocabulary_path())(text) == len(ids)
 
 
+def test_ids_of_new_words_need_merging_alone(monkeypatch):
+    tk, asked = hf(), []
+
+    class Counted:
+        def __init__(self, path):
+            self.of = type(tk).from_file(path)
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.of, name)
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    monkeypatch.setattr(wordbpe, "_id_encoders", {})
+    encode = id_encoder(vocabulary_path())
+    plain = [chr(x) for x in range(0x250) if wordbpe.is_plain(chr(x))]
+    for text in [f"qa{c}zé{c}{c}1 {c}'s" for c in plain] + ["étiontretion' laèoipaier, don't" + "etle" * 100]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids
+    assert "encode" not in asked
+    encode("你好")
+    assert asked.count("encode") == 1
+
+
 def test_bfd_is_lossless_and_best_fit(docs):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 101, 400).tolist()
