@@ -12,6 +12,10 @@ NUMERIC_FORMATS = {
 }
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
+# An execution clause, and three numbers that can be a date.
+CLAUSE = r"(?:executed|execution|execute|entered\s+into|made|deed\s+of\s+sale)\s+(?:on\s+)?(?:this\s+)?(?:the\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+([a-z]+)[\s\-/,]+(\d{4})"
+TOKEN = r"(\d{1,2})\D+(\d{1,2})\D+(\d{2,4})"
+
 
 def numeric_date(c: Column) -> Column:
     """Date of a text in one of the four numeric forms. Only the form that a
@@ -70,17 +74,15 @@ def any_date(c: Column) -> Column:
 def execution_date(c: Column) -> Column:
     """dd-MM-yyyy of the clause that says when a deed was executed, entered
     into or made; null if its blanks were never filled."""
-    form = r"(?i)(?:executed|execution|execute|entered\s+into|made|deed\s+of\s+sale)\s+(?:on\s+)?(?:this\s+)?(?:the\s+)?(\d{1,2})(?:st|nd|rd|th)?\s+day\s+of\s+([a-z]+)[\s\-/,]+(\d{4})"
-    day, month, year = (F.regexp_extract(F.translate(c, "_", " "), form, i) for i in (1, 2, 3))
+    day, month, year = (F.regexp_extract(F.translate(c, "_", " "), f"(?i){CLAUSE}", i) for i in (1, 2, 3))
     return _joined(day, _month(month), year)
 
 
 def date_token(c: Column) -> Column:
     """dd-MM-yyyy of the first three numbers that can be day, month and year;
     years of two digits are of this century."""
-    form = r"(\d{1,2})\D+(\d{1,2})\D+(\d{2,4})"
-    day, month, year = (F.regexp_extract(c, form, i) for i in (1, 2, 3))
-    return F.when(c.rlike(form), F.concat_ws("-", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)))
+    day, month, year = (F.regexp_extract(c, TOKEN, i) for i in (1, 2, 3))
+    return F.when(c.rlike(TOKEN), F.concat_ws("-", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)))
 
 
 def labelled_date(c: Column, *labels: str) -> Column:

@@ -310,3 +310,31 @@ def test_equal_places_and_questions_count_once(spark):
     want = {(i, *(("village", 7) if i % 2 else ("ambiguous", None))) for i in range(40)} | {(99, "none", None)}
     assert {(r.id, r.level, r.feature) for r in found.collect()} == want
     assert "Aggregate [kind" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_read_within_their_rows(spark):
+    said = [
+        "SALE DEED", "This\u00a0 gift \u2003deed", "Doc. No. 12/2003 Regd No: 13|04", " 1234 / 05 ", "12-10-2003/04", "Sy. No. 12, 3/A & 1999", "survey no 3 Survey No 44/2b, 1", "\u00e9sy no 7", "C.T.S. No. 9",
+        "c.t.s no 8", "Plot No. 4 & 5", "plot 6 bounded by plot 7", "480 Sq. Yards and 480.5 sq yds", "Village: Aton, Village: Atton Mandal: x", "Village: Zebury\n", "Village: Rampur\u2029", "Mandal: ghatkosar, District: A\u00e9 B",
+        "District: Medak", "district: MEDAK", "Rs. 1,000 rs 77 Rs. ,", "Sl. No. 5 dt 1-2-03 Dt: 31/12/1999", "Sold to: X y \t", "sold to a\rb", "executed on this the 5TH day of_octeber, 2003", "made on 40th day of May 2001",
+        "Registered on 1.2.2003", "Khata: 1/2 khasra no 3 patta 4\x0b5", "", None, "\u0130 colony: \u0130z, layout: B", "State: North", "doc no 9999999999999999999/99", "dated: 05/06/2001",
+    ]
+    rows = [(doc, page if page < 4 else None, i, said[(i * 7 + doc) % len(said)], None if i % 9 == 0 else i / 20) for doc in range(60) for i, page in enumerate([1, 1, 2, 2, 3, 60, 4][: doc % 8] * 3)]
+    lines = spark.createDataFrame([r for r in rows if r[1] != 60], "doc long, page int, ordinal int, text string, y_rel double")
+    best = candidates.select_best(candidates.candidates(lines))
+    packed = lines.groupBy("doc").agg(F.max("page").alias("last"), F.collect_list(F.struct("page", "ordinal", "text", "y_rel")).alias("lines"))
+    read = candidates.read_documents(packed)
+    names = ("field", "value", "score", "status", "needs_review", "conflicting", "page", "reason")
+    got = read.select("doc", F.explode("best").alias("field", "b")).select("doc", "field", "b.*")
+    told = lambda df: sorted(repr([r[c] for c in ("doc", *names)]) for r in df.collect())
+    assert told(got) == told(best) and got.count() > 200
+    a, b = ({r.doc: (r.village, r.provenance, r.conflicts, r.reviews) for r in candidates.documents(x).collect()} for x in (read, best))
+    assert {k: v for k, v in a.items() if v[1]} == b
+    moved = registry.QUERIES["deed_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in moved and "Generate" not in moved
+
+
+def test_uncompared_values_are_no_nulls_for_python(spark):
+    found = spark.createDataFrame([(i, "village", "Aton", 0.9, 1, 0, "r") for i in range(3)], "doc long, field string, value string, score double, page int, ordinal int, reason string")
+    plan = candidates.select_best(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ELSE []" in plan.split("distinct_spellings(")[1][:600]
